@@ -35,7 +35,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents")).drop("masked")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op8_quality_rules)
+    f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op8_quality_rules, op9_personal_data)
 }
 ORACLES: dict[str, str] = {}
