@@ -44,6 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """About `most` rows of df, those with the smallest hash of key, or all if there are no more."""
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the rule that sets rows apart for held-out checks. A null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

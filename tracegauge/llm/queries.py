@@ -29,6 +29,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predictions
+
+    return predictions(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linefreq import quality_rules
 
@@ -41,7 +53,13 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents")).drop("masked")
 
 
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import language_model
+
+    return language_model(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op8_quality_rules, op9_personal_data)
+    f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op4_language_id, op6_quality_classifier, op8_quality_rules, op9_personal_data, op10_brown_lm)
 }
 ORACLES: dict[str, str] = {}
