@@ -35,12 +35,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltree import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linefreq import quality_rules
 
@@ -60,6 +72,6 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op4_language_id, op6_quality_classifier, op8_quality_rules, op9_personal_data, op10_brown_lm)
+    f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op4_language_id, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_quality_rules, op9_personal_data, op10_brown_lm)
 }
 ORACLES: dict[str, str] = {}
