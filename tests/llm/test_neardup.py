@@ -1,6 +1,9 @@
 import random
 from itertools import combinations
 
+import pytest
+
+from tracegauge.llm import neardup
 from tracegauge.llm.neardup import near_duplicates, samples, shingles
 
 
@@ -33,7 +36,9 @@ def run(spark, rows, **more):
     return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, **more).collect()), key=repr)
 
 
-def test_planted(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 16])
+def test_planted(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(7)
     rows, vocabulary = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one "), (6, "a b"), (7, "A\tb"), (8, "b a"), (None, "a b"), (9, "x y z"), (10, "É é"), (11, "é é")], [f"w{i}" for i in range(400)]
     base = [rng.choice(vocabulary) for _ in range(120)]

@@ -80,7 +80,8 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, row, item_id, n_equal, n_words, first_word, item_words): each pair of a document and an item with a segment
-    that is good enough; of several, the best one (then the first). row tells apart rows that repeat a doc_id.
+    that is good enough; of several, the best one (then the first). row is a hash of doc_id and text, by which texts that share a doc_id are told
+    apart; rows that repeat both are one.
 
     documents: (doc_id, text); benchmark: (item_id, text). Null or empty texts have no words and no pair. Items with equal
     words are one item, named by their smallest id. A null doc_id or item_id stays null. Items shorter than the shortest
@@ -122,8 +123,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             some = batch.select(["row", "doc_id"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array(words_, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32())])))], ["row", "doc_id", "words", "hits"])
 
-    docs = binary(documents, "doc_id").withColumn("row", F.monotonically_increasing_id())
-    docs = materialize(docs.mapInArrow(hits, "row long, doc_id long, words array<long>, hits array<struct<h:long,p:int>>"), "hits")
+    docs = binary(documents, "doc_id").withColumn("row", F.xxhash64("doc_id", "text"))
+    docs = docs.mapInArrow(hits, "row long, doc_id long, words array<long>, hits array<struct<h:long,p:int>>").dropDuplicates(["row"])
+    docs = materialize(docs, "hits")
     near = docs.select("row", F.explode("hits").alias("x")).select("row", "x.h", "x.p").join(hashed, "h")
     near = near.select("row", "item", (F.col("p") - F.col("t")).alias("diagonal")).distinct()
     # the document's words that lie along the item, and the item's that lie along the document
@@ -150,3 +152,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = pairs.mapInArrow(judge, "doc_id long, row long, item long, item_id long, item_words int, value long, n_equal long, n_words long, first_word long")
     best = judged.groupBy("row", "doc_id", "item", "item_id", "item_words").agg(F.max(F.struct("value", (-F.col("first_word")).alias("back"), "n_equal", "n_words")).alias("x"))
     return best.select("doc_id", "row", "item_id", "x.n_equal", "x.n_words", (-F.col("x.back")).alias("first_word"), F.col("item_words").cast("long").alias("item_words"))
+
+
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """documents without the rows that contain a benchmark item; all columns stay."""
+    bad = contaminated(documents, benchmark).select(F.col("row").alias("__row")).distinct()
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
+    return documents.withColumn("__row", row).join(bad, "__row", "left_anti").drop("__row")

@@ -6,9 +6,9 @@
    samples make buckets. A pair at the threshold of 0.8 shares no bucket with probability (1 - 0.8^6)^60 = 1.2e-8.
 2. Documents with equal sets are one node from here on.
 3. In each bucket every node is compared with the bucket's smallest only: odd sketches first, then the full sets.
-4. Components of these links. Buckets that still hold nodes of several components are compared in blocks of bounded size,
-   sketch against sketch; what passes and isn't yet connected or refused goes to the full sets too. No bucket is capped, no
-   pair is left out that could add a link between components, and pairs in one component are never listed.
+4. Components of these links. Buckets that still hold nodes of several components are compared in blocks of bounded size:
+   sketch against sketch, then full sets. No bucket is capped and no pair is left out that could add a link between
+   components; pairs within a component are not compared, and only links that join components are listed.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ ROWS, BANDS, BITS = 6, 60, 1024
 SAMPLES = ROWS * BANDS
 #: Odd-sketch estimates lie within 6 standard deviations of the truth: sketches below threshold - MARGIN can't be links.
 MARGIN = 0.17
-BLOCK = 256
+#: Nodes in a block; cells of a matrix in one comparison.
+BLOCK, CELLS = 256, 1 << 23
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -155,21 +156,82 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
-def plausible(batches: Iterator[pd.DataFrame], cut: float, percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs of different components in blocks (key, i, j), sorted: side 0 against side 1, or within side 0 if i = j."""
+def common_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[x[k]] and sets[y[k]]."""
+    if len(x) <= 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y, strict=True)])
+    all_, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    out, width = np.zeros(len(x), np.float32), max(1, CELLS // len(sets))
+    for c in range(0, len(all_), width):
+        at = (column >= c) & (column < c + width)
+        m = np.zeros((len(sets), min(width, len(all_) - c)), np.float32)
+        m[row[at], column[at] - c] = 1
+        out += (m @ m.T)[x, y]
+    return out
+
+
+def linked(batches: Iterator[pd.DataFrame], cut: float, size: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Links that join components, of the nodes in units (key, i, j), sorted: side 0 against side 1, or within side 0 if
+    i = j. A pair is compared in the first bucket that it shares, unless its smaller node is the bucket's smallest, which
+    has been compared with all. Of the links found, those that span the unit's components are returned."""
     for g in groups(batches, ["key", "i", "j"]):
         if len(g) < 2:
             continue
-        g = g.drop_duplicates(["side", "node"])
         odd = np.frombuffer(b"".join(g["odd"]), np.uint8).reshape(len(g), -1)
-        node, comp, n, side = (g[c].to_numpy() for c in ("node", "component", "n_shingles", "side"))
-        within = g["i"].iloc[0] == g["j"].iloc[0]
-        for x in np.flatnonzero(side == 0):
-            y = np.flatnonzero((node > node[x]) if within else (side == 1))
-            y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+        tags = np.frombuffer(b"".join(g["tags"]), np.uint32).reshape(len(g), -1)
+        node, comp, n, side, band = (g[c].to_numpy() for c in ("node", "component", "n_shingles", "side", "band"))
+        within, least = g["i"].iloc[0] == g["j"].iloc[0], g["a"].iloc[0]
+        xs, ys = [], []
+        for x in np.flatnonzero((side == 0) & (node != least)):
+            y = np.flatnonzero(((node > node[x]) if within else (side == 1)) & (comp != comp[x]) & (node != least))
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
             y = y[similarity(odd[y], odd[x]) >= cut]
-            if len(y):
-                yield pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+            y = y[~(tags[y, : band[x]] == tags[x, : band[x]]).any(axis=1)]
+            xs.append(np.full(len(y), x))
+            ys.append(y)
+        x, y = (np.concatenate(v) if v else np.empty(0, int) for v in (xs, ys))
+        if not len(x):
+            continue
+        used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+        sets = [shingles(t, size) for t in g["text"].iloc[used]]
+        both = common_counts(sets, place[: len(x)], place[len(x) :])
+        length = np.array([len(t) for t in sets])
+        ok = (both > 0) & (100 * both >= percent * (length[place[: len(x)]] + length[place[len(x) :]] - both))
+        up: dict = {}
+
+        def top(c):
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        out = []
+        for i, j in zip(x[ok], y[ok], strict=True):
+            if (c := top(comp[i])) != (d := top(comp[j])):
+                up[max(c, d)] = min(c, d)
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def units(placed: DataFrame) -> DataFrame:
+    """Rows (key, i, j, side, band, a, node, component) for `linked`, of placed (key, band, size, a, node, component).
+
+    A bucket is dealt into blocks of about BLOCK nodes, those of large components apart, and each pair of blocks but those
+    of one component is a unit; a bucket of one component has none, one of two nodes has had its only pair compared."""
+    own = placed.where("size > 2").groupBy("key", "component").agg(F.count("*").alias("own"))
+    bucket = own.groupBy("key").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("own") < BLOCK, F.col("own")).otherwise(0)).alias("mixed")).where("parts > 1")
+    own = own.join(bucket, "key").withColumn("large", F.col("own") >= BLOCK)
+    deal = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    apart = own.where("large").select("key", "component", F.explode(F.sequence(F.lit(0), deal("own") - 1)).alias("d")).select("key", F.xxhash64("component", "d").alias("block"), F.col("component").alias("pure"))
+    mixed = bucket.where("mixed > 0").select("key", F.explode(F.sequence(F.lit(0).cast("long"), deal("mixed").cast("long") - 1)).alias("block"), F.lit(None).cast("long").alias("pure"))
+    blocks = apart.unionByName(mixed)
+    both = blocks.select("key", F.col("block").alias("i"), F.col("pure").alias("p")).join(blocks.select("key", F.col("block").alias("j"), F.col("pure").alias("q")), "key")
+    both = both.where("i <= j and not coalesce(p = q, false)").select("key", "i", "j")
+    sides = both.select("key", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(both.where("i < j").select("key", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    place = F.pmod(F.xxhash64("node", "key"), F.when(F.col("large"), deal("own")).otherwise(deal("mixed")))
+    dealt = placed.join(own, ["key", "component"]).withColumn("block", F.when(F.col("large"), F.xxhash64("component", place.cast("int"))).otherwise(place.cast("long")))
+    return dealt.join(sides, ["key", "block"]).select("key", "i", "j", "side", "band", "a", "node", "component")
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -185,8 +247,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     signed = materialize(signatures(docs, size), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     nodes = materialize(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("odd").alias("odd"), F.first("bands").alias("bands")), "nodes")
-    # buckets of two nodes or more; only these keep their sketches at hand
-    rows = nodes.select("node", F.explode("bands").alias("key"))
+    # buckets of two nodes or more
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("a")).where("size > 1")
     members = materialize(rows.join(buckets, "key"), "members")
     info = nodes.select("node", "n_shingles", "odd")
@@ -198,26 +260,36 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
         rows = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(len(x), BITS // 8)
         return pd.Series(similarity(rows(a), rows(b)))
 
+    @F.pandas_udf("binary")
+    def short(bands: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(x, np.int64).astype(np.uint32).tobytes() for x in bands])
+
     ratio = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     first = members.where("a != node").select("a", F.col("node").alias("b")).distinct()
     first = first.join(side("b"), "b").join(side("a"), "a").where(ratio).where(estimate("odd_a", "odd_b") >= cut).select("a", "b").distinct()
-    tried = materialize(first, "pairs")
-    # equal sets of which a row bears another id are links too
-    copies = some.join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialize(confirmed(tried, docs, size, percent), "links")
+    links = materialize(confirmed(materialize(first, "pairs"), docs, size, percent), "links")
     found = materialize(components(links), "components")
 
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    # a bucket of two has had its only pair compared
-    rest = placed.where("size > 2").join(split, "key").join(info, "node")
-    rest = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    units = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "component", "n_shingles", "odd")
-    units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = units.mapInPandas(lambda frames: plausible(frames, cut, percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(materialize(more, "pairs"), docs, size, percent)).unionByName(copies)
+    dealt = materialize(units(placed), "units")
+    more = nodes.join(dealt.select("node").distinct(), "node").select("node", "n_shingles", "odd", short("bands").alias("tags"))
+    more = more.join(docs, F.col("node") == F.col("doc_id")).drop("doc_id")
+    more = dealt.join(more, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = more.mapInPandas(lambda frames: linked(frames, cut, size, percent), "a long, b long").distinct()
+    # equal sets of which a row bears another id are links too
+    copies = some.join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = materialize(links.unionByName(more).unionByName(copies), "links")
     found = materialize(components(links), "components").withColumnRenamed("node", "doc_id")
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def without_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group: the row with the smallest doc_id, all columns. Of rows that repeat a doc_id one stays.
+    Rows without a doc_id are in no group and stay."""
+    gone = near_duplicates(documents, size, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
+    twice = documents.groupBy("doc_id").agg(F.count("*").alias("__n")).where("doc_id is not null and __n > 1").select("doc_id")
+    left = documents.join(gone, "doc_id", "left_anti")
+    one = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, "doc_id", "left_anti").unionByName(one).select(documents.columns)

@@ -344,3 +344,21 @@ def personal_data(documents: DataFrame, tagger: Tagger | None = None) -> DataFra
             )
 
     return rows.mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string")
+
+
+def mask_documents(documents: DataFrame) -> DataFrame:
+    """documents with each span of personal data in text masked, and n_chars, if there, of the new text. All columns and
+    rows stay; a null text stays null."""
+    spark = prepare(documents.sparkSession)
+    model = spark.sparkContext.broadcast(fit_tagger(documents.select(F.col("text").cast("string").alias("text"))))
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            hot = [i for i, t in enumerate(texts) if t and TRIGGER.search(t)]
+            for i, (base, more) in zip(hot, all_spans([texts[i] for i in hot], model.value), strict=True):
+                texts[i] = masked(texts[i], base + more)
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
+
+    out = documents.mapInArrow(mask, documents.schema)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
