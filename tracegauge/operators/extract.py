@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.findings import let
+from ..functions.text import once
 from ..schemas import CONTENT_FIELD, INFERENCE, INTERACTION_COLUMNS, MESSAGE, MESSAGES, PART
 from ..sources.otlp import json_string
 
@@ -23,7 +24,7 @@ def dumps(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
-@F.pandas_udf(StringType())
+@once(StringType())
 def listed(s: pd.Series) -> pd.Series:
     """A messages attribute (a list, or a JSON string of one) as the JSON text of a list of objects whose parts have their
     content as text; null if it is no list. Python's JSON, as its spacing is part of the text."""
@@ -200,7 +201,7 @@ def interactions(spans: DataFrame, own_service: str | None = None) -> DataFrame:
     return df.withColumn("skip_reason", skip).select(*INTERACTION_COLUMNS, "skip_reason")
 
 
-@F.pandas_udf(StringType())
+@once(StringType())
 def indexed_texts(s: pd.Series) -> pd.Series:
     """A JSON list of indexed attributes' JSON texts as a list of their plain texts."""
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
+from ..functions.text import once
+
 SPAN_COLUMNS = "trace_id string, span_id string, parent_span_id string, trace_flags int, name string, service_name string, attributes map<string,string>"
 ANY = {"stringValue": str, "boolValue": bool, "intValue": int, "doubleValue": float, "bytesValue": str}
 
@@ -36,7 +38,7 @@ def plain_attributes(listed: str | None) -> dict[str, str]:
     return {x["key"]: json.dumps(any_value(x.get("value") or {}), ensure_ascii=False) for x in json.loads(listed or "[]") or [] if "key" in x}
 
 
-@F.pandas_udf(MapType(StringType(), StringType()))
+@once(MapType(StringType(), StringType()))
 def attribute_map(s: pd.Series) -> pd.Series:
     return s.map(plain_attributes)
 
