@@ -3,7 +3,7 @@
 1. Each document's set of word shingles gives SAMPLES MinHash samples (a fast similarity sketch: every sample is of one
    element, and two sets share a sample with probability equal to their Jaccard similarity), folded into an odd sketch:
    a parity bitmap whose XOR with another one has about as many bits as the sets' samples differ. BANDS bands of ROWS
-   samples make buckets. A pair at the threshold of 0.8 shares no bucket with probability (1 - 0.8^6)^60 = 1.2e-8.
+   samples make buckets. A pair at the threshold of 0.8 shares no bucket with probability (1 - 0.8^6)^50 = 2.5e-7.
 2. Documents with equal sets are one node from here on.
 3. In each bucket every node is compared with the bucket's smallest only: odd sketches first, then the full sets.
 4. Components of these links. Buckets that still hold nodes of several components are compared in blocks of bounded size:
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import groups, materialize, mix, prepare, words
 
-ROWS, BANDS, BITS = 6, 60, 1024
+ROWS, BANDS, BITS = 6, 50, 1024
 SAMPLES = ROWS * BANDS
 #: Odd-sketch estimates lie within 6 standard deviations of the truth: sketches below threshold - MARGIN can't be links.
 MARGIN = 0.17
+#: Hash values that stand for the ids that are looked up, at most: that many rows are broadcast.
+LOOKUP = 1 << 20
 #: Nodes in a block; cells of a matrix in one comparison.
 BLOCK, CELLS = 256, 1 << 23
 
@@ -112,11 +114,19 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
     return documents.mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, odd binary, bands array<long>")
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ids (doc_id, distinct). What has no id with its hash value goes before the exchange:
+    no more than LOOKUP values are broadcast, whatever the number of ids."""
+    value = F.pmod(F.xxhash64("doc_id"), F.lit(LOOKUP)).cast("int")
+    some = rows.withColumn("_value", value).join(F.broadcast(ids.select(value.alias("_value")).distinct()), "_value", "left_semi").drop("_value")
+    return some.join(ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Only texts of documents in pairs
     are moved; the text of a, once for each of its partners, is about as long as the partner's."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(documents.join(need, "doc_id", "left_semi"), "texts")
+    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    texts = materialize(only(documents, need), "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, set_a = None, None
@@ -246,11 +256,13 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     signed = materialize(signatures(docs, size), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes = materialize(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("odd").alias("odd"), F.first("bands").alias("bands")), "nodes")
-    # buckets of two nodes or more
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("a")).where("size > 1")
-    members = materialize(rows.join(buckets, "key"), "members")
+    nodes = materialize(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("odd").alias("odd")), "nodes")
+    # buckets of two sets or more; a set stands by half of its fingerprint until few rows are left
+    rows = some.select("set_a", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("key").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where("lo < hi").select("key")
+    members = rows.join(shared, "key").distinct().join(nodes.select("set_a", "node"), "set_a").select("key", "band", "node")
+    members = materialize(members, "shared")
+    members = materialize(members.join(members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("a")), "key"), "members")
     info = nodes.select("node", "n_shingles", "odd")
     side = lambda x: info.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
     cut = percent / 100 - MARGIN
@@ -272,8 +284,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     dealt = materialize(units(placed), "units")
-    more = nodes.join(dealt.select("node").distinct(), "node").select("node", "n_shingles", "odd", short("bands").alias("tags"))
-    more = more.join(docs, F.col("node") == F.col("doc_id")).drop("doc_id")
+    need = materialize(dealt.select(F.col("node").alias("doc_id")).distinct(), "ids")
+    more = only(some.select("doc_id", "n_shingles", "odd", "bands"), need).select("doc_id", "n_shingles", "odd", short("bands").alias("tags"))
+    more = more.join(only(docs, need), "doc_id").withColumnRenamed("doc_id", "node")
     more = dealt.join(more, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = more.mapInPandas(lambda frames: linked(frames, cut, size, percent), "a long, b long").distinct()
     # equal sets of which a row bears another id are links too
