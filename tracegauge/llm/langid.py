@@ -21,6 +21,8 @@ from .common import bounded_sample, prepare, remainder
 ORDERS, BUCKETS, WEIGHT = (1, 2, 3), 1 << 15, 1 / 3
 #: About so many labelled documents are learned from.
 TRAIN_DOCUMENTS = 20_000
+#: Texts are scored together up to so many characters.
+RUN_CHARS = 400_000
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -38,7 +40,7 @@ def grams(text: str) -> np.ndarray:
         h = h ^ (h >> np.uint32(15))
         if n in ORDERS:
             out.append((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - 15))
-    return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
+    return np.concatenate(out).astype(np.uint16) if out else np.empty(0, np.uint16)
 
 
 class Model:
@@ -50,18 +52,27 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         said, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        run: list[int] = []
+        length = 0
         some = [i for i, t in enumerate(texts) if self.languages and t and LETTER.search(t)]
-        if not some:
-            return said, score
-        each = [grams(texts[i]) for i in some]
+        for k, i in enumerate(some):
+            run.append(i)
+            length += len(texts[i])
+            if length < RUN_CHARS and k + 1 < len(some):
+                continue
+            p = self.posterior([grams(texts[j]) for j in run])
+            for j, best, row in zip(run, p.argmax(1), p, strict=True):
+                said[j], score[j] = self.languages[best], float(row[best])
+            run, length = [], 0
+        return said, score
+
+    def posterior(self, each: list[np.ndarray]) -> np.ndarray:
+        """(text, language) of texts' buckets, none of which is empty."""
         at = np.cumsum([0, *(len(g) for g in each[:-1])])
         g = np.concatenate(each)
         total = np.stack([np.add.reduceat(row[g], at) for row in self.log], axis=1) * WEIGHT + self.prior
         p = np.exp(total - total.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        for i, best, row in zip(some, p.argmax(1), p, strict=True):
-            said[i], score[i] = self.languages[best], float(row[best])
-        return said, score
+        return p / p.sum(1, keepdims=True)
 
 
 def fit(labelled: DataFrame, most: int = TRAIN_DOCUMENTS) -> Model:

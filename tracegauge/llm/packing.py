@@ -29,7 +29,7 @@ CAPACITY = 2048
 END = 1
 #: Exact cuts before the tail; workers that pool their unfilled sequences first.
 CUTS, POOL = 2, 64
-CACHE = 400_000
+CACHE = 200_000
 #: Texts of these characters only are cut into words here; others go through the tokenizer as a whole. In this range one
 #: rule lower-cases each character, no text changes under NFC, and white space is plain.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u017f]*")
