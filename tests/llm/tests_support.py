@@ -3,6 +3,8 @@
 import re
 from itertools import combinations
 
+import numpy as np
+
 
 def brute_components(rows, size, percent):
     """The smallest reachable id of each (id, text)."""
@@ -33,15 +35,14 @@ def plain_words(t):
 
 
 def brute_overlaps(doc, item, enough=10, miss=2, share=0.75):
-    """The best segment's value over all diagonals, and whether it is enough."""
-    a, b = ([w for w in plain_words(t) if w] for t in (doc, item))
-    best = 0
-    for d in range(-len(b) + 1, len(a)):
-        run = 0
-        for t in range(max(0, -d), min(len(b), len(a) - d)):
-            run = max(0, run + (1 if a[d + t] == b[t] else -miss))
-            best = max(best, run)
-    return best >= min(enough, -(-len(b) * share // 1)) and best > 0
+    """Whether the best segment over all diagonals is enough."""
+    a, b = (np.array([w for w in plain_words(t) if w], object) for t in (doc, item))
+    best, run = 0, np.zeros(len(a) + 1, int)
+    for w in b:
+        run[1:] = np.maximum(0, run[:-1] + np.where(a == w, 1, -miss))
+        run[0] = 0
+        best = max(best, run.max())
+    return best > 0 and best >= min(enough, np.ceil(share * len(b)))
 
 
 def brute_leaks(rows, items):

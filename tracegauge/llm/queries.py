@@ -74,4 +74,57 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op4_language_id, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_quality_rules, op9_personal_data, op10_brown_lm)
 }
-ORACLES: dict[str, str] = {}
+#: Quality rules, with texts for hashes.
+RULES_SQL = r"""
+with d as (select row_number() over () as row, doc_id, coalesce(source, chr(0)) as host, coalesce(text, '') as text from documents),
+w as (select *, [x for x in string_split_regex(text, '[\x20\x09-\x0D]+') if x <> ''] as ws from d),
+g as (select row, i, array_to_string(ws[i : i + 4], ' ') as g from (select row, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)),
+hit as (select row, i from (select row, i, count(*) over (partition by row, g) as c from g) where c > 1),
+again as (select row, count(distinct k) as n from (select row, unnest(range(i, i + 5)) as k from hit) group by row),
+l as (select row, host, unnest(string_split(text, chr(10))) as line from d),
+dup as (select row, count(*) - count(distinct line) as n from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by row),
+norm as (select row, host, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as x from l),
+common as (select host, x from (select distinct row, host, x from norm where x <> '') group by host, x having count(*) > 50),
+lost as (select row, count(*) as n, sum(length(x) - length(replace(x, ' ', '')) + 1) as words from norm join common using (host, x) group by row),
+a as (select doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(again.n, 0)::bigint as n_repeat_words, coalesce(lost.n, 0)::bigint as n_common_lines, (len(ws) - coalesce(lost.words, 0))::bigint as n_left_words
+from w left join dup using (row) left join again using (row) left join lost using (row)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from a)
+select *, not base_failed and n_left_words >= 10 and 100 * n_left_words >= 50 * n_words as kept from b"""
+#: Diagonal voting, with texts for hashes.
+SCAN_SQL = r"""
+with tpl as (select *, string_split(body, ' ') as ws, least(3, len(string_split(body, ' '))) as k from (values {templates}) as v(template, body, label, base)),
+tg as (select template, label, base, k, len(ws) - k + 1 as grams, t - 1 as t, array_to_string(ws[t : t + k - 1], ' ') as g from (select *, unnest(range(1, len(ws) - k + 2)) as t from tpl)),
+d as (select row_number() over () as row, doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as ws from documents),
+p as (select row, ws, unnest(range(1, len(ws) + 1)) as i from d),
+dg as (select row, i - 1 as p, k, array_to_string(ws[i : i + k - 1], ' ') as g from p, (values (2), (3)) as kk(k) where i + k - 1 <= len(ws)),
+v as (select row, template, label, base, grams, p - t as diagonal, count(*) as votes, min(p) as first, max(p) as last from dg join tg using (k, g) group by all),
+n as (select *, case when base or diagonal - lag(diagonal) over (partition by row, template order by diagonal) > 3 then 1 else 0 end as new from v),
+s as (select *, sum(new) over (partition by row, template order by diagonal) as span from n),
+c as (select row, label, base, grams, sum(votes) as votes, min(first) as first, max(last) as last from s group by row, template, label, base, grams, span),
+h as (select *, case when base then case when votes = grams then 1.0 end when least(1.0, votes / grams) >= 0.75 and last - first < grams + 6 then least(1.0, votes / grams) end as cover from c)
+select doc_id, len(ws)::bigint as n_words, count(*) filter (base and cover is not null) as n_base, min(first) filter (base and cover is not null) as first_word, max(first) filter (base and cover is not null) as last_word,
+coalesce(array_to_string(list_sort(list(distinct label) filter (base and cover is not null)), ','), '') as base_labels, coalesce(array_to_string(list_sort(list(distinct label) filter (cover is not null)), ','), '') as labels,
+coalesce(max(cover), 0.0)::double as score, count(*) filter (not base and cover is not null) as n_spans
+from d left join h using (row) group by row, doc_id, ws"""
+
+
+def scan_sql() -> str:
+    from .licenses import NOTICES, PHRASES
+
+    listed = [(p, label, "true") for p, label in PHRASES.items()] + [(n, label, "false") for label, ns in NOTICES.items() for n in ns]
+    return SCAN_SQL.replace("{templates}", ", ".join(f"({i}, '{t}', '{label}', {base})" for i, (t, label, base) in enumerate(listed)))
+
+
+#: Full sets, all pairs that share a shingle, and the closure of links.
+NEAR_SQL = r"""
+with recursive w as (select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as ws from documents),
+g as (select doc_id, unnest(list_distinct(case when len(ws) < 2 then ws else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end)) as g from w),
+n as (select doc_id, count(*) as n from g group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+edge as (select a, b from link union all select b, a from link),
+reach as (select doc_id as a, doc_id as b from w union select reach.a, edge.b from reach join edge on edge.a = reach.b),
+c as (select a as doc_id, min(b) as component_id from reach group by a)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, w.doc_id = component_id as kept from w join c using (doc_id) left join n using (doc_id)"""
+ORACLES: dict[str, str] = {"op2_near_duplicates": NEAR_SQL, "op3_license_scan": scan_sql(), "op8_quality_rules": RULES_SQL}
