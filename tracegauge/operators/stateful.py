@@ -81,7 +81,7 @@ def dropped(df: DataFrame, names: str) -> DataFrame:
 def failing(df: DataFrame, keys: list[str], order: list[str], error: Column, least: int = 3) -> DataFrame:
     """Runs of errors in a row of at least `least`: key, first and last place, length, and whether they ended."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    marked = df.select(*keys, *order, error.alias("bad"), F.row_number().over(w).alias("n"))
-    marked = marked.withColumn("island", F.col("n") - F.sum(F.col("bad").cast("int")).over(w)).withColumn("last", F.max("n").over(Window.partitionBy(*keys)))
-    runs = marked.where("bad").groupBy(*keys, "island").agg(F.count("*").alias("errors"), F.min("n").alias("first"), F.max("n").alias("until"), F.max("last").alias("last"))
+    marked = df.select(*keys, *order, error.alias("bad"), F.row_number().over(w).alias("_n"))
+    marked = marked.withColumn("island", F.col("_n") - F.sum(F.col("bad").cast("int")).over(w)).withColumn("last", F.max("_n").over(Window.partitionBy(*keys)))
+    runs = marked.where("bad").groupBy(*keys, "island").agg(F.count("*").alias("errors"), F.min("_n").alias("first"), F.max("_n").alias("until"), F.max("last").alias("last"))
     return runs.where(F.col("errors") >= least).select(*keys, "first", "until", "errors", (F.col("until") < F.col("last")).alias("recovered"))
