@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import bounded_sample, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the contract.
@@ -31,7 +31,7 @@ TRIGGER = re.compile("[0-9@]")
 WINDOW, STEP = 64, 32
 TAGS = 1 + 2 * len(KINDS)
 EMBED, HIDDEN = 10, 16
-#: The model is fitted on windows of so many documents at most, those with the smallest hash of text; so many epochs.
+#: The model is fitted on windows of about so many documents, those with the smallest hash of text; so many epochs.
 TRAIN_DOCUMENTS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 1500, 2000, 14, 64, 0.02
 #: A decoded span stands if the mean margin of its tags' scores over O's reaches this.
 MARGIN = 0.0
@@ -250,7 +250,7 @@ def model_spans(text: str, at: list[int], tags: np.ndarray, margins: np.ndarray)
 
 
 def fit_tagger(documents: DataFrame, most: int = TRAIN_DOCUMENTS) -> Tagger | None:
-    """Trains on the patterns' spans in at most `most` documents with triggers (bounded: only windows come to the driver).
+    """Trains on the patterns' spans in about `most` documents with triggers (bounded: only TRAIN_WINDOWS come to the driver).
     None if no document has a span."""
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,8 @@ def fit_tagger(documents: DataFrame, most: int = TRAIN_DOCUMENTS) -> Tagger | No
                         out.append((int.from_bytes(key), bool(ys.any()), np.stack([xs, ys, ms]).astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], ["key", "marked", "window"])
 
-    few = documents.select("text").where("text rlike '[0-9@]'").orderBy(F.xxhash64("text"), "text").limit(most)
+    # about `most` documents, by a hash of their text: no task orders or gathers whole texts
+    few = bounded_sample(documents.select("text").where("text rlike '[0-9@]'"), F.col("text"), most)
     got = few.mapInArrow(labelled, "key long, marked boolean, window binary").orderBy(F.desc("marked"), "key").limit(TRAIN_WINDOWS).collect()
     if not any(r.marked for r in got):
         return None
