@@ -107,3 +107,11 @@ def test_exchange_raises_likelihood():
     b = r.poisson(np.where(kind[:, None] != kind, 9, 1)).astype(float)
     cls = exchange(b, 40, classes=2)
     assert len(set(zip(kind, cls, strict=True))) == 2
+
+
+def test_frequent_words_are_bounded(spark):
+    df = spark.createDataFrame([(bytearray(f"w{i}".encode()), 1 + i // 3) for i in range(90)], "word binary, c long").repartition(5)
+    got = lm.frequent(df, 20)
+    counts = [c for _, c in got]
+    assert 0 < len(got) <= 20 and counts == sorted(counts, reverse=True) and min(counts) > max(c for c in (1 + i // 3 for i in range(90)) if c not in counts)
+    assert len(lm.frequent(df, 100)) == 90 and lm.frequent(df, 1) == [] and lm.frequent(df.limit(0), 5) == []
