@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import findings, secrets
 from ..functions.refusals import refusal_language
-from ..functions.text import grams, json_error, longest_run, normalize, sampled, words
+from ..functions.text import grams, json_error, normalize, sampled, words
 from ..operators import emit, extract, reports, stateful
-from ..operators.evaluators import summary
+from ..operators.evaluators import NGRAM, summary
 from ..operators.runner import evaluate
 from ..schemas import MESSAGES, PART
 from ..streaming.topology import stream_counts
@@ -211,18 +211,39 @@ def refusal_languages(spark, sf_dir):
     return df.select("c_custkey", refusal_language(F.col("head")).alias("language"))
 
 
+def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, shared, longest_run) of each pair of a document and an item, as its instructions, that share an 8-gram:
+    the distinct shared ones, and the words of the longest run of them. Rows that repeat doc_id and text are one. Items are
+    the small side; documents' 8-grams meet theirs by hash, whichever item they are of."""
+    b = benchmark.select("item_id", words("text").alias("w")).select("item_id", F.explode(grams(F.col("w"), NGRAM)).alias("g")).distinct()
+    d = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words("text").alias("w"))
+    hits = d.select("doc_id", "row", F.posexplode(grams(F.col("w"), NGRAM)).alias("p", "g")).join(b, "g")
+    both = hits.groupBy("doc_id", "row", "item_id").agg(F.collect_set("g").alias("x"), F.array_sort(F.collect_set("p")).alias("at"))
+    # places of a run are consecutive: a place less its index is the same in all of it
+    both = both.withColumn("runs", F.transform("at", lambda p, i: p - i))
+    run = F.aggregate("runs", F.struct(F.lit(-1).alias("of"), F.lit(0).alias("n"), F.lit(0).alias("best")), _longer, lambda a: a["best"])
+    return both.select("doc_id", "item_id", F.size("x").cast("long").alias("shared"), (run + NGRAM - 1).cast("long").alias("longest_run"))
+
+
+def _longer(a: Column, x: Column) -> Column:
+    n = F.when(a["of"] == x, a["n"] + 1).otherwise(F.lit(1))
+    return F.struct(x.alias("of"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
+
+
+@query()
+def prompt_leak_pairs(spark, sf_dir):
+    """All documents against all benchmark items as their instructions."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("""with w as (select doc_id, doc_id % 10 as item, [x for x in string_split_regex(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') if x <> ''] as w from documents),
 b as (select item_id as item, [x for x in string_split_regex(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') if x <> ''] as w from benchmark where item_id < 10),
 dg as (select doc_id, item, unnest(range(1, len(w) - 6)) as p, w from w where len(w) >= 8), d as (select doc_id, item, p, array_to_string(w[p : p + 7], ' ') as g from dg),
 bg as (select item, unnest(range(1, len(w) - 6)) as p, w from b where len(w) >= 8), bs as (select distinct item, array_to_string(w[p : p + 7], ' ') as g from bg)
 select d.doc_id, count(distinct d.g) as shared from d join bs using (item, g) group by d.doc_id""".replace("\\\\p", "\\p"))
 def prompt_leak(spark, sf_dir):
-    """Each document against one benchmark item as its instructions: distinct shared 8-grams, where there are some."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("item"), words("text").alias("w"))
-    b = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("item"), words("text").alias("b"))
-    both = d.join(b, "item").select("doc_id", grams(F.col("w"), 8).alias("x"), grams(F.col("b"), 8).alias("y"))
-    both = both.withColumn("run", longest_run(F.transform("x", lambda g: F.array_contains("y", g))))
-    return both.where("run > 0").select("doc_id", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
+    """The part of prompt_leak_pairs that the SQL says: each document against one benchmark item as its instructions."""
+    return prompt_leak_pairs(spark, sf_dir).where("item_id < 10 and item_id = doc_id % 10").select("doc_id", "shared")
 
 
 @query("""select event_id, event_id % 3 = 0 as valid from events""")
