@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, prepare
+from .common import materialize, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the contract.
@@ -31,8 +31,9 @@ TRIGGER = re.compile("[0-9@]")
 WINDOW, STEP = 64, 32
 TAGS = 1 + 2 * len(KINDS)
 EMBED, HIDDEN = 10, 16
-#: The model is fitted on windows of about so many documents, those with the smallest hash of text; so many epochs.
-TRAIN_DOCUMENTS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 1500, 2000, 14, 64, 0.02
+#: The model is fitted on up to so many distinct windows with a span's character and as many without, each those with the
+#: smallest hash in all documents; so many epochs.
+TRAIN_EACH, EPOCHS, BATCH, RATE = 1000, 14, 64, 0.02
 #: A decoded span stands if the mean margin of its tags' scores over O's reaches this.
 MARGIN = 0.0
 
@@ -249,30 +250,57 @@ def model_spans(text: str, at: list[int], tags: np.ndarray, margins: np.ndarray)
     return out
 
 
-def fit_tagger(documents: DataFrame, most: int = TRAIN_DOCUMENTS) -> Tagger | None:
-    """Trains on the patterns' spans in about `most` documents with triggers (bounded: only TRAIN_WINDOWS come to the driver).
-    None if no document has a span."""
+def training_windows(documents: DataFrame, each: int = TRAIN_EACH) -> DataFrame:
+    """(key, marked, window) of up to `each` distinct windows that are marked, and as many that aren't: of all documents' windows,
+    those with the smallest hash of their text and tags. A task keeps no more than twice as many of its own at a time, and gives so many of each."""
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bool, dict[int, bytes]] = {True: {}, False: {}}
+        limit = {True: 1 << 62, False: 1 << 62}
+
+        def shrink(m: bool):
+            kept[m] = dict(sorted(kept[m].items())[:each])
+            limit[m] = max(kept[m]) if len(kept[m]) == each else 1 << 62
+
         for batch in batches:
-            out = []
             for text in batch.column("text").to_pylist():
-                if text and TRIGGER.search(text):
-                    y, (at, x, mask) = tags_of(text), cut(text)
-                    for a, xs, ms in zip(at, x, mask, strict=True):
-                        ys = y[a : a + WINDOW].copy()
-                        # a span that begins before the window begins at the window's start
-                        j = 0
-                        while j < WINDOW and ys[j] > 0 and ys[j] % 2 == 0:
-                            ys[j] = ys[j] if j else ys[j] - 1
-                            j += 1
-                        key = hashlib.blake2b(text[a : a + WINDOW].encode(errors="replace"), digest_size=7).digest()
-                        out.append((int.from_bytes(key), bool(ys.any()), np.stack([xs, ys, ms]).astype(np.uint8).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], ["key", "marked", "window"])
-
-    # about `most` documents, by a hash of their text: no task orders or gathers whole texts
-    few = bounded_sample(documents.select("text").where("text rlike '[0-9@]'"), F.col("text"), most)
-    got = few.mapInArrow(labelled, "key long, marked boolean, window binary").orderBy(F.desc("marked"), "key").limit(TRAIN_WINDOWS).collect()
+                if not (text and TRIGGER.search(text)):
+                    continue
+                y, c = tags_of(text), None
+                for a in windows_at(text):
+                    ys = y[a : a + WINDOW].copy()
+                    # a span that begins before the window begins at the window's start
+                    j = 0
+                    while j < WINDOW and ys[j] > 0 and ys[j] % 2 == 0:
+                        ys[j] = ys[j] if j else ys[j] - 1
+                        j += 1
+                    m = bool(ys.any())
+                    tags = ys.astype(np.uint8).tobytes()
+                    key = int.from_bytes(hashlib.blake2b(text[a : a + WINDOW].encode(errors="replace") + tags, digest_size=7).digest())
+                    if key >= limit[m] or key in kept[m]:
+                        continue
+                    if c is None:
+                        c = np.concatenate([codes(text), np.full(WINDOW, 129, np.int64)])
+                    inside = np.arange(a, a + WINDOW) < len(text)
+                    kept[m][key] = c[a : a + WINDOW].astype(np.uint8).tobytes() + tags + inside.astype(np.uint8).tobytes()
+                    if len(kept[m]) >= 2 * each:
+                        shrink(m)
+        for m in kept:
+            shrink(m)
+        rows = [(k, m, w) for m in kept for k, w in kept[m].items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["key", "marked", "window"])
+
+    found = documents.select("text").where("text rlike '[0-9@]'").mapInArrow(labelled, "key long, marked boolean, window binary")
+    # equal windows of several tasks are one; both halves are read from one result
+    found = materialize(found.groupBy("marked", "key").agg(F.first("window").alias("window")), "windows")
+    half = lambda m: found.where("marked" if m else "not marked").orderBy("key").limit(each)
+    return half(True).unionByName(half(False)).select("key", "marked", "window")
+
+
+def fit_tagger(documents: DataFrame, each: int = TRAIN_EACH) -> Tagger | None:
+    """Trains on the patterns' spans in the training windows (bounded: only twice `each` come to the driver). None if no
+    document has a span."""
+    got = sorted(training_windows(documents, each).collect(), key=lambda r: r.key)
     if not any(r.marked for r in got):
         return None
     data = np.stack([np.frombuffer(r.window, np.uint8).reshape(3, WINDOW) for r in got]).astype(np.int64)
