@@ -4,7 +4,8 @@ A seed is the hash of the words under the ones of a fixed mask; the words under
 benchmark and all seeds of the documents are joined; a document's seeds are tested against a fixed-size Bloom filter of
 the benchmark's first, so that few of them take part in the join. A hit of item word t at document word p says that the
 item lies along the diagonal p - t there. Along it, equal words count 1 and others -MISS: the best segment decides, so that
-overlaps with substituted words are found, and single common phrases are not enough.
+overlaps with substituted words are found, and single common phrases are not enough. An item of which SHARE of the words are
+there, in order, within NEAR words of the diagonal, is found too: there neighbouring diagonals are joined.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import materialize, mix, prepare
 MASKS = ("11111", "1101011", "1011101", "11010101")
 #: A segment needs such a score, or SHARE of the item's words if the item is shorter.
 ENOUGH, MISS, SHARE = 10, 2, 0.75
+#: Words put in or left out move what follows by up to so many places.
+NEAR = 8
 BLOOM_BITS = 24
 BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -78,9 +81,36 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     return items.groupBy("words").agg(F.min("item_id").alias("item_id"), F.first("seeds").alias("seeds"))
 
 
+def aligned(a: np.ndarray, b: np.ndarray, off: int, least: int) -> tuple[int, int, int] | None:
+    """(equal, words, first place) in a of the longest common subsequence of a and b that stays in the band where b's word i meets
+    a's words i + off .. i + off + 2 * NEAR, if it has `least` words."""
+    if np.isin(b, a).sum() < least:
+        return None
+    width = 2 * NEAR + 1
+    at = np.arange(len(b))[:, None] + off + np.arange(width)
+    same = (at >= 0) & (at < len(a)) & (a[np.clip(at, 0, len(a) - 1)] == b[:, None])
+    best = np.zeros((len(b) + 1, width + 1), np.int32)
+    for i in range(len(b)):
+        np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + same[i]), out=best[i + 1, :-1])
+    n = int(best[-1, width - 1])
+    if n < least:
+        return None
+    i, k, places = len(b), width - 1, []
+    while best[i, k]:
+        if best[i - 1, k + 1] == best[i, k]:
+            i, k = i - 1, k + 1
+        elif k and best[i, k - 1] == best[i, k]:
+            k -= 1
+        else:
+            if same[i - 1, k]:
+                places.append(int(at[i - 1, k]))
+            i -= 1
+    return n, places[0] - places[-1] + 1, places[-1]
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, row, item_id, n_equal, n_words, first_word, item_words): each pair of a document and an item with a segment
-    that is good enough; of several, the best one (then the first). row is a hash of doc_id and text, by which texts that share a doc_id are told
+    that is good enough; of several, the best one (then the first). Without one, SHARE of the item's words near a diagonal. row is a hash of doc_id and text, by which texts that share a doc_id are told
     apart; rows that repeat both are one.
 
     documents: (doc_id, text); benchmark: (item_id, text). Null or empty texts have no words and no pair. Items with equal
@@ -131,12 +161,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # the document's words that lie along the item, and the item's that lie along the document
     pairs = near.join(docs.select("row", "doc_id", F.col("words").alias("doc_words")), "row").join(items.select("item", "item_id", "words"), "item")
     skip = F.greatest(-F.col("diagonal"), F.lit(0))
-    pairs = pairs.select("row", "doc_id", "item", "item_id", "diagonal", skip.alias("skip"), F.size("words").alias("item_words"), F.slice("doc_words", F.greatest("diagonal", F.lit(0)) + 1, F.size("words") - skip).alias("a"), F.slice("words", skip + 1, F.size("words")).alias("b"))
+    pairs = pairs.select("row", "doc_id", "item", "item_id", "diagonal", skip.alias("skip"), F.size("words").alias("item_words"), F.slice("doc_words", F.greatest("diagonal", F.lit(0)) + 1, F.size("words") - skip).alias("a"), F.slice("words", skip + 1, F.size("words")).alias("b"),
+        # the same with what is near, for the item as a whole
+        F.greatest(F.col("diagonal") - NEAR, F.lit(0)).alias("wide_first"), F.slice("doc_words", F.greatest(F.col("diagonal") - NEAR, F.lit(0)) + 1, F.greatest(F.size("words") + F.col("diagonal") + NEAR, F.lit(0)) - F.greatest(F.col("diagonal") - NEAR, F.lit(0))).alias("wide"), "words")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, out = [], []
-            for i, (a, b, n, d, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "item_words", "diagonal", "skip")), strict=True)):
+            for i, (a, b, n, d, s, wide, item, wide_first) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "item_words", "diagonal", "skip", "wide", "words", "wide_first")), strict=True)):
                 size = min(len(a), len(b))
                 same = np.array(a[:size]) == np.array(b[:size])
                 total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISS))])
@@ -146,6 +178,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if total[end] - total[begin] >= min(ENOUGH, np.ceil(SHARE * n)):
                     keep.append(i)
                     out.append((int(total[end] - total[begin]), int(same[begin:end].sum()), end - begin, d + s + begin))
+                elif whole := aligned(np.array(wide, np.int64), np.array(item, np.int64), d - NEAR - wide_first, int(np.ceil(SHARE * n))):
+                    # after all segments that are good enough by themselves
+                    keep.append(i)
+                    out.append((whole[0] - n - 1, whole[0], whole[1], wide_first + whole[2]))
             some = batch.select(["doc_id", "row", "item", "item_id", "item_words"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array([x[k] for x in out], pa.int64()) for k in range(4))], ["doc_id", "row", "item", "item_id", "item_words", "value", "n_equal", "n_words", "first_word"])
 
