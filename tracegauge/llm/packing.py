@@ -2,8 +2,9 @@
 
 Class j holds pieces longer than capacity / (j + 1) and no longer than capacity / j, so that any j of them fit one
 sequence. Each worker fills the classes' sequences by itself, j pieces to each; only the pieces of its unfilled
-sequences (a bounded number for each worker) go on, first to groups of workers, then to all, and at last, when fewer than
-j pieces of each class are left in the whole input, to one best-fit pass over that constant number of pieces.
+sequences (fewer than j of each class) go on: to groups of POOL workers, from there to groups of POOL groups, and so on, so
+that no group ever holds more than POOL * j pieces of class j, however many workers there are. At last, when fewer than j
+pieces of each class are left in the whole input, one best-fit pass places that constant number of pieces.
 
 A document may be cut: full sequences first, then pieces of exactly capacity // j tokens, whose classes fill without
 padding, and a short tail.
@@ -27,9 +28,10 @@ from .common import materialize, prepare
 
 CAPACITY = 2048
 END = 1
-#: Exact cuts before the tail; workers that pool their unfilled sequences first.
-CUTS, POOL = 2, 64
-CACHE = 200_000
+#: Exact cuts before the tail; workers, or groups of them, that pool their unfilled sequences.
+CUTS, POOL = 2, 8
+#: Words whose ids a worker keeps, and how many unknown ones are encoded together.
+CACHE, RUN = 600_000, 512
 #: Texts of these characters only are cut into words here; others go through the tokenizer as a whole. In this range one
 #: rule lower-cases each character, no text changes under NFC, and white space is plain.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u017f]*")
@@ -48,10 +50,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        # the last id of each word, and no other, has the word-end mark
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, np.bool_)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ids(text).tobytes()
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: list[str]) -> None:
+        """The words go through the tokenizer in runs, as one text; the word ends cut its ids into the words' own."""
+        for i in range(0, len(words), RUN):
+            run = words[i : i + RUN]
+            ids = self.ids(" ".join(run))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(run):  # a tokenizer without such marks
+                self.known.update((w, self.whole(w)) for w in run)
+                continue
+            packed, begin = ids.tobytes(), 0
+            for w, end in zip(run, (4 * ends).tolist(), strict=True):
+                self.known[w] = packed[begin:end]
+                begin = end
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         plain = [bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
@@ -59,9 +82,7 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        if new := list({w for ws in split for w in ws if w not in known}):
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
+        self.learn([w for w in set().union(*split) if w not in known])
         for t, p, ws in zip(texts, plain, split, strict=True):
             yield b"".join(map(known.__getitem__, ws)) if p else self.whole(t)
 
@@ -124,7 +145,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
                     if len(one) == kind:
                         offset = 0
                         for x in one:
-                            x[5], x[6] = (1 << 60) | (worker << 36) | made, offset
+                            x[5], x[6] = (1 << 59) | (worker << 36) | made, offset
                             offset += x[2]
                         made += 1
                         rows += one
@@ -138,14 +159,16 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     names = pieces.columns[:7]
     done = [pieces.where("sequence_id is not null").select(names)]
     rest = pieces.where("sequence_id is null")
-    for level, pool in ((2, F.floor(F.col("worker") / POOL)), (3, F.lit(0).cast("long"))):
-        rest = rest.withColumn("pool", pool)
+    level, pools = 1, (pieces.agg(F.max("worker")).first()[0] or 0) + 1
+    while pools > 1:
+        level, pools = level + 1, -(-pools // POOL)
+        rest = rest.withColumn("pool", F.floor(F.col("worker") / POOL ** (level - 1)))
         w = Window.partitionBy("kind", "pool")
         rest = rest.withColumn("rank", F.row_number().over(w.orderBy("worker", "nth")) - 1).withColumn("bin", F.floor(F.col("rank") / F.col("kind")))
         rest = rest.withColumn("full", (F.col("bin") + 1) * F.col("kind") <= F.count(F.lit(1)).over(w))
         rest = rest.withColumn("offset", F.sum("length").over(Window.partitionBy("kind", "pool", "bin").orderBy("rank")) - F.col("length"))
-        # 12 bits for the class, 22 for the pool, 24 for the sequence in it
-        sequence = F.lit(level << 60 if level < 4 else 0).bitwiseOR(F.shiftleft(F.col("kind").cast("long"), 46)).bitwiseOR(F.shiftleft(F.col("pool"), 24)).bitwiseOR(F.col("bin"))
+        # 4 bits for the level, 12 for the class, 23 for the pool, 24 for the sequence in it
+        sequence = F.lit(level << 59).bitwiseOR(F.shiftleft(F.col("kind").cast("long"), 47)).bitwiseOR(F.shiftleft(F.col("pool"), 24)).bitwiseOR(F.col("bin"))
         rest = materialize(rest.withColumn("sequence_id", F.when(F.col("full"), sequence)), f"pieces-{level}")
         done.append(rest.where("full").select(names))
         rest = rest.where("not full").drop("pool", "rank", "bin", "full")
