@@ -1,9 +1,11 @@
+import math
 import random
 import re
+from collections import defaultdict
 
 import pytest
 
-from tracegauge.llm.htmltree import extract, main_text
+from tracegauge.llm.htmltree import DAMP, branches, extract, importance, main_text, merged
 
 CASES = [
     ("", ""), ("plain &amp; text", "plain & text"), ("<p>a<p>b", "a\nb"), ("<article><h1>T</h1><p>a <b>b</b>\n c<br>d</p></article>", "T\na b c d"),
@@ -44,3 +46,87 @@ def test_repeated_branches_go(spark):
     # exact copies are no evidence
     copies = spark.createDataFrame([(i, "http://c.example/", "<p>all the same</p>") for i in range(50)], "page_id long, url string, html string")
     assert {r.text for r in extract(copies).collect()} == {"all the same"}
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body class='home right-sidebar'><div><p>a</p></div></body>", "a"),
+        ("<div class='no-comments'><p>a</p></div>", "a"),
+        ("<article class='article-header'><p>a</p></article>", "a"),
+        ("<article class='header'><p>a</p></article>", "a"),
+        ("<div class='content with-ads'><article><p>a</p></article><div class='ads'>b</div></div>", "a"),
+        ("<div class='promo'><article><p>a</p></article></div>", "a"),
+        ('<p title="x>b', "b"),
+        ('<p title="x>b</p><p class=\'y>c</p>', "b\nc"),
+        ("<form><article><p>a</p></article></form><form>b</form>", "a"),
+        ("<article>teaser</article><div>" + "<p>long body text</p>" * 5 + "</div>", "teaser\n" + "\n".join(["long body text"] * 5)),
+        ("<div role='main' class='banner'><p>a</p></div><p>b</p>", "a"),
+    ],
+)
+def test_roles_and_broken_tags(html, text):
+    assert main_text(html) == text
+
+
+def test_deep_and_long_pages():
+    assert main_text("<div>" * 50_000 + "a" + "</div>" * 50_000) == "a"
+    assert len(branches("<div>" * 50_000 + "a")) == 40
+    assert main_text("<a '" * 50_000 + ">b") == "b"
+
+
+def brute_importance(pages):
+    """By a walk over each host's tree, from the same statements about pages as the module's docstring."""
+    seen = defaultdict(dict)
+    for host, html in {(h, p) for h, p in pages}:
+        for path, (up, _, shown, said) in branches(html).items():
+            at = seen[host].setdefault(path, (up, [], defaultdict(int)))
+            at[1].append(shown)
+            for x in said:
+                at[2][x] += 1
+    out = {}
+    for host, nodes in seen.items():
+
+        def value(path):
+            _, shown, said = nodes[path]
+            m = len(shown)
+            log = lambda x: math.log(x, m + 1)
+            look = 1.0 if m == 1 else -sum(n / m * log(n / m) for n in (shown.count(s) for s in set(shown)))
+            parts = [(len(nodes[k][1]), *v) for k in nodes if nodes[k][0] == path and (v := value(k))]
+            if said:
+                parts.append((m, 1.0 if m == 1 else 1 - sum(log(n) for n in said.values()) / len(said), 0))
+            if not parts:
+                return None
+            w = DAMP ** len(parts)
+            own = w * sum(p[0] * p[1] for p in parts) / sum(p[0] for p in parts) + (1 - w) * look
+            peak = max([own, *(p[2] for p in parts)])
+            out[host, path] = (m, round(own, 9), round(peak, 9))
+            return own, peak
+
+        for path in nodes:
+            if nodes[path][0] == 0:
+                value(path)
+    return out
+
+
+def test_importance_of_small_hosts(spark):
+    rng = random.Random(8)
+    words = lambda: " ".join(rng.choice("one two three four".split()) for _ in range(2))
+    page = lambda: f"<div class=top><p>Site</p><ul>{'<li>x' * rng.randrange(1, 3)}</ul></div><div><h1>{words()}</h1>{''.join(f'<p>{words()}</p>' for _ in range(rng.randrange(4)))}<img></div>"
+    pages = [(rng.choice("abc"), page()) for _ in range(40)] + [("d", "<p>only</p>")] + [("e", "")]
+    df = spark.createDataFrame([*pages, pages[0]], "host string, html string").repartition(3)
+    got = {(r.host, r.branch): (r.pages, round(r.importance, 9), round(r.peak, 9)) for r in importance(merged(df)).collect()}
+    assert got == brute_importance(pages) and len(got) > 20
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    """Without low branches the site's line would stay; a page that has nothing else keeps it; other branches of the tables join."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(6))
+    rows = [(i, "http://a.example/", f"<div class=strap><p>Made by us</p></div><div class=body><p>{word()}</p></div>") for i in range(12)]
+    rows.append((50, "http://a.example/", "<div class=strap><p>Made by us</p></div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert all(got[i] and "Made" not in got[i] for i in range(12)) and got[50] == "Made by us"
+    assert all("Made by us" in main_text(html) for _, _, html in rows)
+    monkeypatch.setattr("tracegauge.llm.htmltree.BROADCAST_ROWS", 0)
+    assert {r.page_id: r.text for r in extract(df).collect()} == got

@@ -1,11 +1,17 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged by element path (tags with their class and id names). Over the host's distinct pages, each
-path has the entropy of its presentations (sequences of child elements) and of its contents (texts of the whole branch),
-to the base of the number of pages: a branch that looks and reads the same on most pages has a low importance and is
-removed from each page. Menus, adverts and footers whose words change from page to page have high entropies, so elements
-whose role is written on them (nav, footer, aside, class="ad", ...) have no importance from the start. Where a page marks
-its article (<article> or <main>), its text is read within it.
+The pages of a host are merged by element path (tags with their class and id names): a node of the merged tree has, over
+the distinct pages that have it, presentations (sequences of child elements) and contents (the texts directly in it). With
+m pages, entropies to the base m + 1 (as if one more page were without it, so that few pages prove little) give
+
+- the presentation's importance, the entropy of the presentations' shares;
+- the contents' importance, 1 less the mean of the contents' entropies over pages: a text on all pages has entropy 1;
+- the composite importance, DAMP^l times the mean of the l parts' (own contents, children, by the pages that have them),
+  and 1 - DAMP^l times the presentation's, from the leaves up.
+
+A branch all of whose nodes are of low importance is removed from each page that has something else. Menus and adverts whose
+words change from page to page have a high entropy; elements whose role is written on them (nav, footer, class="ad", ...)
+therefore have none from the start. Where articles (<article>, <main>) hold the page's text, it is read within them.
 """
 
 from __future__ import annotations
@@ -21,12 +27,16 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare
 
-#: Branches of less importance go, where a host has so many distinct pages with them.
-LEAST, PAGES = 0.1, 20
-#: Branches of low importance that are broadcast; beyond that, pages are joined with those of their host.
+#: Branches of less importance go; weight of a node's parts for each of them.
+LEAST, DAMP = 0.1, 0.9
+#: What is nested deeper than this belongs to the element at this depth.
+DEEPEST = 40
+#: Articles are all of the page's text if they hold this share of what has no role against it.
+ARTICLES = 0.2
+#: Branches of low importance that are broadcast; beyond that, they are joined with the pages that have them.
 BROADCAST_ROWS = 200_000
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,45 +44,58 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What a start tag closes, up to the nearest of the others.
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+#: Elements with a role other than text; words that say so as a whole class, id or role (text with it is what a menu, an advert, ... is).
 NO_ROLE = frozenset("head title script style noscript template nav header footer aside form button select option textarea iframe svg canvas object audio video dialog menu".split())
+NEVER_NAMED = frozenset("html body main article".split())
 NO_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside footer header masthead comment comments reply replies respond disqus discussion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager skip complementary contentinfo search alert".split()
 )
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "main", "kids", "text")
+    """An element: its path as a hash, its parent, whether its role is against it (1: by name, 2: by tag), and its children."""
 
-    def __init__(self, tag: str, path: str, dropped: bool, main: bool):
-        self.tag, self.path, self.dropped, self.main, self.kids, self.text = tag, path, dropped, main, [], []
+    __slots__ = ("tag", "path", "up", "depth", "role", "main", "kids")
+
+    def __init__(self, tag: str, path: int, up: Node | None, role: int = 0, main: bool = False):
+        self.tag, self.path, self.up, self.role, self.main, self.kids = tag, path, up, role, main, []
+        self.depth = up.depth + 1 if up else 0
+
+
+def key(*parts: str) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest("\x00".join(parts).encode(errors="replace")), signed=True)
 
 
 def names_of(attributes: str) -> list[str]:
-    return sorted({w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w}) if attributes.strip() else []
+    """Whole class, id and role names, sorted; their numbers don't count."""
+    return sorted({re.sub("[0-9]+", "0", w) for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()}) if attributes.strip() else []
 
 
-def parse(html: str) -> Iterator[tuple[str, object]]:
+def parse(html: str) -> list[tuple[str, object]]:
     """Events of a page, in order: ("open", node), ("text", decoded text), ("close", node). Every node that opens closes."""
-    stack = [Node("", "", False, False)]
+    events: list[tuple[str, object]] = []
+    stack = [Node("", 0, None)]
     at, n = 0, len(html)
 
-    def close_to(i: int) -> Iterator[tuple[str, object]]:
+    def close_to(i: int) -> None:
         while len(stack) > i:
-            yield "close", stack.pop()
+            events.append(("close", stack.pop()))
 
     while at < n:
         m = TAG.search(html, at)
-        if (text := html[at : m.start()] if m else html[at:]):
-            yield "text", unescape(text)
+        if text := html[at : m.start()] if m else html[at:]:
+            events.append(("text", unescape(text) if "&" in text else text))
         if not m:
             break
         at = m.end()
-        if not (tag := (m[2] or "").lower()):
+        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not tag:
             continue
-        if m[1]:
+        tag = tag.lower()
+        if slash:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    yield from close_to(i)
+                    close_to(i)
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK:  # an inline end doesn't close blocks
                     break
@@ -80,7 +103,7 @@ def parse(html: str) -> Iterator[tuple[str, object]]:
         if tag in BLOCK:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    yield from close_to(i)
+                    close_to(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
@@ -90,120 +113,169 @@ def parse(html: str) -> Iterator[tuple[str, object]]:
                 if stack[i].tag in until:
                     break
                 if stack[i].tag in ends.split():
-                    yield from close_to(i)
+                    close_to(i)
                     break
-        up, names = stack[-1], names_of(m[3] or "")
-        node = Node(tag, f"{up.path}/{'.'.join([tag, *names])}", up.dropped or tag in NO_ROLE or bool(NO_NAME.intersection(names)), tag in ("article", "main") or "main" in names and "role" in (m[3] or "").lower())
-        yield "open", node
-        if tag in VOID or (m[3] or "").endswith("/"):
-            yield "close", node
+        up, names = stack[-1], names_of(attributes)
+        role = 2 if tag in NO_ROLE and tag != "form" else 1 if tag == "form" or tag not in NEVER_NAMED and NO_NAME.intersection(names) else 0
+        main = tag in ("article", "main") or "main" in names and "role" in attributes.lower()
+        role = 0 if main else role
+        node = Node(tag, key(f"{up.path}/{'.'.join([tag, *names])}"), up, role, main)
+        up.kids.append(tag)
+        if main:  # what encloses an article isn't an advert, whatever its name
+            while up and up.role < 2:
+                up.role, up = 0, up.up
+        events.append(("open", node))
+        if tag in VOID or attributes.endswith("/"):
+            events.append(("close", node))
             continue
         stack.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
             at = end.start() if end else n
-    yield from close_to(1)
+    close_to(1)
+    return events
 
 
-def key(*parts: str) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest("\x00".join(parts).encode(errors="replace")), signed=True)
-
-
-def branches(html: str) -> dict[str, tuple[int, int]]:
-    """Of each path in the page that has no role against it: hashes of its presentations and of its contents."""
-    open_: list[Node] = []
-    found: dict[str, tuple[list, list]] = {}
+def branches(html: str) -> dict[int, list]:
+    """Of each path in the page that has no role against it: its parent's path, its depth, its presentation in the page, and
+    the hashes of the texts in it. What lies deeper than DEEPEST counts as its ancestor's text there."""
+    found: dict[int, list] = {}
+    here: list[Node] = []
+    off = 0
     for kind, x in parse(html):
         if kind == "text":
-            for node in open_:
-                node.text.append(x)
-        elif kind == "open":
-            if open_:
-                open_[-1].kids.append(x.tag)
-            if not x.dropped:
-                open_.append(x)
-        elif not x.dropped:
-            open_.remove(x)
-            shown, said = found.setdefault(x.path, ([], []))
-            shown.append(" ".join(x.kids))
-            said.append(SPACE.sub(" ", "".join(x.text)).strip())
-    return {p: (key(*shown), key(*said)) for p, (shown, said) in found.items()}
+            if not off and here and (said := SPACE.sub(" ", x).strip()):
+                found[here[-1].path][3].add(key(said))
+            continue
+        step = 1 if kind == "open" else -1
+        off += step * (x.role > 0)
+        if off or x.depth > DEEPEST or kind == "close" and x.role:
+            continue
+        if kind == "open":
+            here.append(x)
+            if x.path not in found:
+                found[x.path] = [x.up.path, x.depth, [], set()]
+        else:
+            here.pop()
+            found[x.path][2].append(" ".join(x.kids))
+    return {p: [up, depth, key(*shown), said] for p, (up, depth, shown, said) in found.items()}
 
 
 def main_text(html: str, unimportant: frozenset | set = frozenset()) -> str:
-    """The page's blocks, without branches whose paths' keys are unimportant; within its articles if it has some."""
-    events = list(parse(html))
-    marked = any(kind == "open" and x.main and not x.dropped and key(x.path) not in unimportant for kind, x in events)
-    blocks: list[str] = []
+    """The page's blocks without the unimportant branches (hashes of paths); within its articles if they hold its text. A page of
+    which nothing would be left keeps those branches."""
+    events = parse(html)
+    text = blocks(events, unimportant)
+    return text if text or not unimportant else blocks(events, frozenset())
+
+
+def blocks(events: list[tuple[str, object]], unimportant: frozenset | set) -> str:
+    done: list[tuple[str, bool]] = []
     block: list[str] = []
     off = inside = 0
-    low: dict[str, bool] = {}
 
     def end() -> None:
         if text := SPACE.sub(" ", "".join(block)).strip():
-            blocks.append(text)
+            done.append((text, inside > 0))
         block.clear()
 
     for kind, x in events:
         if kind == "text":
-            if not off and (inside or not marked):
+            if not off:
                 block.append(x)
             continue
-        if x.path not in low:
-            low[x.path] = x.dropped or key(x.path) in unimportant
-        step = 1 if kind == "open" else -1
-        off += step * low[x.path]
-        inside += step * x.main
-        if x.tag in BLOCK:
+        if x.tag in BLOCK or x.main:
             end()
         elif x.tag == "br":
             block.append(" ")
+        step = 1 if kind == "open" else -1
+        off += step * (x.role > 0 or x.path in unimportant and not x.main)
+        inside += step * (x.main and not off)
     end()
-    return "\n".join(blocks)
+    own = [t for t, main in done if main]
+    return "\n".join(own if own and sum(map(len, own)) >= ARTICLES * sum(len(t) for t, _ in done) else [t for t, _ in done])
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """(host, branch, pages, importance) of the style trees of pages (host, html). Pages with the same text count once."""
+def merged(pages: DataFrame) -> DataFrame:
+    """(host, branch, up, depth, page, text, value): of each distinct page (by its html) of a host and each path in it, the
+    presentation (text false) and each content (text true), as hashes."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"host": pa.string(), "branch": pa.int64(), "up": pa.int64(), "depth": pa.int32(), "page": pa.int64(), "text": pa.bool_(), "value": pa.int64()}
         for batch in batches:
             rows = []
-            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                found = branches(html or "")
-                page = key(*(str(x) for p in sorted(found) for x in found[p]))
-                rows += [(host, key(p), page, shown, said) for p, (shown, said) in found.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "branch", "page", "shown", "said"])
-
-    rows = pages.select("host", "html").mapInArrow(nodes, "host string, branch long, page long, shown long, said long").distinct()
-    m = rows.groupBy("host", "branch", "shown", "said").agg(F.count("*").alias("n"))
-    entropy = lambda c: m.groupBy("host", "branch", c).agg(F.sum("n").alias("n")).groupBy("host", "branch").agg(F.sum("n").alias("pages"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(f"h_{c}"))
-    both = entropy("shown").join(entropy("said").drop("pages"), ["host", "branch"])
-    return both.select("host", "branch", "pages", (F.greatest("h_shown", "h_said") / F.log(F.greatest(F.col("pages"), F.lit(2)))).alias("importance"))
-
-
-def extract(pages: DataFrame, least: float = LEAST, enough: int = PAGES) -> DataFrame:
+            for host, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
+                for p, (up, depth, shown, said) in branches(html or "").items():
+                    rows.append((host, p, up, depth, page, False, shown))
+                    rows += [(host, p, up, depth, page, True, x) for x in said]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    return pages.select("host", "html", F.xxhash64("html").alias("page")).mapInArrow(nodes, "host string, branch long, up long, depth int, page long, text boolean, value long").distinct()
+
+
+def importance(tree: DataFrame) -> DataFrame:
+    """(host, branch, pages, importance, peak) of a merged tree; peak is the greatest importance in the branch."""
+    each = tree.groupBy("host", "branch", "up", "depth", "text", "value").agg(F.count("*").alias("n"))
+    shown, n = ~F.col("text"), F.col("n")
+    own = each.groupBy("host", "branch", "up", "depth").agg(
+        F.sum(F.when(shown, n)).alias("pages"), F.sum(F.when(shown, n * F.log(n))).alias("spread"), F.count_if("text").alias("texts"), F.sum(F.when(F.col("text"), F.log(n))).alias("repeated")
+    )
+    base = F.log(F.col("pages") + 1)
+    own = own.withColumn("look", (F.log("pages") - F.col("spread") / F.col("pages")) / base).withColumn("said", F.when(F.col("texts") > 0, 1 - F.col("repeated") / F.col("texts") / base))
+    # a page's own look is all there is to see if no other page has the element
+    own = own.withColumn("look", F.when(F.col("pages") == 1, 1.0).otherwise(F.col("look"))).withColumn("said", F.when((F.col("pages") == 1) & (F.col("texts") > 0), 1.0).otherwise(F.col("said")))
+    own = materialize(own.drop("spread", "texts", "repeated"), "nodes")
+    deepest = own.agg(F.max("depth")).first()[0] or 0
+    done, below = [], None
+    for depth in range(deepest, 0, -1):
+        level = own.where(F.col("depth") == depth)
+        if below is None:
+            level = level.withColumns({"parts": F.lit(0).cast("long"), "weight": F.lit(0).cast("long"), "mean": F.lit(0.0), "above": F.lit(None).cast("double")})
+        else:
+            level = level.join(below, ["host", "branch"], "left").na.fill({"parts": 0, "weight": 0, "mean": 0.0})
+        text = F.col("said").isNotNull().cast("long")
+        parts, weight = F.col("parts") + text, F.col("weight") + text * F.col("pages")
+        mean = (F.col("mean") + F.coalesce(F.col("said") * F.col("pages"), F.lit(0.0))) / weight
+        damp = F.pow(F.lit(DAMP), parts)
+        level = level.withColumn("importance", F.when(parts > 0, damp * mean + (1 - damp) * F.col("look")))
+        level = materialize(level.select("host", "branch", "up", "pages", "importance", F.greatest("importance", "above").alias("peak")), f"level-{depth}")
+        done.append(level.where("importance is not null").select("host", "branch", "pages", "importance", "peak"))
+        # elements without any text in them are no part of their parent
+        seen = level.where("importance is not null").groupBy("host", F.col("up").alias("branch"))
+        below = seen.agg(F.count("*").alias("parts"), F.sum("pages").alias("weight"), F.sum(F.col("pages") * F.col("importance")).alias("mean"), F.max("peak").alias("above"))
+    out = done[0] if done else own.select("host", "branch", "pages", F.col("look").alias("importance"), F.col("look").alias("peak"))
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html).
 
     A null or empty html has an empty text. Pages without a url, or whose url has no host, are a host of their own.
     Repeated rows are all returned; as evidence of a host's style they count once. A null page_id stays null. Other
-    columns are left out. An empty table gives no rows.
+    columns are left out. An empty table gives no rows. A tag whose quote isn't closed ends at the next >.
     """
     spark = prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    low = materialize(importance(rows).where((F.col("pages") >= enough) & (F.col("importance") < least)).select("host", "branch"), "branches")
+    tree = materialize(merged(rows), "tree")
+    low = materialize(importance(tree).where(F.col("peak") < least).select("host", "branch"), "branches")
     few = low.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     known: dict[str, set] = {}
     if few:
         for r in low.collect():
             known.setdefault(r.host, set()).add(r.branch)
+        rows = rows.withColumn("low", F.lit(None).cast("array<long>"))
+    else:
+        # no more of them for a page than it has branches
+        own = tree.select("host", "page", "branch").join(low, ["host", "branch"], "left_semi").groupBy("host", "page").agg(F.collect_set("branch").alias("low"))
+        rows = rows.withColumn("page", F.xxhash64("html")).join(own, ["host", "page"], "left")
     sent = spark.sparkContext.broadcast(known)
-    by_host = low.groupBy("host").agg(F.collect_set("branch").alias("low"))
-    rows = rows.withColumn("low", F.lit(None).cast("array<long>")) if few else rows.join(by_host, "host", "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
