@@ -1,16 +1,23 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions trained in numpy.
 
-Tags are O and, for each kind, first and inner character. No kind can be without a digit or an @, and the CRF allows a
-span only where one is: text farther than a window's margin from any such character decodes to O whatever the network
-says, so the network reads overlapping windows of text around them and nothing else. Windows are decoded one by one;
-of what they say about a place, the window in whose middle the place lies counts, and spans are read from the joined tags.
+Tags are O and, for each kind, first and inner character. The CRF allows email tags only within words that hold an @, and
+the other kinds' only within runs of digits and their separators (places); everywhere else O is certain. The network reads
+overlapping windows of text, those that cover such places; a place's scores are the mean over all windows that hold it,
+and one Viterbi pass over the text decides. As O is certain between them, stretches of places can be decoded one by one
+and windows without any can be left out: the tags are those of the whole text.
+
+It learns from the patterns' spans, from the same spans spoilt (separators, lengths and marks that the patterns don't know) and
+from windows without any.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +27,32 @@ from pyspark.sql import functions as F
 from .common import materialize, prepare
 
 KINDS = ("email", "ip", "card", "phone")
-#: The patterns of the contract.
+#: The patterns of the contract, of an email what follows the @. None goes over a character twice.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "email": re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TRIGGER = re.compile("[0-9@]")
+#: Words with an @; runs of digits and separators.
+AT = re.compile(r"(?<!\S)[^\s@]*+@\S*+")
+NUMBER = re.compile(r"[0-9(+][0-9().+\x20-]*+")
 WINDOW, STEP = 64, 32
 TAGS = 1 + 2 * len(KINDS)
 EMBED, HIDDEN = 10, 16
-#: The model is fitted on up to so many distinct windows with a span's character and as many without, each those with the
-#: smallest hash in all documents; so many epochs.
-TRAIN_EACH, EPOCHS, BATCH, RATE = 1000, 14, 64, 0.02
-#: A decoded span stands if the mean margin of its tags' scores over O's reaches this.
-MARGIN = 0.0
+#: Bits of a place: in the text, may be part of an email, of a number; and what each combination costs each tag.
+INSIDE, MAIL, DIGITS, NEVER = 1, 2, 4, -1e4
+COST = np.full((8, TAGS), NEVER, np.float32)
+COST[:, 0] = 0
+COST[MAIL | INSIDE :: DIGITS, 1:3] = 0
+COST[DIGITS | INSIDE :, 3:] = 0
+#: The model is fitted on up to so many distinct windows with a pattern's span, as many with a spoilt one and as many without any,
+#: each those with the smallest hash in all documents; so many epochs.
+TRAIN_EACH, EPOCHS, BATCH, RATE = 1000, 12, 64, 0.02
+#: Cells of a padded block of stretches that are decoded together.
+CELLS = 1 << 18
 
 
 def luhn(digits: str) -> bool:
@@ -47,8 +64,16 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The contract's spans by kind, then start."""
     out = []
-    if "@" in text:
-        out += [("email", *m.span()) for m in PATTERNS["email"].finditer(text)]
+    end, q = 0, text.find("@")
+    while q >= 0:
+        # what stands before the @, back to the last match or a character that can't be part of it
+        a = q
+        while a > end and text[a - 1] in LOCAL:
+            a -= 1
+        if a < q and (m := PATTERNS["email"].match(text, q + 1)):
+            end = m.end()
+            out.append(("email", a, end))
+        q = text.find("@", q + 1)
     if not re.search("[0-9]", text):
         return out
     # a part of over 20 digits may be a small number behind zeros, so parts are compared as numbers
@@ -71,14 +96,23 @@ def codes(text: str) -> np.ndarray:
     return out
 
 
-def windows_at(text: str) -> list[int]:
-    """Starts of the windows on the grid of STEP in whose middle half, or before it at the text's start, a character near
-    a trigger lies."""
-    hot = set()
-    for m in TRIGGER.finditer(text):
-        first = max(0, m.start() - STEP) // STEP
-        hot.update(range(first, (m.start() + STEP) // STEP + 1))
-    return sorted({max(0, h * STEP - (WINDOW - STEP) // 2) for h in hot if h * STEP < len(text)})
+def places(text: str) -> np.ndarray:
+    """The bits of each place of the text."""
+    out = np.full(len(text), INSIDE, np.uint8)
+    if "@" in text:
+        for m in AT.finditer(text):
+            out[m.start() : m.end()] |= MAIL
+    for m in NUMBER.finditer(text):
+        if TRIGGER.search(text, *m.span()):
+            out[m.start() : m.end()] |= DIGITS
+    return out
+
+
+def windows_at(text: str, bits: np.ndarray | None = None) -> list[int]:
+    """Starts of all windows, one each STEP characters from the first on, that hold a place where a tag other than O may be."""
+    hot = np.unique(np.flatnonzero((places(text) if bits is None else bits) > INSIDE) // STEP)
+    all_ = np.unique(np.concatenate([hot - k for k in range(WINDOW // STEP)])) if len(hot) else hot
+    return (all_[all_ >= 0] * STEP).tolist()
 
 
 class Tagger:
@@ -95,7 +129,7 @@ class Tagger:
         self.allowed = np.zeros((TAGS, TAGS), np.float32)
         for k in range(len(KINDS)):
             first, inner = 1 + 2 * k, 2 + 2 * k
-            self.allowed[:, inner] = -1e4
+            self.allowed[:, inner] = NEVER
             self.allowed[first, inner] = self.allowed[inner, inner] = 0
         self.start = np.zeros(TAGS, np.float32)
 
@@ -137,13 +171,19 @@ class Tagger:
         h = np.concatenate([hf, hb], axis=2)
         return h @ self.p["U"] + self.p["c"], (e, h, tf, tb)
 
+    @staticmethod
+    def barred(s: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Scores with what the places' bits forbid; a mask of booleans forbids nothing within the text."""
+        bits = mask * (INSIDE | MAIL | DIGITS) if mask.dtype == bool else mask
+        return np.where(COST[bits] < 0, NEVER, np.where((bits > 0)[:, :, None], s, 0)).astype(np.float32)
+
     def loss(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of the tags y and its gradient, by the forward-backward algorithm."""
         s, (e, h, tf, tb) = self.scores(x)
         n, t, k = s.shape
         A = self.p["A"] + self.allowed
         lse = lambda v, ax: np.log(np.exp(v - v.max(ax, keepdims=True)).sum(ax)) + v.max(ax)
-        s = np.where(mask[:, :, None], s, np.where(np.arange(k) == 0, 0, -1e4)).astype(np.float32)
+        s = self.barred(s, mask)
         alpha, beta = np.empty_like(s), np.zeros_like(s)
         alpha[:, 0] = s[:, 0]
         for i in range(1, t):
@@ -159,7 +199,7 @@ class Tagger:
         for i in range(1, t):
             grad["A"] += np.exp(alpha[:, i - 1][:, :, None] + A + (s[:, i] + beta[:, i])[:, None, :] - z[:, None, None]).sum(0)
         np.add.at(grad["A"], (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
-        ds = (ds * mask[:, :, None] / n).astype(np.float32)
+        ds = (ds * (mask[:, :, None] > 0) / n).astype(np.float32)
         grad["A"] /= n
         grad["U"], grad["c"] = h.reshape(n * t, -1).T @ ds.reshape(n * t, k), ds.sum((0, 1))
         dh = ds @ self.p["U"].T
@@ -188,146 +228,236 @@ class Tagger:
         return told
 
     def decode(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best tags of each window by Viterbi's algorithm, and the scores' margin of each tag over O."""
-        s, _ = self.scores(x)
-        n, t, k = s.shape
-        s = np.where(mask[:, :, None], s, np.where(np.arange(k) == 0, 0, -1e4))
-        A = self.p["A"] + self.allowed
-        best, back = s[:, 0], np.zeros((n, t, k), np.int8)
-        for i in range(1, t):
-            v = best[:, :, None] + A
-            back[:, i] = v.argmax(1)
-            best = v.max(1) + s[:, i]
-        tags = np.zeros((n, t), np.int64)
-        tags[:, -1] = best.argmax(1)
-        rows = np.arange(n)
-        for i in range(t - 1, 0, -1):
-            tags[:, i - 1] = back[rows, i, tags[:, i]]
-        return tags, s[rows[:, None], np.arange(t), tags] - s[:, :, 0]
+        """The windows' scores and the transitions, with what is forbidden."""
+        return self.barred(self.scores(x)[0], mask), self.p["A"] + self.allowed
+
+
+def viterbi(s: np.ndarray, length: np.ndarray, A: np.ndarray) -> np.ndarray:
+    """The best tags of stretches (padded to one length) that O precedes and follows."""
+    n, t, k = s.shape
+    best, back = s[:, 0] + A[0], np.zeros((n, t, k), np.int8)
+    last = best + A[:, 0]
+    for i in range(1, t):
+        v = best[:, :, None] + A
+        back[:, i] = v.argmax(1)
+        best = v.max(1) + s[:, i]
+        last = np.where((length == i + 1)[:, None], best + A[:, 0], last)
+    tags, rows, tag = np.zeros((n, t), np.int64), np.arange(n), last.argmax(1)
+    for i in range(t - 1, -1, -1):
+        here = i < length
+        tags[:, i] = np.where(here, tag, 0)
+        tag = np.where(here, back[rows, i, tag] if i else tag, tag)
+    return tags
 
 
 def cut(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """The text's windows: starts, codes, and which places are in the text."""
-    at = windows_at(text)
-    c = np.concatenate([codes(text), np.full(WINDOW, 129, np.int64)]) if at else np.empty(0, np.int64)
-    places = np.array(at, np.int64)[:, None] + np.arange(WINDOW)
-    return at, c[np.minimum(places, len(c) - 1)] if at else np.empty((0, WINDOW), np.int64), places < len(text)
+    """The text's windows: starts, codes, and bits of the places (0 beyond the text)."""
+    bits = places(text)
+    if not (at := windows_at(text, bits)):
+        return at, np.empty((0, WINDOW), np.int64), np.empty((0, WINDOW), np.uint8)
+    c = np.concatenate([codes(text), np.full(WINDOW, 129, np.int64)])
+    where = np.array(at, np.int64)[:, None] + np.arange(WINDOW)
+    return at, c[where], np.concatenate([bits, np.zeros(WINDOW, np.uint8)])[where]
 
 
-def tags_of(text: str) -> np.ndarray:
+def tags_of(text: str, spans: list[tuple[str, int, int]] | None = None) -> np.ndarray:
+    """Tags of the text and a window's length beyond; of overlapping spans the one listed first counts."""
     y = np.zeros(len(text) + WINDOW, np.int64)
-    for kind, a, b in reversed(base_spans(text)):
+    for kind, a, b in reversed(base_spans(text) if spans is None else spans):
         k = 1 + 2 * KINDS.index(kind)
         y[a], y[a + 1 : b] = k, k + 1
+    # what is left of a span after the one that covers its first character begins anew
+    inner = (y > 0) & (y % 2 == 0)
+    before = np.concatenate([[0], y[:-1]])
+    y[inner & (before != y) & (before != y - 1)] -= 1
     return y
 
 
-def model_spans(text: str, at: list[int], tags: np.ndarray, margins: np.ndarray) -> list[tuple[str, int, int]]:
-    """Joins the windows' tags: each place takes those of the window whose middle is nearest."""
-    n = len(text)
-    tag, margin, near = np.zeros(n + WINDOW, np.int64), np.zeros(n + WINDOW), np.full(n + WINDOW, WINDOW)
-    away = np.abs(np.arange(WINDOW) - WINDOW // 2)
-    for a, ts, ms in zip(at, tags, margins, strict=True):
-        better = away < near[a : a + WINDOW]
-        for to, of in ((tag, ts), (margin, ms), (near, away)):
-            to[a : a + WINDOW][better] = of[better]
-    out, i = [], 0
+def spans_of(texts: list[str], starts: list[list[int]], scores: np.ndarray, A: np.ndarray) -> list[list[tuple[str, int, int]]]:
+    """The spans of texts, of the scores of their windows, one text's after the other's. Spaces at a span's ends are cut off, and a span
+    needs a digit or an @."""
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])  # a place between any two texts
+    at = np.concatenate([first[i] + np.array(a, np.int64) for i, a in enumerate(starts)])
+    odd = np.concatenate([np.array(a, np.int64) // STEP % (WINDOW // STEP) for a in starts])
+    # places where only O may be are as good as those beyond the text
+    where = at[:, None] + np.arange(WINDOW)
+    free = (scores[:, :, 1:] > NEVER / 2).any(2)
+    spots = np.unique(where[free])
+    total, times = np.zeros((len(spots), TAGS)), np.zeros(len(spots))
+    for k in range(WINDOW // STEP):  # windows of one k don't overlap
+        mine = (odd == k)[:, None] & free
+        to = np.searchsorted(spots, where[mine])
+        total[to] += scores[mine]
+        times[to] += 1
+    total /= times[:, None]
+    cuts = np.flatnonzero(np.diff(spots, prepend=-2) > 1)
+    length = np.diff(np.append(cuts, len(spots)))
+    out: list[list] = [[] for _ in texts]
+    order = np.argsort(length, kind="stable")
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and (j + 1 - i) * length[order[j]] * TAGS <= CELLS:
+            j += 1
+        some = order[i:j]
+        i = j
+        t = int(length[some].max())
+        pick = np.minimum(cuts[some][:, None] + np.arange(t), len(spots) - 1)
+        tags = viterbi(total[pick], length[some], A)
+        for r in np.flatnonzero(tags.any(1)):
+            begin = int(spots[cuts[some[r]]])
+            text = int(np.searchsorted(first, begin, side="right")) - 1
+            out[text] += read(texts[text], begin - int(first[text]), tags[r].tolist())
+    return [sorted(x, key=lambda s: s[1]) for x in out]
+
+
+def read(text: str, begin: int, tags: list[int]) -> Iterator[tuple[str, int, int]]:
+    i, n = 0, len(tags)
     while i < n:
-        if tag[i] == 0:
+        if not tags[i]:
             i += 1
             continue
-        kind, j = (tag[i] - 1) // 2, i + 1
-        while j < n and tag[j] == 2 + 2 * kind:
+        kind, j = (tags[i] - 1) // 2, i + 1
+        while j < n and tags[j] == 2 + 2 * kind:
             j += 1
-        a, b = i, j
+        a, b = begin + i, begin + j
         i = j
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
-        if b - a >= 5 and TRIGGER.search(text, a, b) and margin[a:b].mean() >= MARGIN:
-            out.append((KINDS[kind], a, b))
-    return out
+        if TRIGGER.search(text, a, b):
+            yield KINDS[kind], a, b
+
+
+def model_spans(text: str, at: list[int], scores: np.ndarray, A: np.ndarray) -> list[tuple[str, int, int]]:
+    return spans_of([text], [at], scores, A)[0] if at else []
+
+
+def spoil(kind: str, said: str, r: random.Random) -> str:
+    """A span as it is met in texts but in none of the patterns."""
+    if kind == "email":
+        name, host = said.rsplit("@", 1)
+        return f"{name}@{r.choice([host.split('.')[0], host.replace('.', '..', 1), host.replace('.', ',', 1), host.replace('.', '_.', 1)])}"
+    if kind == "ip":
+        return said.replace(".", r.choice([". ", " . ", " "]))
+    if kind == "card":
+        d = re.sub("[^0-9]", "", said)
+        d = d[: r.choice([15, len(d), len(d)])]
+        return r.choice(["  ", ".", " - ", " ", "-"]).join(d[i : i + 4] for i in range(0, len(d), 4))
+    d = said[1:]
+    return r.choice([f"00{d}", f"00 {d}", d, f"0{d}", f"+{d.replace(' ', '  ')}", f"({d[:3]}) {d[3:]}"])
+
+
+def spoilt(text: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its patterns' spans spoilt, and where they are now. The same text is always spoilt alike."""
+    r, out, spans, end, n = random.Random(text), [], [], 0, 0
+    for kind, a, b in sorted(base_spans(text), key=lambda s: s[1:]):
+        if a < end:
+            continue
+        new = spoil(kind, text[a:b], r)
+        n += a - end
+        out += [text[end:a], new]
+        spans.append((kind, n, n + len(new)))
+        n, end = n + len(new), b
+    return "".join([*out, text[end:]]), spans
 
 
-def training_windows(documents: DataFrame, each: int = TRAIN_EACH) -> DataFrame:
-    """(key, marked, window) of up to `each` distinct windows that are marked, and as many that aren't: of all documents' windows,
-    those with the smallest hash of their text and tags. A task keeps no more than twice as many of its own at a time, and gives so many of each."""
+PLAIN, MARKED, SPOILT = 0, 1, 2
+
+
+def all_windows(documents: DataFrame, each: int) -> DataFrame:
+    """(class, key, window) of up to `each` distinct windows of each class, without a span, with one, and with a spoilt one: of all documents'
+    windows, those with the smallest hash of their text and tags. A task keeps no more than twice as many of its own at a time, and gives
+    so many of each. A window is its codes, tags and places' bits."""
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bool, dict[int, bytes]] = {True: {}, False: {}}
-        limit = {True: 1 << 62, False: 1 << 62}
+        kept: list[dict[int, bytes]] = [{}, {}, {}]
+        limit = [1 << 62] * 3
 
-        def shrink(m: bool):
+        def shrink(m: int) -> None:
             kept[m] = dict(sorted(kept[m].items())[:each])
             limit[m] = max(kept[m]) if len(kept[m]) == each else 1 << 62
 
+        def take(text: str, y: np.ndarray, spoilt_: bool) -> None:
+            at, c, bits = cut(text)
+            for i, a in enumerate(at):
+                ys = y[a : a + WINDOW].copy()
+                # a span that begins before the window begins at the window's start
+                if ys[0] and ys[0] % 2 == 0:
+                    ys[0] -= 1
+                m = SPOILT if spoilt_ else MARKED if ys.any() else PLAIN
+                if spoilt_ and not ys.any():
+                    continue
+                tags = ys.astype(np.uint8).tobytes()
+                key = int.from_bytes(hashlib.blake2b(text[a : a + WINDOW].encode(errors="replace") + tags, digest_size=7).digest())
+                if key >= limit[m] or key in kept[m]:
+                    continue
+                kept[m][key] = c[i].astype(np.uint8).tobytes() + tags + bits[i].tobytes()
+                if len(kept[m]) >= 2 * each:
+                    shrink(m)
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if not (text and TRIGGER.search(text)):
                     continue
-                y, c = tags_of(text), None
-                for a in windows_at(text):
-                    ys = y[a : a + WINDOW].copy()
-                    # a span that begins before the window begins at the window's start
-                    j = 0
-                    while j < WINDOW and ys[j] > 0 and ys[j] % 2 == 0:
-                        ys[j] = ys[j] if j else ys[j] - 1
-                        j += 1
-                    m = bool(ys.any())
-                    tags = ys.astype(np.uint8).tobytes()
-                    key = int.from_bytes(hashlib.blake2b(text[a : a + WINDOW].encode(errors="replace") + tags, digest_size=7).digest())
-                    if key >= limit[m] or key in kept[m]:
-                        continue
-                    if c is None:
-                        c = np.concatenate([codes(text), np.full(WINDOW, 129, np.int64)])
-                    inside = np.arange(a, a + WINDOW) < len(text)
-                    kept[m][key] = c[a : a + WINDOW].astype(np.uint8).tobytes() + tags + inside.astype(np.uint8).tobytes()
-                    if len(kept[m]) >= 2 * each:
-                        shrink(m)
-        for m in kept:
+                spans = base_spans(text)
+                take(text, tags_of(text, spans), False)
+                if spans:
+                    new, at = spoilt(text)
+                    take(new, tags_of(new, at), True)
+        for m in range(3):
             shrink(m)
-        rows = [(k, m, w) for m in kept for k, w in kept[m].items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["key", "marked", "window"])
+        rows = [(m, k, w) for m in range(3) for k, w in kept[m].items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["class", "key", "window"])
+
+    found = documents.select("text").where("text rlike '[0-9@]'").mapInArrow(labelled, "class int, key long, window binary")
+    # equal windows of several tasks are one; all classes are read from one result
+    found = materialize(found.groupBy("class", "key").agg(F.first("window").alias("window")), "windows")
+    part = lambda m: found.where(F.col("class") == m).orderBy("key").limit(each)
+    return part(PLAIN).unionByName(part(MARKED)).unionByName(part(SPOILT))
+
 
-    found = documents.select("text").where("text rlike '[0-9@]'").mapInArrow(labelled, "key long, marked boolean, window binary")
-    # equal windows of several tasks are one; both halves are read from one result
-    found = materialize(found.groupBy("marked", "key").agg(F.first("window").alias("window")), "windows")
-    half = lambda m: found.where("marked" if m else "not marked").orderBy("key").limit(each)
-    return half(True).unionByName(half(False)).select("key", "marked", "window")
+def training_windows(documents: DataFrame, each: int = TRAIN_EACH) -> DataFrame:
+    """(key, marked, window) of the windows without and with a pattern's span."""
+    return all_windows(documents, each).where(F.col("class") < SPOILT).select("key", (F.col("class") == MARKED).alias("marked"), "window")
 
 
 def fit_tagger(documents: DataFrame, each: int = TRAIN_EACH) -> Tagger | None:
-    """Trains on the patterns' spans in the training windows (bounded: only twice `each` come to the driver). None if no
-    document has a span."""
-    got = sorted(training_windows(documents, each).collect(), key=lambda r: r.key)
-    if not any(r.marked for r in got):
+    """Trains on the windows of all classes (bounded: only three times `each` come to the driver). None if no document has a
+    pattern's span."""
+    got = sorted(all_windows(documents, each).collect(), key=lambda r: (r.key, r["class"]))
+    if not any(r["class"] == MARKED for r in got):
         return None
-    data = np.stack([np.frombuffer(r.window, np.uint8).reshape(3, WINDOW) for r in got]).astype(np.int64)
+    data = np.stack([np.frombuffer(r.window, np.uint8).reshape(3, WINDOW) for r in got])
     tagger = Tagger()
-    tagger.fit(data[:, 0], data[:, 1], data[:, 2] > 0)
+    tagger.fit(data[:, 0].astype(np.int64), data[:, 1].astype(np.int64), data[:, 2])
     return tagger
 
 
 def all_spans(texts: list[str], tagger: Tagger | None) -> list[tuple[list, list]]:
     """Of each text: the patterns' spans, and the model's spans that overlap none of them."""
     base = [base_spans(t) for t in texts]
-    cuts = [cut(t) for t in texts] if tagger else []
     more: list[list] = [[] for _ in texts]
-    x = np.concatenate([c[1] for c in cuts]) if cuts else np.empty((0, WINDOW), np.int64)
-    if len(x):
-        mask = np.concatenate([c[2] for c in cuts])
-        parts = [tagger.decode(x[i : i + 2048], mask[i : i + 2048]) for i in range(0, len(x), 2048)]
-        tags, margins = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        done = 0
-        for i, (text, (at, _, _)) in enumerate(zip(texts, cuts, strict=True)):
-            if at:
-                found = model_spans(text, at, tags[done : done + len(at)], margins[done : done + len(at)])
-                more[i] = [s for s in found if not any(s[1] < b and a < s[2] for _, a, b in base[i])]
-                done += len(at)
+    if tagger:
+        cuts = [cut(t) for t in texts]
+        x = np.concatenate([c[1] for c in cuts]) if cuts else np.empty((0, WINDOW), np.int64)
+        if len(x):
+            mask = np.concatenate([c[2] for c in cuts])
+            parts = [tagger.decode(x[i : i + 2048], mask[i : i + 2048]) for i in range(0, len(x), 2048)]
+            for i, found in enumerate(spans_of(texts, [c[0] for c in cuts], np.concatenate([p[0] for p in parts]), parts[0][1])):
+                ends = sorted((a, b) for _, a, b in base[i])
+                more[i] = apart(found, ends)
     return list(zip(base, more, strict=True))
 
 
+def apart(spans: list[tuple[str, int, int]], taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """The spans (by start, none overlapping another) that overlap none of those taken (by start)."""
+    reach = list(accumulate((b for _, b in taken), max))
+    first = [a for a, _ in taken]
+    return [s for s in spans if not (k := bisect_left(first, s[2])) or reach[k - 1] <= s[1]]
+
+
 def told(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
