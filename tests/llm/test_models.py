@@ -7,10 +7,12 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tracegauge.llm import lm
-from tracegauge.llm.langid import fit, identify, predictions
+from pyspark.sql import functions as F
+
+from tracegauge.llm import lm, quality
+from tracegauge.llm.langid import BUCKETS, WEIGHT, fit, grams, identify, predictions
 from tracegauge.llm.lm import exchange, language_model
-from tracegauge.llm.quality import Machine, quality_scores
+from tracegauge.llm.quality import Machine, features, quality_scores
 
 ODD = [None, "", " \n", "123 +-", "é", "A", "word " * 30000, "a\x00b", "😀 x".encode("utf-16", "surrogatepass").decode("utf-16")]
 
@@ -114,4 +116,139 @@ def test_frequent_words_are_bounded(spark):
     got = lm.frequent(df, 20)
     counts = [c for _, c in got]
     assert 0 < len(got) <= 20 and counts == sorted(counts, reverse=True) and min(counts) > max(c for c in (1 + i // 3 for i in range(90)) if c not in counts)
-    assert len(lm.frequent(df, 100)) == 90 and lm.frequent(df, 1) == [] and lm.frequent(df.limit(0), 5) == []
+    assert len(lm.frequent(df, 100)) == 90 and lm.frequent(df.limit(0), 5) == []
+    # words of one count: as many as fit, always the same ones
+    flat = spark.createDataFrame([(bytearray(f"w{i}".encode()), 7) for i in range(5000)] + [(bytearray(b"the"), 900)], "word binary, c long").repartition(5)
+    got = lm.frequent(flat, 1000)
+    assert 900 < len(got) <= 1000 and got[0] == (b"the", 900) and got == lm.frequent(flat.repartition(2), 1000)
+
+
+def brute_model(rows, cls):
+    """log10 P of each text by the class bigrams of the training rows, for the classes that the model gave its words."""
+    ws = lambda t: (t or "").encode().lower().split()
+    length = lambda w: ("length", sum(len(w) > x for x in lm.LENGTHS))
+    of = lambda w: cls[w] if w in cls else length(w)
+    train = [ws(t) for i, t in rows if crc(i) % 5 != 1]
+    c = Counter(w for t in train for w in t)
+    two = Counter(p for t in train for p in zip(["end", *map(of, t)], [*map(of, t), "end"], strict=True))
+    kinds = sorted(set(cls.values())) + [("length", k) for k in range(lm.TAILS)] + ["end"]
+    to, frm, of_class, rare = Counter(), Counter(), Counter(), Counter()
+    for (a, b), n in two.items():
+        frm[a] += n
+        to[b] += n
+    for w, n in c.items():
+        of_class[of(w)] += n
+        rare[of(w)] += w not in cls
+    total = sum(two.values())
+
+    def text(t):
+        out, a = 0.0, "end"
+        for w in [*ws(t), None]:
+            b = "end" if w is None else of(w)
+            share = (to[b] + 1) / (total + len(kinds))
+            out += math.log10((two[a, b] + lm.ALPHA * share) / (frm[a] + lm.ALPHA))
+            if w is not None:
+                out += math.log10(c[w] / of_class[b] if w in cls else (c[w] + lm.DELTA) / (of_class[b] + lm.DELTA * (rare[b] + 1)))
+            a = b
+        return out
+
+    return {(i, t): text(t) for i, t in rows}
+
+
+@pytest.mark.parametrize(("head", "clustered"), [(400, 60), (100_000, 1000), (30, 60)])
+def test_scores_by_brute_force(spark, sf_dir, head, clustered, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "CLUSTERED", clustered)
+    kept = []
+    fitted = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: kept.append(fitted(*a)) or kept[-1])
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80).collect()] + [(900, ""), (901, None), (902, "zzz unseen")]
+    out = language_model(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    classes = {w: int(kept[0].cls[i]) for w, i in kept[0].words.items()}
+    assert len(classes) <= head and len(set(classes.values())) > 8
+    want = brute_model(rows, classes)
+    texts = dict(rows)
+    for r in out:
+        assert r.score == pytest.approx(want[r.doc_id, texts[r.doc_id]])
+
+
+def test_gains_are_those_of_the_likelihood():
+    """Of a word that is put into each class in turn; the neighbours' own totals change alike for every class."""
+    r = np.random.default_rng(6)
+    g = r.poisson(20, (5, 5)).astype(float)
+    left, right = r.poisson(3, 5).astype(float), r.poisson(3, 5).astype(float)
+    f = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    want = []
+    for a in range(3):
+        want.append(f(g[:, a] + left) - f(g[:, a]) + f(g[a] + right) - f(g[a]) - f(g.sum(0)[a] + left.sum()) + f(g.sum(0)[a]) - f(g.sum(1)[a] + right.sum()) + f(g.sum(1)[a]))
+    key = np.arange(10)
+    got = lm.gains(g, 3, key, np.concatenate([left, right]), np.array([10]))
+    assert got[0] == pytest.approx(want)
+
+
+def test_further_words_join_their_like(spark):
+    """Words that stand where one kind of the clustered words does get that kind's class."""
+    r = np.random.default_rng(4)
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    pick = lambda ws: ws[int(30 * r.random() ** 3)]
+    texts = [" ".join(w for _ in range(20) for w in (pick(a), pick(b))) for _ in range(300)]
+    df = spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "text binary")
+    counts = Counter(w.encode() for t in texts for w in t.split())
+    head = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    symbols = lm.Symbols({w: i for i, (w, _) in enumerate(head[:10])}, 10)
+    m = lm.pairs(df, symbols)
+    cls = lm.exchange(m, 10, classes=2)
+    one = np.zeros((len(m), cls.max() + 1))
+    one[np.arange(len(m)), cls] = 1
+    classes = lm.Symbols({w: int(cls[i]) for i, (w, _) in enumerate(head[:10])}, 2)
+    found = lm.further(df, [w for w, _ in head], 10, classes, one.T @ m @ one) | classes.known
+    assert len(found) == 60 and len({(w[:1], c) for w, c in found.items()}) == 2
+
+
+def brute_languages(train, texts):
+    """Multinomial naive Bayes by loops over dictionaries."""
+    counts, docs = {}, Counter()
+    for text, lang in train:
+        docs[lang] += 1
+        counts.setdefault(lang, Counter()).update(grams(text).tolist())
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            yield "und", 0.0
+            continue
+        score = {}
+        for lang, c in counts.items():
+            total = math.log(docs[lang] / sum(docs.values()))
+            for g in grams(text).tolist():
+                total += WEIGHT * (math.log(c[g] + 1) - math.log(sum(c.values()) + BUCKETS))
+            score[lang] = total
+        top = max(sorted(score), key=score.get)
+        yield top, 1 / sum(math.exp(s - score[top]) for s in score.values())
+
+
+def test_languages_by_brute_force(spark, sf_dir):
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()
+    rows = [(r.doc_id, (r.text or "")[:300], r.lang) for r in some] + [(i + 500, t, None) for i, t in enumerate(ODD) if t is None or len(t) < 1000] + [(600, "² ½ ①", "en"), (601, "² x", None)]
+    out = {r.doc_id: r for r in predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    want = brute_languages([(t, lang) for i, t, lang in rows if lang and t is not None and crc(i) % 4 != 2], [t for _, t, _ in rows])
+    for (i, _, _), (lang, p) in zip(rows, want, strict=True):
+        assert (out[i].lang_pred, out[i].score) == (lang, pytest.approx(p))
+    assert out[600].lang_pred == "und" and out[601].lang_pred != "und"
+
+
+def brute_quality(machine, text, n_chars):
+    i, x = features(text, n_chars)
+    pair = sum(float(machine.v[i[a]] @ machine.v[i[b]]) * x[a] * x[b] for a in range(len(i)) for b in range(a))
+    return 1 / (1 + math.exp(-min(50.0, max(-50.0, machine.bias + float(machine.w[i] @ x) + pair))))
+
+
+def test_quality_by_brute_force(spark, sf_dir, monkeypatch):
+    """All pairs of features one by one, on the machine that the query fitted."""
+    kept = []
+    fitted = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: kept.append(fitted(*a)) or kept[-1])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    short = docs.withColumn("text", F.substring("text", 1, 300)).where("doc_id < 60")
+    out = {r.doc_id: r for r in quality_scores(short, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    for r in short.collect():
+        want = brute_quality(kept[0], r.text, r.n_chars)
+        assert out[r.doc_id].score == pytest.approx(want, abs=1e-6) and out[r.doc_id].predicted == (out[r.doc_id].score >= 0.3)

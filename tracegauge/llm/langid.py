@@ -23,10 +23,15 @@ ORDERS, BUCKETS, WEIGHT = (1, 2, 3), 1 << 15, 1 / 3
 TRAIN_DOCUMENTS = 20_000
 #: Texts are scored together up to so many characters.
 RUN_CHARS = 400_000
+#: Word characters that may be letters; some of them (½, ²) are not.
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def grams(text: str) -> np.ndarray:
     """Buckets of the text's n-grams. Case is folded; all that isn't a letter counts as white space."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -54,7 +59,7 @@ class Model:
         said, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         run: list[int] = []
         length = 0
-        some = [i for i, t in enumerate(texts) if self.languages and t and LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if self.languages and t and has_letter(t)]
         for k, i in enumerate(some):
             run.append(i)
             length += len(texts[i])

@@ -1,8 +1,10 @@
 """Language-model scoring by Brown's class-based bigrams.
 
-Exchange clustering puts the CLUSTERED most frequent words into CLASSES classes; all other words are in classes by their
-length in bytes, and the end of a text is a class of its own. P(text) is the product of P(class | class before), smoothed
-with the classes' shares, and P(word | class), with room for words that training hasn't seen.
+Exchange clustering puts the CLUSTERED most frequent words into CLASSES classes, each word moved to where the class bigrams'
+likelihood gains most. All further words of the head are then put, by the same gain of their own neighbours' counts, into these
+classes by a Spark pass. The rarest words, beyond the head, and unseen ones are in classes by their length in bytes, and the
+end of a text is a class of its own. P(text) is the product of P(class | class before), smoothed with the classes' shares,
+and P(word | class), with room for words that training hasn't seen.
 
 Word counts are a Spark aggregation and stay a table. At most the HEAD most frequent words are broadcast; the
 tokens that these don't cover are counted within their document and joined with the table. Both the model and the plain
@@ -24,6 +26,8 @@ from .common import materialize, prepare, remainder, words
 
 CLUSTERED, CLASSES, SWEEPS = 1000, 32, 6
 HEAD = 100_000
+#: Parts of a histogram step of counts that doesn't fit as a whole.
+PARTS = 1024
 #: Upper bounds in bytes of the length classes, the last of which is open.
 LENGTHS = (3, 5, 7, 9, 12, 16, 22)
 #: Weight of the classes' shares in transitions; count of an unseen word.
@@ -57,27 +61,37 @@ def counted(documents: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words (word, c), most frequent first, no more than `most`: those of at least the count at which
-    there are so many. Counts are looked up in a histogram of fixed size (sixteen steps for each doubling) first, so that
-    the driver gets these words only, whatever the number of partitions."""
-    step = F.floor(F.log2("c") * 16).cast("int")
-    n, least = 0, None
-    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
-        n += r.n
-        if n > most:
-            break
-        least = r.step
-    if least is None:
-        return []
-    return sorted(((bytes(r.word), r.c) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+    """The most frequent words (word, c), most frequent first, no more than `most`. Counts are looked up in a histogram of fixed size
+    (sixteen steps for each doubling) first; of the first step that doesn't fit as a whole, words with a small hash are taken
+    (by a second histogram of PARTS parts). So the driver gets these words only, whatever the number of partitions."""
+    step, part = F.floor(F.log2("c") * 16).cast("int"), F.pmod(F.xxhash64("word"), F.lit(PARTS)).cast("int")
+
+    def fitting(rows: DataFrame, by: Column, falling: bool, room: int) -> tuple[int | None, int | None]:
+        """The last value of `by` up to which no more than room rows are, and the next one."""
+        n, last = 0, None
+        for r in rows.groupBy(by.alias("by")).agg(F.count("*").alias("n")).orderBy(F.desc("by") if falling else F.asc("by")).collect():
+            n += r.n
+            if n > room:
+                return last, r.by
+            last = r.by
+        return last, None
+
+    least, over = fitting(counts, step, True, most)
+    kept = F.lit(False) if least is None else step >= least
+    if over is not None:
+        tied = counts.where(step == over)
+        room = most - (0 if least is None else counts.where(kept).count())
+        last, _ = fitting(tied, part, False, room)
+        if last is not None:
+            kept = kept | (step == over) & (part <= last)
+    return sorted(((bytes(r.word), r.c) for r in counts.where(kept).collect()), key=lambda x: (-x[1], x[0]))
 
 
 class Symbols:
-    """Clustered words are symbols 0 .. n - 1; then the length classes; then the end."""
+    """Known words have symbols below n; then come the length classes; then the end."""
 
-    def __init__(self, clustered: list[bytes]):
-        self.known = {w: i for i, w in enumerate(clustered)}
-        self.n, self.end = len(clustered), len(clustered) + TAILS
+    def __init__(self, known: dict[bytes, int], n: int):
+        self.known, self.n, self.end = known, n, n + TAILS
 
     def of(self, ws: list[bytes]) -> np.ndarray:
         s = np.fromiter(map(self.known.get, ws, repeat(-1)), np.int64, len(ws))
@@ -85,28 +99,76 @@ class Symbols:
         s[rest] = self.n + np.searchsorted(LENGTHS, [len(ws[i]) for i in rest], side="left")
         return s
 
+    def around(self, ws: list[bytes]) -> np.ndarray:
+        return np.concatenate([[self.end], self.of(ws), [self.end]])
 
-def pairs(documents: DataFrame, symbols: Symbols) -> np.ndarray:
-    """Counts of neighbouring symbols; a text begins after, and stops with, an end. At most CLUSTERED^2 or so numbers."""
-    size = symbols.end + 1
-    known = documents.sparkSession.sparkContext.broadcast(symbols)
+
+def coded(documents: DataFrame, codes) -> DataFrame:
+    """(code, n): how often codes(words of a text) gives each code. Each batch adds up its own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = known.value
         for batch in batches:
-            both = []
-            for text in batch.column("text").to_pylist():
-                x = np.concatenate([[s.end], s.of(words(text)), [s.end]])
-                both.append(x[:-1] * size + x[1:])
-            code, n = np.unique(np.concatenate(both) if both else np.empty(0, np.int64), return_counts=True)
+            each = [codes(words(text)) for text in batch.column("text").to_pylist()]
+            code, n = np.unique(np.concatenate(each) if each else np.empty(0, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
-    got = documents.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    return documents.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def pairs(documents: DataFrame, symbols: Symbols) -> np.ndarray:
+    """Counts of neighbouring symbols; a text begins after, and stops with, an end. The square of the symbols' number, at most."""
+    size = symbols.end + 1
+    known = documents.sparkSession.sparkContext.broadcast(symbols)
+
+    def codes(ws: list[bytes]) -> np.ndarray:
+        x = known.value.around(ws)
+        return x[:-1] * size + x[1:]
+
+    got = coded(documents, codes).toPandas()
     out = np.zeros(size * size)
     out[got["code"].to_numpy(np.int64)] = got["n"].to_numpy(float)
     return out.reshape(size, size)
 
 
+def further(documents: DataFrame, head: list[bytes], done: int, classes: Symbols, g: np.ndarray) -> dict[bytes, int]:
+    """The classes of the head's words from `done` on: of those below classes.n the one that gains most by the word's neighbours,
+    as g counts the classes' bigrams. A word's counts are no more than twice the number of classes."""
+    size = classes.end + 1
+    sent = documents.sparkSession.sparkContext.broadcast((classes, {w: i for i, w in enumerate(head) if i >= done}))
+
+    def codes(ws: list[bytes]) -> np.ndarray:
+        symbols, index = sent.value
+        i = np.fromiter(map(index.get, ws, repeat(-1)), np.int64, len(ws))
+        at, x = np.flatnonzero(i >= 0), symbols.around(ws)
+        return np.concatenate([i[at] * 2 * size + x[at], i[at] * 2 * size + size + x[at + 2]])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("x")
+            n = np.array([len(x) for x in lists], np.int64)
+            flat = lists.flatten()
+            key, c = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "n"))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(gains(g, classes.n, key, c.astype(float), n).argmax(1) if len(n) else [], pa.int32())], ["word", "class"])
+
+    code = F.col("code")
+    each = coded(documents, codes).select(F.floor(code / (2 * size)).cast("int").alias("word"), F.struct((code % (2 * size)).alias("key"), "n").alias("x"))
+    got = each.groupBy("word").agg(F.collect_list("x").alias("x")).mapInArrow(best, "word int, class int").toPandas()
+    return {head[w]: int(c) for w, c in zip(got["word"], got["class"], strict=True)}
+
+
+def gains(g: np.ndarray, classes: int, key: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(word, class): what the class bigrams' log-likelihood gains if the word joins the class. Words have n entries each, of which key is
+    the class before them, or len(g) and more for the one behind them, and c the count."""
+    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    size, first = len(g), np.cumsum([0, *n[:-1]])
+    both = np.concatenate([g[:, :classes], g.T[:, :classes]])  # rows: the neighbour's class, and where it stands
+    gain = np.add.reduceat(f(both[key] + c[:, None]) - f(both[key]), first)
+    for side, total in ((key < size, g.sum(0)[:classes]), (key >= size, g.sum(1)[:classes])):
+        own = np.add.reduceat(np.where(side, c, 0), first)[:, None]
+        gain -= f(total + own) - f(total)
+    return gain
+
+
 def exchange(b: np.ndarray, n: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """The class of each symbol: the first n are moved to the class where the class bigrams' likelihood is greatest, one by
     one, until no move helps or `sweeps` passes are over; each of the others is a class of its own."""
@@ -152,29 +214,20 @@ def exchange(b: np.ndarray, n: int, classes: int = CLASSES, sweeps: int = SWEEPS
 class Model:
     """The head's words with, for each, its class, its unigram and emission log10; the classes' transitions (log10)."""
 
-    def __init__(self, b: np.ndarray, symbols: Symbols, head: list[tuple[bytes, int]], total: int, distinct: int, tails: dict[int, tuple[int, int]]):
-        self.end_class = 0
-        cls = exchange(b, symbols.n)
-        k = cls.max() + 1
-        one = np.zeros((len(b), k))
-        one[np.arange(len(b)), cls] = 1
-        g = one.T @ b @ one
+    def __init__(self, g: np.ndarray, classes: Symbols, head: list[tuple[bytes, int]], total: int, distinct: int, tails: dict[int, tuple[int, int]]):
+        """g: bigrams of classes, of which the head's words have those below classes.n; tails: of each length class the number of tokens and
+        of words, the head's left out."""
+        k = len(g)
         share = (g.sum(0) + 1) / (g.sum() + k)
         self.step = np.log10((g + ALPHA * share) / (g.sum(1, keepdims=True) + ALPHA))
-        self.tail_class, self.end_class = cls[symbols.n : symbols.end], cls[symbols.end]
+        self.tail_class, self.end_class = np.arange(classes.n, classes.end), classes.end
         self.words = {w: i for i, (w, _) in enumerate(head)}
         c = np.array([c for _, c in head], float)
-        s = symbols.of([w for w, _ in head]) if head else np.empty(0, np.int64)
-        self.cls = cls[s]
+        self.cls = classes.of([w for w, _ in head]) if head else np.empty(0, np.int64)
         self.total, self.distinct = total, distinct
         self.unigram = self.plain(c)
-        in_class = np.bincount(cls[: symbols.n], b[:, : symbols.n].sum(0), k) if symbols.n else np.zeros(k)
         self.room = {t: tails.get(t, (0, 0))[0] + DELTA * (tails.get(t, (0, 0))[1] + 1) for t in range(TAILS)}
-        with np.errstate(divide="ignore"):
-            self.emit = np.where(s < symbols.n, np.log10(np.maximum(c, 1e-9)) - np.log10(np.maximum(in_class[self.cls], 1e-9)), 0)
-        for t in range(TAILS):
-            at = s == symbols.n + t
-            self.emit[at] = np.log10((c[at] + DELTA) / self.room[t])
+        self.emit = np.log10(c) - np.log10(np.bincount(self.cls, c, k)[self.cls]) if head else c
 
     def plain(self, c):
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -193,6 +246,29 @@ class Model:
         return len(got), float(self.unigram[got].sum()) + end, float(self.emit[got].sum() + self.step[cls[:-1], cls[1:]].sum()), Counter(tail)
 
 
+def fit(train: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]], total: int, distinct: int) -> Model:
+    """The model of training texts, whose words' counts (word, c) are known; head: the most frequent of them."""
+    listed = [w for w, _ in head]
+    some = listed[:CLUSTERED]
+    symbols = Symbols({w: i for i, w in enumerate(some)}, len(some))
+    b = pairs(train, symbols)
+    cls = exchange(b, symbols.n)
+    k = int(cls.max()) + 1
+    one = np.zeros((len(b), k))
+    one[np.arange(len(b)), cls] = 1
+    g = one.T @ b @ one
+    classes = Symbols(dict(zip(some, cls[: symbols.n].tolist(), strict=True)), k - TAILS - 1)
+    if len(listed) > len(some):
+        classes = Symbols(classes.known | further(train, listed, len(some), classes, g), classes.n)
+        g = pairs(train, classes)
+    of = lambda n: int(np.searchsorted(LENGTHS, n, side="left"))
+    tails = {r.t: [r.n, r.v] for r in counts.groupBy(length_class(F.length("word")).alias("t")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    for w, c in head:
+        tails[of(len(w))][0] -= c
+        tails[of(len(w))][1] -= 1
+    return Model(g, classes, head, total, distinct, {t: (n, v) for t, (n, v) in tails.items()})
+
+
 def language_model(documents: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability) of each
     row of documents (doc_id, text), learned from those whose crc32 of doc_id isn't `held` modulo `folds`.
@@ -209,10 +285,7 @@ def language_model(documents: DataFrame, folds: int = 5, held: int = 1) -> DataF
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = sums[0] + n_train, sums[1] + (n_train > 0)
     head = frequent(counts, HEAD)
-    symbols = Symbols([w for w, _ in head[:CLUSTERED]])
-    clustered = spark.createDataFrame([(bytearray(w),) for w, _ in head[:CLUSTERED]], "word binary")
-    tails = {r.t: (r.n, r.v) for r in counts.join(F.broadcast(clustered), "word", "left_anti").groupBy(length_class(F.length("word")).alias("t")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    model = Model(pairs(train, symbols), symbols, head, total, distinct, tails)
+    model = fit(train, counts, head, total, distinct)
     end = float(model.plain(float(n_train)))
     known = spark.sparkContext.broadcast(model)
 

@@ -117,14 +117,15 @@ def measured(documents: DataFrame, keep: list[str], then, schema: str) -> DataFr
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Machine:
     """Learns from documents (doc_id, text, n_chars) with a non-null quality in labels (doc_id, quality), about `most` of
-    the labels; a label that is repeated counts as often. Features of these documents alone come to the driver."""
-    some = bounded_sample(labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("quality")), F.col("doc_id"), most)
+    the labels; a label that is repeated counts once. Features of these documents alone, of about `most` if more rows bear their ids,
+    come to the driver."""
+    some = bounded_sample(labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("quality")).distinct(), F.col("doc_id"), most)
 
     def out(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["doc_id", "quality", "i", "x"])
 
     # the sampled labels are a bounded number of small rows
-    labelled = documents.join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text", "n_chars")
+    labelled = bounded_sample(documents.join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text", "n_chars"), F.concat_ws(" ", "doc_id", "text"), 2 * most)
     got = measured(labelled, ["doc_id", "quality"], out, "doc_id long, quality int, i binary, x binary").toPandas().sort_values(["doc_id", "i"], ignore_index=True)
     machine = Machine()
     if len(got):
