@@ -32,3 +32,13 @@ def test_substitutions_and_odd_rows(spark):
     left = clean(docs, bench)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [4, 5, 7, 8, 9, 9]
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_short_items_in_longer_documents_and_clashing_names(spark):
+    docs = [(1, "so alpha-beta it was"), (2, "alpha and beta"), (3, "GAMMA delta epsilon! zeta zeta"), (4, "gamma delta zeta"), (5, "one word here: omega"), (6, None), (7, "omega " * 500)]
+    items = [(1, "alpha beta"), (2, "gamma delta epsilon zeta"), (3, "Omega"), (4, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in docs], "doc_id long, text string, __row int, key int, value int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()) == [(1, 1), (3, 2), (5, 3), (7, 3)]
+    left = clean(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 4, 6]

@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 
 from tracegauge.llm.licenses import NOTICES, PHRASES, scan
-from tracegauge.llm.linefreq import quality_rules
+from tracegauge.llm import linefreq
+from tracegauge.llm.linefreq import quality_rules, without_common_lines
 
 TEXTS = [
     None, "", " \n\t\x0b ", "one", "a b c d e", "a b c d e a b c d e", "x x x x x x x x x x x x", "a|b #c *d $e %f &g <h>", "same line\nsame line\n\nsame line\nother\n \n ",
@@ -69,6 +70,25 @@ def test_rules_on_odd_rows(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
+def brute_left(rows, limit):
+    norm = lambda x: re.sub("[\x20\x09-\x0d]+", " ", re.sub("[0-9]+", "0", x.lower())).strip(" ")
+    seen = Counter()
+    for _, t, h in rows:
+        seen.update({(h, y) for x in (t or "").split("\n") if (y := norm(x))})
+    return sorted(((i, h, t if t is None else "\n".join(x for x in t.split("\n") if seen[h, norm(x)] <= limit)) for i, t, h in rows), key=repr)
+
+
+@pytest.mark.parametrize("broadcast", [linefreq.BROADCAST_ROWS, 0])
+def test_lines_above_the_limit_go(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(linefreq, "BROADCAST_ROWS", broadcast)
+    rows = [(i, t, "h") for i, t in enumerate(TEXTS)] + [(None, "x y", None), (3, "one", "h"), (3, "one", "h")]
+    rows += [(100 + i, f"Common  Line here 7\n{i} own\n\nCommon line HERE 8\n" + "end " * i, "h" if i % 4 else None) for i in range(20)]
+    df = spark.createDataFrame([(*r, "l") for r in rows], "doc_id long, text string, source string, line string").repartition(3)
+    assert sorted((tuple(r) for r in without_common_lines(df, limit=3).select("doc_id", "source", "text").collect()), key=repr) == brute_left(rows, 3)
+    assert got_rules(df, limit=3) == brute_rules(rows, limit=3)
+    assert without_common_lines(df.limit(0)).count() == 0
+
+
 def brute_scan(text):
     ws = [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text or "")) if w]
     places = [(i, label) for p, label in PHRASES.items() for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]

@@ -55,6 +55,31 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Hash values that stand for the rows that are looked up, at most: that many rows are broadcast.
+LOOKUP = 1 << 20
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """rows whose key (not null) is not in gone (one column, distinct). Only rows whose key has its hash value in common with one of gone are
+    moved; the rest stay where they are."""
+    value = lambda c: F.pmod(F.xxhash64(c), F.lit(LOOKUP)).cast("int")
+    k, v = fresh(rows, "key"), fresh(rows, "value")
+    gone = gone.select(F.col(gone.columns[0]).alias(k))
+    values = F.broadcast(gone.select(value(F.col(k)).alias(v)).distinct())
+    keyed = rows.withColumn(k, key).withColumn(v, value(F.col(k)))
+    clear = keyed.join(values, v, "left_anti")
+    rest = keyed.join(values, v, "left_semi").join(gone, k, "left_anti")
+    return clear.select(rows.columns).unionByName(rest.select(rows.columns))
+
+
 def words(text: bytes | None) -> list[bytes]:
     """UTF-8 words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased: bytes.lower and bytes.split know ASCII only."""
     return text.lower().split() if text else []

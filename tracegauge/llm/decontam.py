@@ -5,11 +5,13 @@ benchmark and all seeds of the documents are joined; a document's seeds are test
 the benchmark's first, so that few of them take part in the join. A hit of item word t at document word p says that the
 item lies along the diagonal p - t there. Along it, equal words count 1 and others -MISS: the best segment decides, so that
 overlaps with substituted words are found, and single common phrases are not enough. An item of which SHARE of the words are
-there, in order, within NEAR words of the diagonal, is found too: there neighbouring diagonals are joined.
+there, in order, within NEAR words of the diagonal, is found too: there neighbouring diagonals are joined. An item shorter
+than all masks is found where all its words stand: a document's runs of as many words are seeds too, if there are such items.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, prepare
+from .common import materialize, mix, prepare, without
 
-#: Masks of five words each; a text of fewer words than a mask has gives one seed of all its words.
+#: Masks of five words each; items of fewer words have one seed, of all their words.
 MASKS = ("11111", "1101011", "1011101", "11010101")
 #: A segment needs such a score, or SHARE of the item's words if the item is shorter.
 ENOUGH, MISS, SHARE = 10, 2, 0.75
 #: Words put in or left out move what follows by up to so many places.
 NEAR = 8
-BLOOM_BITS = 24
+#: The filter has some 16 bits for each seed of the benchmark, within these powers of two (at most 8 MB are broadcast).
+BLOOM_BITS = (16, 26)
 BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -52,16 +55,16 @@ def seeds(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def short_seed(h: np.ndarray) -> np.ndarray:
-    """One seed for all words of a text shorter than the first mask."""
-    x = np.full(1, len(h) << 8, np.uint64)
-    for v in h:
-        x = mix((x ^ v) * np.uint64(0x9E3779B97F4A7C15))
-    return x
+def run_seeds(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of all runs of n words; of equal runs the first alone, as each says all that the others do."""
+    x = np.full(max(0, len(h) - n + 1), n << 8, np.uint64)
+    for k in range(n):
+        x = mix((x ^ h[k : k + len(x)]) * np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(x, return_index=True)
 
 
-def bloom_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - BLOOM_BITS)).astype(np.int64), (h & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+def bloom_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
@@ -72,7 +75,7 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
             hashes = [word_hashes(t) for t in batch.column("text").to_pylist()]
             listed = []
             for h in hashes:
-                short = [(short_seed(h), np.zeros(1, np.int64))] if 0 < len(h) < len(MASKS[0]) else []
+                short = [run_seeds(h, len(h))] if 0 < len(h) < len(MASKS[0]) else []
                 listed.append([{"h": int(x), "t": int(t)} for xs, ts in seeds(h) + short for x, t in zip(xs.view(np.int64), ts, strict=True)])
             words_ = pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), words_, pa.array(listed, pa.list_(pa.struct([("h", pa.int64()), ("t", pa.int32())])))], ["item_id", "words", "seeds"])
@@ -115,21 +118,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     documents: (doc_id, text); benchmark: (item_id, text). Null or empty texts have no words and no pair. Items with equal
     words are one item, named by their smallest id. A null doc_id or item_id stays null. Items shorter than the shortest
-    mask are found only where the document is as short. Other columns are left out.
+    mask are found where all their words stand. Other columns are left out.
     """
     spark = prepare(documents.sparkSession)
     binary = lambda df, i: df.select(F.col(i).cast("long").alias(i), F.col("text").cast("string").cast("binary").alias("text"))
     items = materialize(item_seeds(binary(benchmark, "item_id")), "items").withColumn("item", F.xxhash64("words"))
     hashed = items.select("item", F.explode("seeds").alias("s")).select("item", "s.h", "s.t")
 
+    # lengths of items that have no mask, and the filter's size
+    short = sorted(r[0] for r in items.where(F.size("words") < len(MASKS[0])).select(F.size("words")).distinct().collect())
+    width = min(max(math.ceil(math.log2(16 * hashed.count() + 1)), BLOOM_BITS[0]), BLOOM_BITS[1])
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(bloom_places(h))).astype(np.int32))], ["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(bloom_places(h, width))).astype(np.int32))], ["at"])
 
     # no more places than the filter has bits
     at = hashed.select("h").mapInArrow(places, "at int").distinct().toPandas()["at"].to_numpy(np.int64)
-    bits = np.zeros(1 << BLOOM_BITS, np.bool_)
+    bits = np.zeros(1 << width, np.bool_)
     bits[at] = True
     bloom = spark.sparkContext.broadcast(np.packbits(bits))
 
@@ -139,10 +146,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             keep, words_, found = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 h = word_hashes(text)
-                short = [(short_seed(h), np.zeros(1, np.int64))] if 0 < len(h) < len(MASKS[0]) else []
                 own = []
-                for x, p in seeds(h) + short:
-                    a, b = bloom_places(x)
+                for x, p in seeds(h) + [run_seeds(h, n) for n in short]:
+                    a, b = bloom_places(x, width)
                     ok = np.flatnonzero(bit[a])
                     ok = ok[bit[b[ok]]]
                     own += [{"h": int(v), "p": int(q)} for v, q in zip(x[ok].view(np.int64), p[ok], strict=True)]
@@ -192,6 +198,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the rows that contain a benchmark item; all columns stay."""
-    bad = contaminated(documents, benchmark).select(F.col("row").alias("__row")).distinct()
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
-    return documents.withColumn("__row", row).join(bad, "__row", "left_anti").drop("__row")
+    bad = materialize(contaminated(documents, benchmark).select("row").distinct(), "contaminated")
+    return without(documents, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")), bad)

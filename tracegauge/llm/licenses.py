@@ -1,9 +1,9 @@
 """License scan by diagonal voting; DataFrame functions only.
 
 Every rolling k-gram of words of every document is hashed and joined with the k-grams of the templates (a fixed list, so
-the broadcast side has a fixed size). A hit at word p of a document and word t of a template votes for the diagonal
-p - t. Votes are counted by diagonal, neighbouring diagonals (a word more or less in between) are merged, and a merged
-span counts if its votes cover enough of the template. Templates of a phrase need every k-gram on one diagonal, which is
+the broadcast side has a fixed size). A hit at word p of a document and word t of a template whose words are equal, one by one,
+votes for the diagonal p - t. Votes are counted by diagonal, neighbouring diagonals (a word more or less in between) are merged, and a merged
+span counts if its votes, all verified on words, cover enough of the template. Templates of a phrase need every k-gram on one diagonal, which is
 the same as the phrase standing there.
 """
 
@@ -51,20 +51,22 @@ def scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[
     spark = prepare(documents.sparkSession)
     listed = [(p, label, True) for p, label in phrases.items()] + [(n, label, False) for label, ns in notices.items() for n in ns]
     templates = spark.createDataFrame([(i, t, label, base, len(t.split()), min(GRAM, len(t.split()))) for i, (t, label, base) in enumerate(listed)], "template int, body string, label string, base boolean, length int, k int")
-    k_grams = lambda k: templates.where(F.col("k") == k).select("template", "label", "base", (F.col("length") - k + 1).alias("grams"), F.posexplode(grams_of(F.split("body", " "), k)).alias("t", "h")).where("h is not null").groupBy("h").agg(F.collect_list(F.struct("template", "label", "base", "grams", "t")).alias(f"in{k}")).withColumnRenamed("h", f"h{k}")
+    k_grams = lambda k: templates.where(F.col("k") == k).select("template", "label", "base", (F.col("length") - k + 1).alias("grams"), F.split("body", " ").alias("own"), F.posexplode(grams_of(F.split("body", " "), k)).alias("t", "h")).where("h is not null").withColumn("own", F.slice("own", F.col("t") + 1, k)).groupBy("h").agg(F.collect_list(F.struct("template", "label", "base", "grams", "t", "own")).alias(f"in{k}")).withColumnRenamed("h", f"h{k}")
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
     words = F.filter(F.split(text, BREAK), lambda w: w != "")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")).withColumn("row", F.monotonically_increasing_id())
-    each = F.arrays_zip(grams_of(F.col("words"), 2).alias("h2"), grams_of(F.col("words"), GRAM).alias(f"h{GRAM}"))
+    each = F.arrays_zip(grams_of(F.col("words"), 2).alias("h2"), grams_of(F.col("words"), GRAM).alias(f"h{GRAM}"), *[(F.slice("words", k + 1, F.size("words")) if k else F.col("words")).alias(f"w{k}") for k in range(GRAM)])
     each = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(each).alias("p", "g"))
-    each = each.select("row", "doc_id", "n_words", "p", F.col("g.h2"), F.col(f"g.h{GRAM}"))
+    each = each.select("row", "doc_id", "n_words", "p", "g.*")
     for k in (2, GRAM):
         each = each.join(F.broadcast(k_grams(k)), f"h{k}", "left")
     # the first row of each document stays for its count of words
     each = each.where(f"coalesce(p, 0) = 0 or in2 is not null or in{GRAM} is not null").repartition("row")
-    none = F.array().cast("array<struct<template:int,label:string,base:boolean,grams:int,t:int>>")
+    none = F.array().cast("array<struct<template:int,label:string,base:boolean,grams:int,t:int,own:array<string>>>")
+    own = lambda x, k: F.filter(x, lambda y: F.array([F.col(f"w{i}") for i in range(k)]) == y["own"])
+    each = each.withColumn("in2", own("in2", 2)).withColumn(f"in{GRAM}", own(f"in{GRAM}", GRAM))
     hits = each.select("row", "doc_id", "n_words", "p", F.explode_outer(F.concat(F.coalesce("in2", none), F.coalesce(f"in{GRAM}", none))).alias("x"))
-    hits = hits.select("row", "doc_id", "n_words", "p", "x.*", (F.col("p") - F.col("x.t")).alias("diagonal"))
+    hits = hits.select("row", "doc_id", "n_words", "p", *[f"x.{c}" for c in ("template", "label", "base", "grams", "t")], (F.col("p") - F.col("x.t")).alias("diagonal"))
     same = ["row", "doc_id", "n_words", "template", "label", "base", "grams"]
     votes = hits.groupBy(*same, "diagonal").agg(F.count("t").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")

@@ -22,14 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, materialize, mix, prepare, words
+from .common import LOOKUP, fresh, groups, materialize, mix, prepare, without, words
 
 ROWS, BANDS, BITS = 6, 50, 1024
 SAMPLES = ROWS * BANDS
 #: Odd-sketch estimates lie within 6 standard deviations of the truth: sketches below threshold - MARGIN can't be links.
 MARGIN = 0.17
-#: Hash values that stand for the ids that are looked up, at most: that many rows are broadcast.
-LOOKUP = 1 << 20
 #: Nodes in a block; cells of a matrix in one comparison.
 BLOCK, CELLS = 256, 1 << 23
 
@@ -301,8 +299,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 def without_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group: the row with the smallest doc_id, all columns. Of rows that repeat a doc_id one stays.
     Rows without a doc_id are in no group and stay."""
-    gone = near_duplicates(documents, size, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    twice = documents.groupBy("doc_id").agg(F.count("*").alias("__n")).where("doc_id is not null and __n > 1").select("doc_id")
-    left = documents.join(gone, "doc_id", "left_anti")
-    one = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(one).select(documents.columns)
+    gone = materialize(near_duplicates(documents, size, percent).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    n = fresh(documents, "n")
+    twice = materialize(documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(n)).where(F.col(n) > 1).select("doc_id"), "twice")
+    left = without(documents, F.col("doc_id").cast("long"), gone)
+    if twice.isEmpty():
+        return left
+    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(documents.columns)
