@@ -179,28 +179,44 @@ def common_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     return out
 
 
+def possible(g: pd.DataFrame, cut: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a unit's rows whose sketches may be those of a link between components. A pair is met in the first bucket that
+    it shares, unless its smaller node is the bucket's smallest, which has been compared with all."""
+    odd = np.frombuffer(b"".join(g["odd"]), np.uint8).reshape(len(g), -1)
+    tags = np.frombuffer(b"".join(g["tags"]), np.uint32).reshape(len(g), -1)
+    node, comp, n, side, band = (g[c].to_numpy() for c in ("node", "component", "n_shingles", "side", "band"))
+    within, least = g["i"].iloc[0] == g["j"].iloc[0], g["a"].iloc[0]
+    xs, ys = [], []
+    for x in np.flatnonzero((side == 0) & (node != least)):
+        y = np.flatnonzero(((node > node[x]) if within else (side == 1)) & (comp != comp[x]) & (node != least))
+        y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+        y = y[similarity(odd[y], odd[x]) >= cut]
+        y = y[~(tags[y, : band[x]] == tags[x, : band[x]]).any(axis=1)]
+        xs.append(np.full(len(y), x))
+        ys.append(y)
+    x, y = (np.concatenate(v) if v else np.empty(0, int) for v in (xs, ys))
+    return x, y
+
+
+def candidates(batches: Iterator[pd.DataFrame], cut: float, percent: int) -> Iterator[pd.DataFrame]:
+    """The nodes of units (key, i, j), sorted, that are in a possible pair: only their texts need to be read."""
+    for g in groups(batches, ["key", "i", "j"]):
+        if len(g) > 1:
+            used = np.unique(np.concatenate(possible(g, cut, percent)))
+            if len(used):
+                yield g.iloc[used][["key", "i", "j", "node"]].drop_duplicates()
+
+
 def linked(batches: Iterator[pd.DataFrame], cut: float, size: int, percent: int) -> Iterator[pd.DataFrame]:
     """Links that join components, of the nodes in units (key, i, j), sorted: side 0 against side 1, or within side 0 if
-    i = j. A pair is compared in the first bucket that it shares, unless its smaller node is the bucket's smallest, which
-    has been compared with all. Of the links found, those that span the unit's components are returned."""
+    i = j. Of the links found, those that span the unit's components are returned."""
     for g in groups(batches, ["key", "i", "j"]):
         if len(g) < 2:
             continue
-        odd = np.frombuffer(b"".join(g["odd"]), np.uint8).reshape(len(g), -1)
-        tags = np.frombuffer(b"".join(g["tags"]), np.uint32).reshape(len(g), -1)
-        node, comp, n, side, band = (g[c].to_numpy() for c in ("node", "component", "n_shingles", "side", "band"))
-        within, least = g["i"].iloc[0] == g["j"].iloc[0], g["a"].iloc[0]
-        xs, ys = [], []
-        for x in np.flatnonzero((side == 0) & (node != least)):
-            y = np.flatnonzero(((node > node[x]) if within else (side == 1)) & (comp != comp[x]) & (node != least))
-            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            y = y[similarity(odd[y], odd[x]) >= cut]
-            y = y[~(tags[y, : band[x]] == tags[x, : band[x]]).any(axis=1)]
-            xs.append(np.full(len(y), x))
-            ys.append(y)
-        x, y = (np.concatenate(v) if v else np.empty(0, int) for v in (xs, ys))
+        x, y = possible(g, cut, percent)
         if not len(x):
             continue
+        node, comp = g["node"].to_numpy(), g["component"].to_numpy()
         used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
         sets = [shingles(t, size) for t in g["text"].iloc[used]]
         both = common_counts(sets, place[: len(x)], place[len(x) :])
@@ -283,10 +299,14 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     dealt = materialize(units(placed), "units")
     need = materialize(dealt.select(F.col("node").alias("doc_id")).distinct(), "ids")
-    more = only(some.select("doc_id", "n_shingles", "odd", "bands"), need).select("doc_id", "n_shingles", "odd", short("bands").alias("tags"))
-    more = more.join(only(docs, need), "doc_id").withColumnRenamed("doc_id", "node")
-    more = dealt.join(more, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = more.mapInPandas(lambda frames: linked(frames, cut, size, percent), "a long, b long").distinct()
+    sketches = materialize(only(some.select("doc_id", "n_shingles", "odd", "bands"), need).select(F.col("doc_id").alias("node"), "n_shingles", "odd", short("bands").alias("tags")), "sketches")
+    by_unit = lambda rows: rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # sketches first: texts are moved for nodes in possible pairs alone
+    likely = by_unit(dealt.join(sketches, "node")).mapInPandas(lambda frames: candidates(frames, cut, percent), "key long, i long, j long, node long")
+    likely = materialize(likely, "likely")
+    texts = only(docs, materialize(likely.select(F.col("node").alias("doc_id")).distinct(), "ids")).withColumnRenamed("doc_id", "node")
+    more = dealt.join(likely, ["key", "i", "j", "node"]).join(sketches, "node").join(texts, "node")
+    more = by_unit(more).mapInPandas(lambda frames: linked(frames, cut, size, percent), "a long, b long").distinct()
     # equal sets of which a row bears another id are links too
     copies = some.join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = materialize(links.unionByName(more).unionByName(copies), "links")
