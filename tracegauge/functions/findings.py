@@ -1,7 +1,7 @@
-"""Matches with offsets, and personal data in a text, as column expressions.
+"""Patterns and check digits of personal data; matches with offsets of one type alone, as column expressions.
 
 A finding is struct<kind, start, end>: code points, end exclusive. Spark's regular expressions report no offsets; the text
-between matches and the matches themselves, in turn, add up to them.
+between matches and the matches themselves, in turn, add up to them. All types at once: see detect.
 """
 
 from __future__ import annotations
@@ -17,10 +17,6 @@ CPF = r"(?U)(?=\d)(?<!\d)(?:\d{3}\.\d{3}\.\d{3}-\d{2}|\d{11})(?!\d)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 CARD = r"(?U)(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d)"
 CNPJ = r"(?=[0-9A-Z])(?<![0-9A-Za-z])(?:[0-9A-Z]{2}\.[0-9A-Z]{3}\.[0-9A-Z]{3}/[0-9A-Z]{4}-[0-9]{2}|[0-9A-Z]{12}[0-9]{2})(?![0-9A-Za-z])"
-PHONE = r"(?U)(?=[\d(+])(?<![\p{L}\p{N}_+.-])(?<!\d[ -])(?:\+?55[ -]?)?(?:\(\d{2}\)|\d{2})[ -]?(?:9\d{4}|[2-5]\d{3})[ -]?\d{4}(?!\d|[ -]\d)"
-PHONE_DDD = r"(?U)^(?:\+?55[ -]?)?\(?(\d{2})\)?[ -]?(?:9\d{4}|[2-5]\d{3})[ -]?\d{4}$"
-PIX = r"(?i)(?<![\p{L}\p{N}_-])[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}(?![\p{L}\p{N}_-])"
-PHONE_WORD = r"(?iU)(?<![\p{L}\p{N}_])(?:tel|telefone|celular|whatsapp|fone)s?(?![\p{L}\p{N}_])"
 CPF_WINDOW, CNPJ_WINDOW, PHONE_WINDOW, PIX_WINDOW = 30, 30, 30, 40
 #: Area codes in use.
 DDDS = [*range(11, 20), 21, 22, 24, 27, 28, *range(31, 36), 37, 38, *range(41, 50), 51, 53, 54, 55, *range(61, 70), 71, 73, 74, 75, 77, 79, *range(81, 90), *range(91, 100)]
@@ -57,19 +53,6 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.regexp_like(text, p), walk).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
-def before(text: Column, start: Column, pattern: str, window: int) -> Column:
-    """Whether the pattern matches within the window characters before start."""
-    at = F.greatest(start - window, F.lit(0))
-    return F.regexp_like(F.substr(text, at + 1, start - at), F.lit(pattern))
-
-
-def phone_word_before(text: Column, start: Column) -> Column:
-    """The same for the phone words, whose left boundary may need the character before the window."""
-    at = F.greatest(start - PHONE_WINDOW, F.lit(0))
-    left = F.when(at > 0, F.when(F.regexp_like(F.substr(text, at, F.lit(1)), F.lit(r"[\p{L}\p{N}_]")), F.lit("x")).otherwise(F.lit(" "))).otherwise(F.lit(""))
-    return F.regexp_like(F.concat(left, F.substr(text, at + 1, start - at)), F.lit(PHONE_WORD))
-
-
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -94,19 +77,6 @@ def cpf_is_valid(value: Column) -> Column:
     return F.coalesce(F.regexp_like(value, F.lit("^[0-9]{11}$")) & ~all_equal(value) & let(F.split(value, ""), check), F.lit(False))
 
 
-def cnpj_is_valid(value: Column) -> Column:
-    """Fourteen characters, not all equal, with both check digits right; letters count as ascii - 48."""
-
-    def digit(c: Column, weights: list[int]) -> Column:
-        rest = weighted(c, weights) % 11
-        return F.when(rest < 2, 0).otherwise(11 - rest)
-
-    def check(c: Column) -> Column:
-        return (digit(c, CNPJ_WEIGHTS[0]) == F.ascii(c[12]) - 48) & (digit(c, CNPJ_WEIGHTS[1]) == F.ascii(c[13]) - 48)
-
-    return F.coalesce(F.regexp_like(value, F.lit("^[0-9A-Z]{12}[0-9]{2}$")) & ~all_equal(value) & let(F.split(value, ""), check), F.lit(False))
-
-
 def card_brand(value: Column) -> Column:
     """Brand of a digit string, or null: Elo, Hipercard, Amex, Mastercard, Visa, the first that fits."""
     n, six, four, two = F.length(value), F.substr(value, F.lit(1), F.lit(6)).cast("int"), F.substr(value, F.lit(1), F.lit(4)).cast("int"), F.substr(value, F.lit(1), F.lit(2)).cast("int")
@@ -133,38 +103,3 @@ def find_emails(text: Column) -> Column:
 def find_cards(text: Column) -> Column:
     ok = lambda m: let(digits(m["value"]), lambda d: card_brand(d).isNotNull() & F.call_function("luhn_check", d))
     return as_findings(F.filter(matches(text, CARD), ok), "credit_card")
-
-
-def find_cpfs(text: Column) -> Column:
-    return as_findings(F.filter(matches(text, CPF), lambda m: cpf_is_valid(digits(m["value"])) & (m["value"].contains(".") | before(text, m["start"], "(?i)cpf", CPF_WINDOW))), "cpf")
-
-
-def find_cnpjs(text: Column) -> Column:
-    bare = lambda m: F.regexp_replace(m["value"], "[./-]", "")
-    return as_findings(F.filter(matches(text, CNPJ), lambda m: cnpj_is_valid(bare(m)) & (m["value"].contains("/") | before(text, m["start"], "(?i)cnpj", CNPJ_WINDOW))), "cnpj")
-
-
-def phone_ddd(value: Column) -> Column:
-    return F.regexp_extract(value, PHONE_DDD, 1).cast("int")
-
-
-def find_phones(text: Column) -> Column:
-    plain = lambda m: F.regexp_like(m["value"], F.lit("^[0-9]+$"))
-    return as_findings(F.filter(matches(text, PHONE), lambda m: F.coalesce(phone_ddd(m["value"]).isin(DDDS), F.lit(False)) & (~plain(m) | phone_word_before(text, m["start"]))), "phone")
-
-
-def find_pix_keys(text: Column) -> Column:
-    return as_findings(F.filter(matches(text, PIX), lambda m: before(text, m["start"], "(?i)pix", PIX_WINDOW)), "pix_key")
-
-
-def without_overlaps(found: Column) -> Column:
-    """Keeps each finding that overlaps none kept before it, then sorts by start."""
-    keep = F.aggregate(found, F.array().cast(FINDINGS), lambda acc, f: F.when(F.exists(acc, lambda o: (o["start"] < f["end"]) & (o["end"] > f["start"])), acc).otherwise(F.array_append(acc, f)))
-    return F.array_sort(keep, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
-
-
-def find_pii(text: Column) -> Column:
-    """Personal data by priority: CPF, CNPJ, card, phone, e-mail, PIX key. A stretch counts once."""
-    found = F.concat(*(f(text) for f in (find_cpfs, find_cnpjs, find_cards, find_phones, find_emails, find_pix_keys)))
-    # all types have a digit or an @
-    return F.when(F.regexp_like(text, F.lit(r"(?U)[\d@]|[0-9A-Z]{12}")), without_overlaps(found)).otherwise(F.array().cast(FINDINGS))

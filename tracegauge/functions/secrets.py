@@ -1,28 +1,11 @@
-"""Credentials in a text, masking and sanitising, as column expressions."""
+"""Entropy of a value, as a column expression. Credentials are found, masked and sanitised by detect."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .findings import FINDING, FINDINGS, as_findings, find_pii, let, matches, without_overlaps
-
-#: Patterns of the credential types.
-KNOWN = {
-    "aws_access_key": [r"(?<![A-Za-z0-9_])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9_])"],
-    "github_token": [r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])github_pat_[A-Za-z0-9_]{22,}"],
-    "llm_api_key": [r"(?<![A-Za-z0-9_])sk-[A-Za-z0-9_-]{20,}"],
-    "jwt": [r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"],
-    "private_key": [r"-----BEGIN [A-Z ]*PRIVATE KEY-----"],
-    "connection_string": [r"[a-z][a-z0-9+.-]*://[^:/\s]+:[^@/\s]+@"],
-}
-SECRET_TYPES = (*KNOWN, "generic_secret")
-#: Ours: a keyword, an assignment, a value of 20 characters or more; its bits per character must pass the threshold.
-GENERIC = r"(?i)(?<=key|token|secret|password|senha)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/=_.-]{20,}"
-VALUE = r"[A-Za-z0-9+/_.-][A-Za-z0-9+/=_.-]{19,}$"
-ENTROPY = 3.5
-PLACEHOLDER = r"^(?:\*+|<[^>]*>|\$\{[^}]*\})$"
-REDACTED = "[REDACTED]"
+from .findings import let
 
 
 def entropy(value: Column) -> Column:
@@ -33,65 +16,3 @@ def entropy(value: Column) -> Column:
         return F.aggregate(F.array_distinct(c), F.lit(0.0), lambda a, x: a - share(x) * F.log2(share(x)))
 
     return F.when(F.length(value) > 0, let(F.split(value, ""), bits)).otherwise(F.lit(0.0))
-
-
-def is_jwt(value: Column) -> Column:
-    head = F.translate(F.split_part(value, F.lit("."), F.lit(1)), "-_", "+/")
-    padded = F.rpad(head, (F.ceil(F.length(head) / 4) * 4).cast("int"), F.lit("="))
-    return F.get_json_object(F.try_to_binary(padded, F.lit("base64")).cast("string"), "$.alg").isNotNull()
-
-
-def find_secrets(text: Column) -> Column:
-    """Credentials by priority: the known prefixes first, values assigned to a keyword last."""
-    found = []
-    for kind, patterns in KNOWN.items():
-        for p in patterns:
-            m = matches(text, p)
-            if kind == "jwt":
-                m = F.filter(m, lambda x: F.coalesce(is_jwt(x["value"]), F.lit(False)))
-            if kind == "connection_string":
-                m = F.filter(m, lambda x: ~F.regexp_like(F.regexp_extract(x["value"], r"://[^:/\s]+:([^@/\s]+)@", 1), F.lit(PLACEHOLDER)))
-            found.append(as_findings(m, kind))
-
-    def value(m: Column) -> Column:
-        v = F.regexp_extract(m["value"], VALUE, 0)
-        return F.struct((m["end"] - F.length(v)).alias("start"), m["end"].alias("end"), v.alias("value"))
-
-    generic = F.filter(F.transform(matches(text, GENERIC), value), lambda m: (F.length(m["value"]) >= 20) & (entropy(m["value"]) > ENTROPY))
-    return without_overlaps(F.concat(*found, as_findings(generic, "generic_secret")))
-
-
-def find_sensitive(text: Column) -> Column:
-    return F.concat(find_pii(text), find_secrets(text))
-
-
-def is_sensitive(text: Column) -> Column:
-    return F.coalesce(F.size(find_sensitive(text)) > 0, F.lit(False))
-
-
-def sanitize(text: Column) -> Column:
-    """The text, or a fixed mark if anything sensitive is in it. Null stays null."""
-    return F.when(is_sensitive(text), F.lit(REDACTED)).otherwise(text)
-
-
-def mask(text: Column) -> Column:
-    """The text with each finding replaced by its type, credentials by [SECRET]. Overlapping findings become one, named by
-    the first of them; of those with one start, by the longest."""
-    named = F.concat(
-        F.transform(find_pii(text), lambda f: F.struct(F.upper(f["kind"]).alias("kind"), f["start"].alias("start"), f["end"].alias("end"))),
-        F.transform(find_secrets(text), lambda f: F.struct(F.lit("SECRET").alias("kind"), f["start"].alias("start"), f["end"].alias("end"))),
-    ).cast(FINDINGS)
-    order = F.array_sort(named, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-
-    def merge(acc: Column, f: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], f["end"]).alias("end"))
-        joined = F.array_append(F.slice(acc, 1, F.size(acc) - 1), longer)
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > f["start"]), joined).otherwise(F.array_append(acc, f))
-
-    def write(spans: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        step = lambda acc, f: F.struct(f["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, f["start"] - acc["at"]), F.lit("["), f["kind"], F.lit("]")).alias("out"))
-        return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-
-    return F.when(F.size(named) > 0, let(F.aggregate(order, F.array().cast(f"array<{FINDING}>"), merge), write)).otherwise(text)

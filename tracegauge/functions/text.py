@@ -7,9 +7,10 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from .findings import let
 
@@ -76,11 +77,6 @@ def words(s: pd.Series) -> pd.Series:
     return s.map(words_in, na_action="ignore")
 
 
-@once(StringType())
-def words_of_each(s: pd.Series) -> pd.Series:
-    return of_each(words_in, s)
-
-
 @once(StringType())
 def json_error(s: pd.Series) -> pd.Series:
     return s.map(lambda t: error_in(t or "") or None)
@@ -115,20 +111,40 @@ def four_places(s: pd.Series) -> pd.Series:
     return s.map(lambda x: round(x, 4), na_action="ignore")
 
 
-def grams(ws: Column, n: int) -> Column:
-    """Hashes of the n-grams of an array of words, in order."""
-    return F.when(F.size(ws) >= n, let(ws, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))).otherwise(F.array().cast("array<bigint>"))
+def overlap(system: str, outputs: list[str], n: int) -> tuple[int, float]:
+    """The longest run of system's words that an output repeats, in runs of n words at least, and the share of system's distinct n-grams
+    that outputs hold."""
+    grams_of = lambda t: list(zip(*(words_in(t)[k:] for k in range(n)), strict=False))
+    known = set(grams_of(system))
+    hit, best = set(), 0
+    for t in outputs:
+        run = 0
+        for g in grams_of(t):
+            run = run + 1 if g in known else 0
+            if run:
+                hit.add(g)
+                best = max(best, run)
+    return best + n - 1 if best else 0, len(hit) / len(known) if known else 0.0
 
 
-def longest_run(marks: Column) -> Column:
-    """The longest run of true in an array of booleans."""
-    zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+def leak_of(n: int):
+    """A UDF: overlap of a text with an array of outputs."""
+    kind = StructType([StructField("words", IntegerType()), StructField("run", IntegerType()), StructField("coverage", DoubleType())])
 
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(x, a["run"] + 1).otherwise(F.lit(0))
-        return F.struct(run.alias("run"), F.greatest(a["best"], run).alias("best"))
+    @F.arrow_udf(kind)
+    def leak(system: pa.Array, outputs: pa.Array) -> pa.Array:
+        out = []
+        for s, o in zip(system.to_pylist(), outputs.to_pylist(), strict=True):
+            run, coverage = overlap(s or "", [t or "" for t in o or []], n)
+            out.append({"words": len(words_in(s or "")), "run": run, "coverage": coverage})
+        return pa.array(out, pa.struct([("words", pa.int32()), ("run", pa.int32()), ("coverage", pa.float64())]))
 
-    return F.aggregate(marks, zero, step, lambda a: a["best"])
+    return leak.asNondeterministic()
+
+
+def grams(ws: Column, n: int) -> Column:
+    """Hashes of the n-grams of an array of words, in order."""
+    return F.when(F.size(ws) >= n, let(ws, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))).otherwise(F.array().cast("array<bigint>"))
 
 
 def threshold(rate: float) -> int:

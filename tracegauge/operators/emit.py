@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.secrets import REDACTED, is_sensitive, sanitize
+from ..functions.detect import REDACTED, find, sanitize, sanitize_each
+from ..functions.text import apart
 from ..schemas import CALL_BOUNDS, DURATION_BOUNDS, FAIL, SCORE_BOUNDS, TOKEN_BOUNDS
 
 ASSOCIATION = "traceloop.association.properties."
@@ -32,8 +33,12 @@ def events(evaluations: DataFrame) -> DataFrame:
     # evaluators may add their own names only
     added = F.map_filter(r["attributes"], lambda k, v: k.startswith("llm_eval."))
     entries = F.filter(F.concat(F.map_entries(own), F.map_entries(copied), F.map_entries(added)), lambda e: e["value"].isNotNull())
-    df = evaluations.withColumn("_entries", entries)
-    df = df.withColumn("_clean", F.transform("_entries", lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == "gen_ai.evaluation.score.value", e["value"]).otherwise(sanitize(e["value"])).alias("value"))))
+    df = apart(evaluations, "_entries", entries)
+    # a score is a number whatever it looks like
+    score = lambda e: e["key"] == "gen_ai.evaluation.score.value"
+    df = apart(df, "_values", F.transform("_entries", lambda e: F.when(~score(e), e["value"])))
+    df = apart(df, "_values", sanitize_each("_values"))
+    df = df.withColumn("_clean", F.zip_with("_entries", "_values", lambda e, v: F.struct(e["key"].alias("key"), F.coalesce(v, e["value"]).alias("value"))))
     count = F.aggregate(F.zip_with("_entries", "_clean", lambda a, b: ((b["value"] == REDACTED) & (a["value"] != REDACTED)).cast("int")), F.lit(0), lambda a, x: a + x)
     return df.select("trace_id", F.col("span_id").alias("parent_span_id"), "trace_flags", F.lit("gen_ai.evaluation.result").alias("event_name"), severity(r["label"], r["error_type"]).alias("severity"), F.map_from_entries("_clean").alias("attributes"), count.alias("redactions"))
 
@@ -65,18 +70,33 @@ def histogram(df: DataFrame, keys: Sequence[str | Column], value: Column, bounds
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.array(*buckets).alias("buckets"))
 
 
-def common_keys(settings: Settings) -> list[Column]:
-    properties = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_filter("association_properties", lambda k, v: ~k.isin(*settings.association_exclude))))))
-    return [F.col("evaluator_name"), F.col("evaluator_kind"), F.col("service_name"), F.col("provider_name"), F.col("request_model"), properties.alias("association")]
+COMMON_KEYS = ["evaluator_name", "evaluator_kind", "service_name", "provider_name", "request_model", "association"]
+
+
+def with_common_keys(evaluations: DataFrame, settings: Settings) -> DataFrame:
+    """evaluations with the metrics' common keys, sanitised as events are: names, and the association properties (those of
+    association_exclude left out) as JSON."""
+    own = F.array_sort(F.map_entries(F.map_filter("association_properties", lambda k, v: ~k.isin(*settings.association_exclude))))
+    df = apart(evaluations, "_own", own)
+    df = apart(df, "_values", F.concat(F.array("service_name", "provider_name", "request_model"), F.transform("_own", lambda e: e["value"])))
+    df = apart(df, "_values", sanitize_each("_values"))
+    names = {c: F.col("_values")[i] for i, c in enumerate(("service_name", "provider_name", "request_model"))}
+    association = F.to_json(F.map_from_arrays(F.transform("_own", lambda e: e["key"]), F.slice("_values", 4, F.size("_own"))))
+    return df.withColumns(names | {"association": association}).drop("_own", "_values")
 
 
 def evaluation_counts(evaluations: DataFrame, settings: Settings) -> DataFrame:
-    return evaluations.groupBy(*common_keys(settings), F.col("result.label").alias("label"), F.col("result.error_type").alias("error_type")).agg(F.count("*").alias("n"))
+    return with_common_keys(evaluations, settings).groupBy(*COMMON_KEYS, F.col("result.label").alias("label"), F.col("result.error_type").alias("error_type")).agg(F.count("*").alias("n"))
 
 
 def score_histogram(evaluations: DataFrame, settings: Settings) -> DataFrame:
     """Scores by the common keys; exempt results and errors have none."""
-    return histogram(evaluations.where("result.score is not null"), common_keys(settings), F.col("result.score"), SCORE_BOUNDS)
+    return histogram(with_common_keys(evaluations.where("result.score is not null"), settings), COMMON_KEYS, F.col("result.score"), SCORE_BOUNDS)
+
+
+def redaction_counts(events_: DataFrame) -> DataFrame:
+    """Redacted values by evaluator, of events."""
+    return events_.groupBy(F.col("attributes")["gen_ai.evaluation.name"].alias("evaluator_name")).agg(F.sum("redactions").alias("redactions"))
 
 
 def duration_histogram(evaluations: DataFrame) -> DataFrame:
@@ -107,9 +127,11 @@ def interval_summary(evaluations: DataFrame) -> DataFrame:
 def result_lines(evaluations: DataFrame) -> DataFrame:
     """JSON lines of results, sanitised: what a command line prints."""
     r = F.col("result")
-    return evaluations.select(F.to_json(F.struct("trace_id", "span_id", F.col("evaluator_name").alias("evaluator"), r["score"].alias("score"), r["label"].alias("label"), sanitize(r["explanation"]).alias("explanation"), r["error_type"].alias("error_type"), "truncated")).alias("value"))
+    df = apart(evaluations, "_said", r["explanation"])
+    df = apart(df, "_said", sanitize("_said"))
+    return df.select(F.to_json(F.struct("trace_id", "span_id", F.col("evaluator_name").alias("evaluator"), r["score"].alias("score"), r["label"].alias("label"), F.col("_said").alias("explanation"), r["error_type"].alias("error_type"), "truncated")).alias("value"))
 
 
 def leaks(df: DataFrame, column: str) -> DataFrame:
     """Rows whose text column still holds something sensitive; for tests of what is written."""
-    return df.where(is_sensitive(F.col(column)))
+    return apart(df, "_found", find(column)).where(F.size("_found") > 0).drop("_found")

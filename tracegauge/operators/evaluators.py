@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.findings import find_pii, let
+from ..functions.detect import find_each
+from ..functions.findings import let
 from ..functions.refusals import HEAD, refusal_language
-from ..functions.secrets import find_secrets
-from ..functions.text import apart, four_places, grams, json_errors, longest_run, normalize_each, two_decimals, words, words_of_each
+from ..functions.text import apart, four_places, json_errors, leak_of, normalize_each, two_decimals
 from ..schemas import EXEMPT, FAIL, PASS, RESULT
 from .extract import text_of
 
@@ -59,9 +59,21 @@ def texts_by_location() -> Column:
     return F.concat(*(of(at, c) for at, c in LOCATIONS.items()))
 
 
-def located(find: Callable[[Column], Column]) -> Column:
-    """array<struct<kind, location>> of all findings, in order."""
-    return F.flatten(F.transform(texts_by_location(), lambda x: F.transform(find(x["text"]), lambda f: F.struct(f["kind"].alias("kind"), x["location"].alias("location")))))
+def with_findings(df: DataFrame) -> DataFrame:
+    """df with all findings of each text, once for all evaluators that read them."""
+    if "_found" in df.columns:
+        return df
+    df = apart(df, "_texts", texts_by_location())
+    return apart(df, "_found", find_each(F.col("_texts.text")))
+
+
+def located(secret: bool) -> Column:
+    """array<struct<kind, location>> of the findings, in order: credentials, or personal data."""
+
+    def of(x: Column, found: Column) -> Column:
+        return F.transform(F.filter(found, lambda f: f["secret"] == secret), lambda f: F.struct(f["kind"].alias("kind"), x["location"].alias("location")))
+
+    return F.flatten(F.zip_with("_texts", "_found", of))
 
 
 def summary(found: Column) -> Column:
@@ -76,7 +88,7 @@ def findings_result(found: Column, attribute: str) -> Column:
 
 def pii_findings(df: DataFrame, settings: Settings) -> DataFrame:
     # overlaps are settled among all types before the types are chosen
-    return df.withColumn("_pii", F.filter(located(find_pii), lambda x: x["kind"].isin(*settings.pii_types)))
+    return with_findings(df).withColumn("_pii", F.filter(located(False), lambda x: x["kind"].isin(*settings.pii_types)))
 
 
 def texts(messages: str, *types: str) -> Column:
@@ -103,16 +115,9 @@ def refusal_result(settings: Settings) -> Column:
 
 def leak_columns(df: DataFrame, settings: Settings) -> DataFrame:
     df = apart(df, "_system_text", F.array_join(F.transform("system_instructions", lambda m: m["text"]), " \n "))
-    df = df.withColumn("_system_words", words("_system_text"))
-    df = df.withColumn("_outputs", texts("output_messages", "text", "tool_call"))
-    df = apart(df, "_outputs_json", F.to_json("_outputs"))
-    df = apart(df, "_output_words", F.from_json(words_of_each("_outputs_json"), "array<array<string>>"))
-    df = df.withColumn("_known", F.array_distinct(grams(F.col("_system_words"), NGRAM)))
-    # a gap after each output, so that runs end with it
-    df = df.withColumn("_grams", F.flatten(F.transform("_output_words", lambda w: F.array_append(grams(w, NGRAM), F.lit(None).cast("bigint")))))
-    df = df.withColumn("_hits", F.transform("_grams", lambda g: F.coalesce(F.array_contains("_known", g), F.lit(False))))
-    df = df.withColumn("_run", longest_run(F.col("_hits"))).withColumn("_run", F.when(F.col("_run") > 0, F.col("_run") + NGRAM - 1).otherwise(0))
-    df = df.withColumn("_coverage", F.when(F.size("_known") > 0, F.size(F.array_intersect("_known", "_grams")) / F.size("_known")).otherwise(0.0))
+    df = apart(df, "_outputs", texts("output_messages", "text", "tool_call"))
+    df = apart(df, "_leak", leak_of(NGRAM)("_system_text", "_outputs"))
+    df = df.withColumns({"_run": F.col("_leak.run"), "_coverage": F.col("_leak.coverage")})
     return df.withColumns({"_coverage_text": two_decimals("_coverage"), "_coverage_4": four_places("_coverage"), "_leak_score": four_places(1.0 - F.col("_coverage"))})
 
 
@@ -168,9 +173,9 @@ def calls_tools() -> Column:
 
 HEURISTICS = (
     Evaluator("pii_detection", "heuristic", 1.0, lambda: F.lit(True), lambda s: findings_result(F.col("_pii"), "pii.types"), pii_findings),
-    Evaluator("secret_detection", "heuristic", 1.0, lambda: F.lit(True), lambda s: findings_result(F.col("_secrets"), "secret.types"), lambda df, s: df.withColumn("_secrets", located(find_secrets))),
+    Evaluator("secret_detection", "heuristic", 1.0, lambda: F.lit(True), lambda s: findings_result(F.col("_secrets"), "secret.types"), lambda df, s: with_findings(df).withColumn("_secrets", located(True))),
     Evaluator("refusal", "heuristic", 1.0, lambda: (F.size("finish_reasons") > 0) | (F.size(texts("output_messages", "text")) > 0), refusal_result, refusal_columns),
-    Evaluator("system_prompt_leak", "heuristic", 1.0, lambda: (F.size("_system_words") >= LEAST_SYSTEM_WORDS) & (F.size("_outputs") > 0), leak_result, leak_columns),
+    Evaluator("system_prompt_leak", "heuristic", 1.0, lambda: (F.col("_leak.words") >= LEAST_SYSTEM_WORDS) & (F.size("_outputs") > 0), leak_result, leak_columns),
     Evaluator("output_format", "heuristic", 1.0, lambda: F.coalesce(F.col("output_type") == "json", F.lit(False)) & F.exists("output_messages", has_text_part), format_result, format_columns),
 )
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import sampled
-from ..schemas import CALL, INTERACTION_COLUMNS, MESSAGES, PART, RESULT
+from ..schemas import CALL, IDENTITY_COLUMNS, MESSAGES, PART, RESULT
 from .evaluators import Evaluator, exempted, registry, result
-from .judges import DeterministicJudge, call_judges, conversation
+from .judges import OfflineJudge, call_judges, with_conversation
 
 EVALUATION = f"evaluator_name string, evaluator_kind string, result {RESULT}, truncated boolean, judge_calls array<{CALL}>"
 
@@ -45,8 +45,9 @@ def is_exempt(name: str, settings: Settings) -> Column:
     return F.coalesce(F.col("service_name").isin(*services), F.lit(False)) if services else F.lit(False)
 
 
-def evaluate(interactions: DataFrame, settings: Settings, more: Iterable[Evaluator] = (), client: Callable[[], object] = DeterministicJudge) -> DataFrame:
-    """One row for each interaction and evaluator that is chosen for it, applies and samples its trace.
+def evaluate(interactions: DataFrame, settings: Settings, more: Iterable[Evaluator] = (), client: Callable[[], object] = OfflineJudge) -> DataFrame:
+    """One row for each interaction and evaluator that is chosen for it, applies and samples its trace: the interaction's identity
+    (no contents), the result and the judge's calls.
 
     An exempt service's result has no score and the label exempt; judges aren't called for it and say so. Rows with a
     skip_reason are left out. No exchange takes place.
@@ -55,7 +56,7 @@ def evaluate(interactions: DataFrame, settings: Settings, more: Iterable[Evaluat
     chosen = registry(settings.evaluators, more)
     own = [e for e in chosen if not e.ask]
     out = []
-    keys = list(INTERACTION_COLUMNS)
+    keys = list(IDENTITY_COLUMNS)
     no_calls = F.array().cast(f"array<{CALL}>")
     if own:
         d = reduce(lambda d, e: e.prepare(d, settings), own, df)
@@ -75,7 +76,7 @@ def evaluate(interactions: DataFrame, settings: Settings, more: Iterable[Evaluat
         told = result(None, "exempt", "exempt service; not evaluated")
         out.append(skipped.select(*keys, F.col("x.name").alias("evaluator_name"), F.col("x.kind").alias("evaluator_kind"), told.alias("result"), F.lit(False).alias("truncated"), no_calls.alias("judge_calls")))
         d = d.withColumn("_asked", F.filter("_asked", lambda x: ~x["exempt"])).where(F.size("_asked") > 0)
-        d = truncate(d, min(e.max_chars or 1 << 30 for e in judges)).withColumn("conversation", conversation(settings.judge_redact))
+        d = with_conversation(truncate(d, min(e.max_chars or 1 << 30 for e in judges)), settings.judge_redact)
         names = lambda ask: F.transform(F.filter("_asked", lambda x: x["ask"] == ask), lambda x: x["name"])
         # the rating is a request of its own, all decisions of a span are one
         batches = F.filter(F.array(names("rating"), names("decision")), lambda c: F.size(c) > 0)

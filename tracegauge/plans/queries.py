@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import findings, secrets
+from ..functions import detect, findings, secrets
 from ..functions.refusals import refusal_language
-from ..functions.text import grams, json_error, normalize, sampled, words
+from ..functions.text import apart, grams, json_error, normalize, sampled, words
 from ..operators import emit, extract, reports, stateful
-from ..operators.evaluators import NGRAM, summary
-from ..operators.runner import evaluate
+from ..operators.evaluators import NGRAM, exempted, result, summary
+from ..operators.runner import cut, evaluate, is_exempt
 from ..schemas import MESSAGES, PART
 from ..streaming.topology import stream_counts
 
@@ -70,26 +70,36 @@ def conversation_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dialogues(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    """(conv_id, messages): each conversation's messages in turn, with a text of their own."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", message(F.col("role"), text).alias("m"))
+    return t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda x: x["m"]).cast(MESSAGES).alias("messages"))
+
+
 @query("""select conv_id, turn, role, turn > coalesce(max(case when role = 'assistant' then turn end) over (partition by conv_id), -1) as new_in_turn from conversations""")
 def turn_spans(spark, sf_dir):
-    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", (F.col("turn") > F.coalesce(last, F.lit(-1))).alias("new_in_turn"))
+    """Dialogues whose messages bear their turn as text, cut where the new turn begins."""
+    d = dialogues(spark, sf_dir, F.col("turn").cast("string")).withColumn("new", extract.new_in_turn(F.col("messages")))
+    d = d.select("conv_id", F.explode("messages").alias("m"), "new").select("conv_id", F.col("m.text").cast("long").alias("turn"), "m.role", F.array_contains(F.col("new.text"), F.col("m.text")).alias("new_in_turn"))
+    return d
 
 
 @query("""with t as (select *, coalesce(max(case when role = 'assistant' then turn end) over (partition by conv_id), -1) as last from conversations),
 c as (select conv_id, turn, role, left(text, 1000) as text, row_number() over (partition by conv_id order by turn desc) as r from t where turn <= last and role in ('user', 'assistant') and text <> '')
 select conv_id, turn, role, text from c where r <= 4""")
 def context_messages(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations")
-    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    before = t.withColumn("last", last).where("turn <= last and role in ('user', 'assistant') and text <> ''")
-    ranked = before.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
-    return ranked.where(F.col("r") <= extract.CONTEXT_MESSAGES).select("conv_id", "turn", "role", F.substr("text", F.lit(1), F.lit(extract.CONTEXT_CHARS)).alias("text"))
+    """The context before each dialogue's new turn; which turns its texts are, from the same dialogue with turns as texts (empty ones
+    stay empty)."""
+    said = dialogues(spark, sf_dir, F.coalesce("text", F.lit(""))).withColumn("said", extract.context_before_turn(F.col("messages")))
+    turns = dialogues(spark, sf_dir, F.when(F.coalesce("text", F.lit("")) == "", "").otherwise(F.col("turn").cast("string"))).withColumn("turns", extract.context_before_turn(F.col("messages")))
+    both = said.select("conv_id", "said").join(turns.select("conv_id", "turns"), "conv_id")
+    return both.select("conv_id", F.explode(F.arrays_zip("said", "turns")).alias("x")).select("conv_id", F.col("x.turns.text").cast("long").alias("turn"), "x.said.role", "x.said.text")
 
 
 @query("""select conv_id, count(*) filter (role = 'system') as system_messages, count(*) filter (role <> 'system') as others from conversations group by conv_id""")
 def system_split(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "system").alias("system_messages"), F.count_if(F.col("role") != "system").alias("others"))
+    n = lambda system: F.size(extract.with_role(F.col("messages"), system)).cast("long")
+    return dialogues(spark, sf_dir, F.lit("")).select("conv_id", n(True).alias("system_messages"), n(False).alias("others"))
 
 
 @query("""select case when event_type = 'signup' and user_id % 10 = 0 then 'self_telemetry' when event_type in ('view', 'error') then 'not_inference' when event_id % 7 = 0 then 'no_content' end as skip_reason, count(*) as n from events group by 1""")
@@ -167,23 +177,39 @@ def pii_overlap(spark, sf_dir):
     formatted = F.regexp_replace(d, "^(.{3})(.{3})(.{3})(.{2})$", r"$1.$2.$3-$4")
     k = F.col("c_custkey") % 4
     text = F.when(k == 0, F.concat(F.lit("doc "), formatted)).when(k == 1, F.concat(F.lit("numero "), d)).when(k == 2, F.concat(F.lit("CPF: "), d)).otherwise(F.concat(F.lit("mail c"), F.col("c_custkey").cast("string"), F.lit("@example.com")))
-    found = F.transform(findings.find_pii(text), lambda f: F.struct(f["kind"].alias("kind"), F.lit("input").alias("location")))
-    return table(spark, sf_dir, "customer").select("c_custkey", summary(found).alias("explanation"))
+    df = apart(apart(table(spark, sf_dir, "customer"), "said", text), "found", detect.find("said"))
+    found = F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), F.lit("input").alias("location")))
+    return df.select("c_custkey", summary(found).alias("explanation"))
 
 
 @query("""select c_custkey, c_custkey % 90 + 10 as ddd, (c_custkey % 90 + 10) in (11,12,13,14,15,16,17,18,19,21,22,24,27,28,31,32,33,34,35,37,38,41,42,43,44,45,46,47,48,49,51,53,54,55,61,62,63,64,65,66,67,68,69,71,73,74,75,77,79,81,82,83,84,85,86,87,88,89,91,92,93,94,95,96,97,98,99) as found from customer""")
 def phone_ddd(spark, sf_dir):
     ddd = F.col("c_custkey") % 90 + 10
     text = F.concat(F.lit("ligue ("), ddd.cast("string"), F.lit(") 98765-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"))
-    return table(spark, sf_dir, "customer").select("c_custkey", ddd.alias("ddd"), (F.size(findings.find_pii(text)) > 0).alias("found"))
+    df = apart(apart(table(spark, sf_dir, "customer"), "said", text), "found", detect.find("said"))
+    return df.select("c_custkey", ddd.alias("ddd"), (F.size("found") > 0).alias("found"))
 
 
 @query(r"""with k as (select doc_id, len(regexp_extract_all(text, '\bA[KS]IA[A-Z0-9]{16}\b')) as aws, unnest(list_concat([''], regexp_extract_all(text, '(?:token|password)["'']?\s{0,3}[:=]\s{0,3}["'']?([A-Za-z0-9+/=_.-]{20,})', 1))) as v from documents),
 e as (select doc_id, aws, v, case when length(v) < 20 then 0 else -list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v) * log2(len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)))) end as bits from k)
 select doc_id, max(aws)::bigint as aws_keys, count(*) filter (bits > 3.5) as generic from e group by doc_id having max(aws) > 0 or count(*) filter (bits > 3.5) > 0""")
 def secret_types(spark, sf_dir):
-    found = findings.let(secrets.find_secrets(F.col("text")), lambda s: F.struct(F.size(F.filter(s, lambda f: f["kind"] == "aws_access_key")).cast("long").alias("aws_keys"), F.size(F.filter(s, lambda f: f["kind"] == "generic_secret")).cast("long").alias("generic")))
-    return table(spark, sf_dir, "documents").select("doc_id", found.alias("x")).select("doc_id", "x.*").where("aws_keys > 0 or generic > 0")
+    d = apart(table(spark, sf_dir, "documents").select("doc_id", "text"), "found", detect.find("text"))
+    n = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long")
+    return d.select("doc_id", n("aws_access_key").alias("aws_keys"), n("generic_secret").alias("generic")).where("aws_keys > 0 or generic > 0")
+
+
+@query()
+def sensitive_kinds(spark, sf_dir):
+    """All types of personal data and credentials in whole documents."""
+    d = apart(table(spark, sf_dir, "documents").select("doc_id", "text"), "found", detect.find("text"))
+    return d.select("doc_id", F.explode("found").alias("f")).groupBy("doc_id", "f.kind", "f.secret").agg(F.count("*").alias("n"), F.min("f.start").alias("first"), F.max("f.end").alias("last"))
+
+
+@query()
+def masked_documents(spark, sf_dir):
+    """Whole documents with every finding masked, and what a sink that sanitises would write."""
+    return table(spark, sf_dir, "documents").select("doc_id", detect.mask("text").alias("masked"), detect.sanitize("text").alias("sanitised"))
 
 
 @query("""select c_custkey, round(-list_sum(list_transform(list_distinct(string_split(c_name, '')), lambda c: len(list_filter(string_split(c_name, ''), lambda x: x = c)) / length(c_name) * log2(len(list_filter(string_split(c_name, ''), lambda x: x = c)) / length(c_name)))), 6) as bits from customer""")
@@ -194,13 +220,13 @@ def name_entropy(spark, sf_dir):
 @query(r"""select conv_id, turn, case when regexp_matches(said, '@') then '[REDACTED]' else said end as said from (select conv_id, turn, case when turn % 3 = 0 then role || ' u' || conv_id || '@example.org' else role end as said from conversations)""")
 def sanitised_texts(spark, sf_dir):
     said = F.when(F.col("turn") % 3 == 0, F.concat("role", F.lit(" u"), F.col("conv_id").cast("string"), F.lit("@example.org"))).otherwise(F.col("role"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", secrets.sanitize(said).alias("said"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", detect.sanitize(said).alias("said"))
 
 
 @query(r"""select conv_id, turn, 'to [EMAIL] from ' || role as masked from conversations""")
 def masked_texts(spark, sf_dir):
     said = F.concat(F.lit("to u"), F.col("conv_id").cast("string"), F.lit("@example.org from "), F.col("role"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", secrets.mask(said).alias("masked"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", detect.mask(said).alias("masked"))
 
 
 @query("""select c_custkey, case c_custkey % 5 when 0 then 'pt' when 1 then 'en' when 2 then 'es' end as language from customer""")
@@ -262,16 +288,21 @@ def sample_trace(spark, sf_dir):
 
 @query("""select source, case when source in ('src0', 'src3') then 'exempt' else 'pass' end as label, count(*) as n from documents group by all""")
 def exempt_service(spark, sf_dir):
-    """Documents' sources as services, two of them exempt; joined with the list of exemptions, which is of fixed size."""
-    exempt = spark.createDataFrame([("src0",), ("src3",)], "source string").withColumn("label", F.lit("exempt"))
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).join(F.broadcast(exempt), "source", "left")
-    return d.select("source", F.coalesce("label", F.lit("pass")).alias("label"), "n")
+    """Documents' sources as services, two of them exempt."""
+    s = Settings(exceptions={"src0": ("length",), "src3": ("length",)})
+    d = table(spark, sf_dir, "documents").withColumn("service_name", F.col("source"))
+    r = F.when(is_exempt("length", s), exempted(result(1.0, "pass", "no findings"))).otherwise(result(1.0, "pass", "no findings"))
+    return d.groupBy("source", r["label"].alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("""select conv_id, turn, greatest(0, least(length(text), 500 - coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)))::bigint as kept from conversations""")
 def truncate_chars(spark, sf_dir):
-    before = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.greatest(F.lit(0), F.least(F.length("text"), 500 - F.coalesce(before, F.lit(0)))).cast("long").alias("kept"))
+    """Dialogues cut to 500 characters; messages that are cut off as a whole have none left."""
+    d = dialogues(spark, sf_dir, F.col("text")).withColumn("left", cut(F.col("messages"), F.lit(500))["out"])
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    d = d.join(turns, "conv_id").select("conv_id", F.posexplode("turns").alias("i", "turn"), "messages", "left")
+    kept = F.coalesce(F.length(F.get("left", F.col("i"))["text"]), F.lit(0))
+    return d.select("conv_id", "turn", F.when(F.get("messages", F.col("i"))["text"].isNotNull(), kept).cast("long").alias("kept"))
 
 
 ALL = ("pii_detection", "secret_detection", "refusal", "system_prompt_leak", "relevance", "jev_relevance", "jev_refusal", "jev_toxicity", "jev_prompt_injection")

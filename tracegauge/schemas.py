@@ -9,6 +9,8 @@ CONTENT_FIELD = {"text": "content", "reasoning": "content", "tool_call": "argume
 INFERENCE = ("chat", "text_completion", "generate_content")
 SPAN = "trace_id string, span_id string, parent_span_id string, trace_flags int, service_name string, attributes map<string,variant>"
 INTERACTION_COLUMNS = ("trace_id", "span_id", "parent_span_id", "trace_flags", "service_name", "operation_name", "provider_name", "request_model", "response_id", "system_instructions", "input_messages", "output_messages", "context_messages", "association_properties", "output_type", "finish_reasons")
+#: What of an interaction goes on to its evaluations.
+IDENTITY_COLUMNS = ("trace_id", "span_id", "trace_flags", "service_name", "operation_name", "provider_name", "request_model", "response_id", "association_properties")
 RESULT = "struct<score:double,label:string,explanation:string,attributes:map<string,string>,error_type:string>"
 CALL = "struct<operation_name:string,provider_name:string,request_model:string,response_model:string,server_address:string,server_port:int,input_tokens:long,output_tokens:long,cache_read_tokens:long,finish_reason:string,error_type:string,start_ns:long,end_ns:long>"
 PASS, FAIL, EXEMPT = "pass", "fail", "exempt"

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import Settings
 from ..operators import emit
 from ..operators.extract import interactions
-from ..operators.judges import DeterministicJudge
+from ..operators.judges import OfflineJudge
 from ..operators.runner import evaluate
 from ..sources.otlp import spans_of_json
 
@@ -34,7 +34,7 @@ def deduplicated(spans: DataFrame, ttl_s: int, at: str = "received") -> DataFram
     return spans.withWatermark(at, f"{ttl_s} seconds").dropDuplicatesWithinWatermark(["trace_id", "span_id"])
 
 
-def evaluate_stream(requests: DataFrame, settings: Settings, out: str, client: Callable[[], object] = DeterministicJudge) -> StreamingQuery:
+def evaluate_stream(requests: DataFrame, settings: Settings, out: str, client: Callable[[], object] = OfflineJudge) -> StreamingQuery:
     """requests: a stream of JSON export requests (`value`). Each micro-batch's events, spans and judge calls are written
     under `out` in a folder of the batch, so that a batch that runs again replaces what it wrote."""
     spans = deduplicated(spans_of_json(requests.select("value")).withColumn("received", F.current_timestamp()), settings.dedup_ttl_s)
