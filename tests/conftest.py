@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent / "llm")]
+sys.path[:0] = [str(Path(__file__).resolve().parents[1])]
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[1]}:{Path(__file__).resolve().parent}:{os.environ.get('PYTHONPATH', '')}"
 
 

@@ -132,6 +132,13 @@ def result_lines(evaluations: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("trace_id", "span_id", F.col("evaluator_name").alias("evaluator"), r["score"].alias("score"), r["label"].alias("label"), F.col("_said").alias("explanation"), r["error_type"].alias("error_type"), "truncated")).alias("value"))
 
 
+def details(evaluations: DataFrame, labels: DataFrame) -> DataFrame:
+    """JSON lines of labelled items (id, lang, label) with what their evaluation (response_id) said, whether it agrees, and its calls."""
+    r = F.col("result")
+    both = labels.join(evaluations.withColumnRenamed("response_id", "id"), "id", "left")
+    return both.select(F.to_json(F.struct("id", "lang", F.col("label").alias("human"), F.col("evaluator_name").alias("evaluator"), r["label"].alias("label"), r["score"].alias("score"), (r["label"] == F.col("label")).alias("agrees"), r["error_type"].alias("error_type"), F.size("judge_calls").alias("calls"))).alias("value"))
+
+
 def leaks(df: DataFrame, column: str) -> DataFrame:
     """Rows whose text column still holds something sensitive; for tests of what is written."""
     return apart(df, "_found", find(column)).where(F.size("_found") > 0).drop("_found")

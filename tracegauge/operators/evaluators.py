@@ -5,24 +5,31 @@ An evaluator's columns may be read only through `prepare`d helper columns, so th
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import partial
 from importlib.metadata import entry_points
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
 from ..config import Settings
 from ..functions.detect import find_each
 from ..functions.findings import let
 from ..functions.refusals import HEAD, refusal_language
 from ..functions.text import apart, four_places, json_errors, leak_of, normalize_each, two_decimals
-from ..schemas import EXEMPT, FAIL, PASS, RESULT
+from ..schemas import EXEMPT, FAIL, INTERACTION_COLUMNS, PASS, RESULT
+from .deadlines import Workers
 from .extract import text_of
 
 LOCATIONS = {"system": "system_instructions", "input": "input_messages", "output": "output_messages"}
 NGRAM, LEAST_SYSTEM_WORDS, LONGEST_RUN, MOST_COVERAGE = 8, 30, 20, 0.15
 GROUP = "tracegauge.evaluators"
+RESULT_TYPE = StructType([StructField("score", DoubleType()), StructField("label", StringType()), StructField("explanation", StringType()), StructField("attributes", MapType(StringType(), StringType())), StructField("error_type", StringType())])
+RESULT_ARROW = pa.struct([("score", pa.float64()), ("label", pa.string()), ("explanation", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("error_type", pa.string())])
 
 
 @dataclass(frozen=True)
@@ -180,6 +187,32 @@ HEURISTICS = (
 )
 
 
+def in_python(name: str, evaluate: Callable[[dict], dict], rate: float = 1.0, timeout_s: float = 0.0, applies: Callable[[], Column] = lambda: F.lit(True), kind: str = "heuristic") -> Evaluator:
+    """An evaluator written in Python: `evaluate` takes an interaction as a dict and returns any of score, label, explanation and
+    attributes. If it raises, the row's result is an error with the exception's name; after timeout_s (0: the settings') it is `timeout`.
+    Other rows and evaluators are untouched."""
+
+    def prepare(df: DataFrame, settings: Settings) -> DataFrame:
+        limit = timeout_s or settings.timeout_s
+
+        @F.arrow_udf(RESULT_TYPE)
+        def run(lines: pa.Array) -> pa.Array:
+            workers, out = Workers(1), []
+            for line in lines.to_pylist():
+                got, error = workers.outcome(workers.submit(partial(lambda x: evaluate(json.loads(x)), line)), limit)
+                got = got or {}
+                more = {f"llm_eval.{k}": str(v) for k, v in (got.get("attributes") or {}).items() if v is not None}
+                score = got.get("score")
+                out.append({"score": None if score is None else float(score), "label": got.get("label"), "explanation": got.get("explanation"), "attributes": list(more.items()), "error_type": error})
+            workers.close(1)
+            return pa.array(out, RESULT_ARROW)
+
+        df = apart(df, f"_{name}", F.to_json(F.struct(*INTERACTION_COLUMNS)))
+        return apart(df, f"_{name}", run.asNondeterministic()(f"_{name}"))
+
+    return Evaluator(name, kind, rate, applies, lambda settings: F.col(f"_{name}").cast(RESULT), prepare)
+
+
 def registry(names: Iterable[str], more: Iterable[Evaluator] = ()) -> list[Evaluator]:
     """The evaluators of these names, in order: ours, those given, or installed entry points of the group."""
     from .judges import JUDGES

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Slices of a group's range in which percentiles are looked for.
+PARTS = 1024
+
 
 def agreement(df: DataFrame, label: str, human: str, by: str) -> DataFrame:
     """Share of equal labels and the confusion counts, overall (a null group) and by one column."""
@@ -24,13 +29,40 @@ def place(n: Column, q: float) -> Column:
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of each group: rows are ranked by a sort in Spark, no group is collected."""
-    from pyspark.sql import Window
+    """Nearest-rank percentiles of each group. Values are counted in slices of PARTS parts of each group's range first; only the slices that
+    hold a quantile are ranked, so a group with most of the rows is no task of its own."""
+    some = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = some.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    same = reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
+    with_ends = lambda x, y: x.alias("a").join(y.alias("b"), same).drop(*(F.col(f"b.{k}") for k in keys))
+    width = F.col("_hi") - F.col("_lo")
+    cut = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")
+    counts = with_ends(some, ends).groupBy(*keys, cut.alias("_cut"), "_n").agg(F.count("*").alias("_c"))
+    # at most PARTS rows of each group
+    up_to = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_cut"))
+    listed = F.array(*(F.struct(F.lit(name).alias("name"), place(F.col("_n"), q).alias("at")) for name, q in quantiles.items()))
+    slices = counts.withColumn("_up", up_to).select(*keys, "_cut", (F.col("_up") - F.col("_c")).alias("_below"), F.filter(listed, lambda x: (x["at"] > F.col("_up") - F.col("_c")) & (x["at"] <= F.col("_up"))).alias("_at")).where(F.size("_at") > 0)
+    cells = with_ends(some, ends).groupBy(*keys, cut.alias("_cut"), "_v").agg(F.count("*").alias("_c"))
+    match = same & (F.col("a._cut") == F.col("b._cut"))
+    own = cells.alias("a").join(slices.alias("b"), match).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a._cut").alias("_cut"), "_v", "_c", "_below", "_at")
+    own = own.withColumn("_up", F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_cut").orderBy("_v")))
+    of = lambda name: F.max(F.when(F.exists("_at", lambda x: (x["name"] == name) & (x["at"] > F.col("_up") - F.col("_c")) & (x["at"] <= F.col("_up"))), F.col("_v")))
+    return own.groupBy(*keys).agg(*(of(name).cast(df.schema[value].dataType).alias(name) for name in quantiles))
+
 
-    some = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys)
-    ranked = some.select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
-    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_r") == place(F.col("_n"), q), F.col(value))).alias(name) for name, q in quantiles.items()))
+def calibration(df: DataFrame, by: str, price_per_million: float = 0.0) -> DataFrame:
+    """Of evaluated, labelled items (score, human, confidence, seconds, tokens, model) by one column: the mean distance of scores, least and
+    mean confidence, nearest-rank latencies, tokens, their price, and the number of models."""
+    out = df.groupBy(by).agg(
+        F.count("*").alias("n"),
+        F.avg(F.abs(F.col("score") - F.col("human"))).alias("distance"),
+        F.min("confidence").alias("least_confidence"),
+        F.avg("confidence").alias("mean_confidence"),
+        F.sum("tokens").alias("tokens"),
+        (F.sum("tokens") * price_per_million / 1e6).alias("cost"),
+        F.count_distinct("model").alias("models"),
+    )
+    return out.join(percentiles(df, [by], "seconds", {"p50": 0.5, "p99": 0.99}), by, "left")
 
 
 def spread(df: DataFrame, item: str, score: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..config import Settings
 from ..functions.text import sampled
 from ..schemas import CALL, IDENTITY_COLUMNS, MESSAGES, PART, RESULT
 from .evaluators import Evaluator, exempted, registry, result
-from .judges import OfflineJudge, call_judges, with_conversation
+from .judges import OfflineJudge, call_judges, with_conversation, with_sides
 
 EVALUATION = f"evaluator_name string, evaluator_kind string, result {RESULT}, truncated boolean, judge_calls array<{CALL}>"
 
@@ -71,7 +71,7 @@ def evaluate(interactions: DataFrame, settings: Settings, more: Iterable[Evaluat
     judges = [e for e in chosen if e.ask]
     if judges:
         row = lambda e: F.when(sampled(F.col("trace_id"), settings.rate(e.name, e.rate)) & e.applies(), F.struct(F.lit(e.name).alias("name"), F.lit(e.kind).alias("kind"), F.lit(e.ask).alias("ask"), is_exempt(e.name, settings).alias("exempt")))
-        d = df.withColumn("_asked", F.filter(F.array(*map(row, judges)), lambda x: x.isNotNull())).where(F.size("_asked") > 0)
+        d = with_sides(df).withColumn("_asked", F.filter(F.array(*map(row, judges)), lambda x: x.isNotNull())).where(F.size("_asked") > 0)
         skipped = d.select(*keys, F.explode(F.filter("_asked", lambda x: x["exempt"])).alias("x"))
         told = result(None, "exempt", "exempt service; not evaluated")
         out.append(skipped.select(*keys, F.col("x.name").alias("evaluator_name"), F.col("x.kind").alias("evaluator_kind"), told.alias("result"), F.lit(False).alias("truncated"), no_calls.alias("judge_calls")))

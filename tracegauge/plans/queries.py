@@ -12,9 +12,10 @@ from ..functions import detect, findings, secrets
 from ..functions.refusals import refusal_language
 from ..functions.text import apart, grams, json_error, normalize, sampled, words
 from ..operators import emit, extract, reports, stateful
-from ..operators.evaluators import NGRAM, exempted, result, summary
+from ..operators.evaluators import NGRAM, exempted, in_python, result, summary
 from ..operators.runner import cut, evaluate, is_exempt
 from ..schemas import MESSAGES, PART
+from ..sources import records
 from ..streaming.topology import stream_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -305,6 +306,51 @@ def truncate_chars(spark, sf_dir):
     return d.select("conv_id", "turn", F.when(F.get("messages", F.col("i"))["text"].isNotNull(), kept).cast("long").alias("kept"))
 
 
+@query("""select event_id, case event_id % 5 when 1 then 'missing output' when 2 then 'not JSON' when 3 then 'not an object' when 4 then 'context needs a role (user or assistant) and a text' end as error from events""")
+def record_errors(spark, sf_dir):
+    """Events as record lines: good ones, and four kinds of bad ones."""
+    return event_records(spark, sf_dir).select("event_id", "error")
+
+
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 5
+    user, said = F.col("user_id").cast("string"), F.concat(F.lit("mail u"), F.col("user_id").cast("string"), F.lit("@example.org"))
+    good = records.inline_record(user, F.when(F.col("event_id") % 2 == 0, said).otherwise(F.col("event_type")), F.array(F.concat(F.lit("user:"), F.col("event_type"))))
+    line = F.when(k == 0, good).when(k == 1, F.to_json(F.struct(user.alias("input")))).when(k == 2, F.concat(F.lit("{"), user)).when(k == 3, F.to_json(F.array(user)))
+    return records.read_records(e.withColumn("value", line.otherwise(records.inline_record(user, said, F.array(F.concat(F.lit("tool:"), user))))))
+
+
+@query("""select event_id % 2 = 0 as told, case when event_id % 2 = 0 then 'fail' else 'pass' end as label, case when event_id % 2 = 0 then 'email=1 (output)' else 'no findings' end as explanation, count(*) as n from events where event_id % 5 = 0 group by all""")
+def record_results(spark, sf_dir):
+    """The good records, evaluated."""
+    i = records.record_interactions(event_records(spark, sf_dir), F.col("event_id"))
+    done = evaluate(i, Settings(evaluators=("pii_detection",)))
+    told = F.conv("span_id", 16, 10).cast("long") % 2 == 0
+    return done.groupBy(told.alias("told"), F.col("result.label").alias("label"), F.col("result.explanation").alias("explanation")).agg(F.count("*").alias("n"))
+
+
+@query("""with d as (select d.lang, least(1.0, length(d.text) / 2000.0)::double as score, l.quality as human, (d.doc_id % 100) / 100.0 as confidence, length(d.text) / 1000.0 as seconds, ceil(length(d.text) / 4.0)::bigint as tokens, d.source as model from labels l join documents d using (doc_id) where length(d.text) > 0),
+r as (select *, row_number() over (partition by lang order by seconds) as r, count(*) over (partition by lang) as c from d)
+select lang, count(*) as n, round(avg(abs(score - human)), 6) as distance, min(confidence)::double as least_confidence, round(avg(confidence), 6) as mean_confidence, sum(tokens)::bigint as tokens, round(sum(tokens) * 0.042 / 1e6, 9) as cost, count(distinct model) as models,
+max(seconds) filter (r = least(c, greatest(1, round_even(0.5 * c, 0))))::double as p50, max(seconds) filter (r = least(c, greatest(1, round_even(0.99 * c, 0))))::double as p99 from r group by lang""")
+def calibration(spark, sf_dir):
+    """A length rule as an evaluator against the quality labels, with its confidence, latency, tokens and price by language."""
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where(F.length("text") > 0)
+    n = F.length("text")
+    d = both.select("lang", F.least(F.lit(1.0), n / 2000).alias("score"), F.col("quality").alias("human"), (F.col("doc_id") % 100 / 100).alias("confidence"), (n / 1000).alias("seconds"), F.ceil(n / 4).alias("tokens"), F.col("source").alias("model"))
+    out = reports.calibration(d, "lang", 0.042)
+    return out.withColumns({c: F.round(c, k) for c, k in (("distance", 6), ("mean_confidence", 6), ("cost", 9))})
+
+
+@query("""select conv_id % 5 as service, count(distinct conv_id) as n, 0::bigint as errors from conversations group by 1""")
+def python_evaluator(spark, sf_dir):
+    """An evaluator in Python, over all conversations: how many of each service's are evaluated, and how many fail to be."""
+    mine = in_python("outputs", lambda i: {"score": 1.0, "label": "pass", "explanation": str(len(i["output_messages"]))})
+    done = evaluate(conversation_interactions(spark, sf_dir), Settings(evaluators=("outputs",), timeout_s=60.0), more=[mine])
+    service = F.substring_index("service_name", "-", -1).cast("long")
+    return done.groupBy(service.alias("service")).agg(F.count("*").alias("n"), F.count("result.error_type").alias("errors"))
+
+
 ALL = ("pii_detection", "secret_detection", "refusal", "system_prompt_leak", "relevance", "jev_relevance", "jev_refusal", "jev_toxicity", "jev_prompt_injection")
 
 

@@ -21,6 +21,8 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         at = tempfile.mkdtemp(prefix="spark-")
