@@ -33,3 +33,24 @@ def test_stages_and_run(spark, sf_dir):
     packed = seen["packing"].collect()
     assert {r.doc_id for r in packed} == rows["personal_data"].keys()
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).drop("sequence_id", "offset").collect())) == sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed)
+
+
+ODD = [(1, "plain words of a first text " * 9, "en"), (2, None, "en"), (None, "another text without an id " * 5, None), (3, "", "en"), (4, "²½ 123", None), (5, "mail to jo@example.org or +1 415 555 0101", "en"), (5, "mail to jo@example.org or +1 415 555 0101", "en"), (6, "word " * 60_000, "en"), (7, "x", None)]
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows, and columns that bear the names of the operators' own."""
+    df = spark.createDataFrame([(i, t, lang, "s", len(t or ""), 1, 2, 3, 4) for i, t, lang in ODD], "doc_id long, text string, lang string, source string, n_chars long, __row int, __n int, key int, row int").repartition(3)
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, df, sf_dir)
+        assert out.columns == df.columns and f(spark, df.limit(0), sf_dir).count() == 0, name
+        got = [r.doc_id for r in out.collect()]
+        assert len(got) == {"language": len(got), "near_duplicates": len(ODD) - 1, "decontamination": len(ODD), "personal_data": len(ODD)}[name], name
+        if name == "language":
+            assert not {2, 3, 4} & set(got) and {1, 5} <= set(got)
+        if name == "personal_data":
+            texts = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+            assert texts[2] == (None, None) and texts[5][0] == "mail to <EMAIL> or <PHONE>" and texts[5][1] == len(texts[5][0])
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, sf_dir)
+    assert {r.doc_id for r in packed.collect()} == {i for i, _, _ in ODD}
+    assert corpus_pipeline.STAGES[-1][1](spark, df.limit(0), sf_dir).count() == 0

@@ -50,7 +50,7 @@ COST[MAIL | INSIDE :: DIGITS, 1:3] = 0
 COST[DIGITS | INSIDE :, 3:] = 0
 #: The model is fitted on up to so many distinct windows with a pattern's span, as many with a spoilt one and as many without any,
 #: each those with the smallest hash in all documents; so many epochs.
-TRAIN_EACH, EPOCHS, BATCH, RATE = 1000, 12, 64, 0.02
+TRAIN_EACH, EPOCHS, BATCH, RATE = 1000, 12, 128, 0.03
 #: Cells of a padded block of stretches that are decoded together.
 CELLS = 1 << 18
 
