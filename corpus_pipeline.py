@@ -1,6 +1,7 @@
 """From raw documents to packed token sequences: five stages, each on what the one before has kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and further
+ones that docs has, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,29 +18,32 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known, with it as their lang; texts without a letter or of no clear language go."""
+    """Documents whose language is known, with it as their lang; texts without a letter or of no clear language go, null and
+    empty ones with them. A null lang isn't learned from; repeated rows are judged alike."""
     said = langid.identify(docs, langid.fit(docs))
     kept = said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, a similarity of 0.8)."""
+    """One document of each group of near copies (five-word shingles, a similarity of 0.8), the one with the smallest doc_id. Of rows
+    that repeat a doc_id one stays; rows without a doc_id, and texts without words, stay."""
     return neardup.without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item. Null and empty texts contain none; rows that repeat doc_id and text go or stay together."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked."""
+    """All documents, personal data masked. A null text stays null."""
     return pii.mask_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens. A null or empty text is one piece, the end; rows that repeat a doc_id are
+    documents of their own."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
