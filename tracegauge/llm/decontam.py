@@ -28,8 +28,9 @@ MASKS = ("11111", "1101011", "1011101", "11010101")
 ENOUGH, MISS, SHARE = 10, 2, 0.75
 #: Words put in or left out move what follows by up to so many places.
 NEAR = 8
-#: The filter has some 16 bits for each seed of the benchmark, within these powers of two (at most 8 MB are broadcast).
-BLOOM_BITS = (16, 26)
+#: The filter has some SPARSE bits for each seed of the benchmark, so that few documents pass by chance (a text has thousands of seeds),
+#: within these powers of two (at most 8 MB are broadcast).
+SPARSE, BLOOM_BITS = 256, (20, 26)
 BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -127,7 +128,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # lengths of items that have no mask, and the filter's size
     short = sorted(r[0] for r in items.where(F.size("words") < len(MASKS[0])).select(F.size("words")).distinct().collect())
-    width = min(max(math.ceil(math.log2(16 * hashed.count() + 1)), BLOOM_BITS[0]), BLOOM_BITS[1])
+    width = min(max(math.ceil(math.log2(SPARSE * hashed.count() + 1)), BLOOM_BITS[0]), BLOOM_BITS[1])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
