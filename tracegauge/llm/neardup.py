@@ -28,8 +28,8 @@ ROWS, BANDS, BITS = 6, 50, 1024
 SAMPLES = ROWS * BANDS
 #: Odd-sketch estimates lie within 6 standard deviations of the truth: sketches below threshold - MARGIN can't be links.
 MARGIN = 0.17
-#: Nodes in a block; cells of a matrix in one comparison.
-BLOCK, CELLS = 256, 1 << 23
+#: Nodes in a block (sketches alone are compared within and between blocks, so blocks may be large); cells of a matrix in one comparison.
+BLOCK, CELLS = 2048, 1 << 23
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -199,12 +199,12 @@ def possible(g: pd.DataFrame, cut: float, percent: int) -> tuple[np.ndarray, np.
 
 
 def candidates(batches: Iterator[pd.DataFrame], cut: float, percent: int) -> Iterator[pd.DataFrame]:
-    """The nodes of units (key, i, j), sorted, that are in a possible pair: only their texts need to be read."""
+    """The rows of units (key, i, j), sorted, that are in a possible pair: only their texts need to be read."""
     for g in groups(batches, ["key", "i", "j"]):
         if len(g) > 1:
             used = np.unique(np.concatenate(possible(g, cut, percent)))
             if len(used):
-                yield g.iloc[used][["key", "i", "j", "node"]].drop_duplicates()
+                yield g.iloc[used]
 
 
 def linked(batches: Iterator[pd.DataFrame], cut: float, size: int, percent: int) -> Iterator[pd.DataFrame]:
@@ -302,11 +302,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     sketches = materialize(only(some.select("doc_id", "n_shingles", "odd", "bands"), need).select(F.col("doc_id").alias("node"), "n_shingles", "odd", short("bands").alias("tags")), "sketches")
     by_unit = lambda rows: rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     # sketches first: texts are moved for nodes in possible pairs alone
-    likely = by_unit(dealt.join(sketches, "node")).mapInPandas(lambda frames: candidates(frames, cut, percent), "key long, i long, j long, node long")
-    likely = materialize(likely, "likely")
+    likely = by_unit(dealt.join(sketches, "node"))
+    likely = materialize(likely.mapInPandas(lambda frames: candidates(frames, cut, percent), likely.schema), "likely")
     texts = only(docs, materialize(likely.select(F.col("node").alias("doc_id")).distinct(), "ids")).withColumnRenamed("doc_id", "node")
-    more = dealt.join(likely, ["key", "i", "j", "node"]).join(sketches, "node").join(texts, "node")
-    more = by_unit(more).mapInPandas(lambda frames: linked(frames, cut, size, percent), "a long, b long").distinct()
+    more = by_unit(likely.join(texts, "node")).mapInPandas(lambda frames: linked(frames, cut, size, percent), "a long, b long").distinct()
     # equal sets of which a row bears another id are links too
     copies = some.join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = materialize(links.unionByName(more).unionByName(copies), "links")
