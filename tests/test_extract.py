@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tracegauge.operators.extract import interactions
-from tracegauge.sources.otlp import gate, spans_of_json, spans_of_protobuf
+from tracegauge.sources.otlp import gate, inference_spans, read_protobuf, spans_of_json, spans_of_protobuf
 
 TRACE, SPAN, PARENT = "0af7651916cd43dd8448eb211c80319c", "b7ad6b7169203331", "00f067aa0ba902b7"
 
@@ -115,7 +115,37 @@ def test_protobuf(spark):
     df = spark.createDataFrame([(bytearray(body), False), (bytearray(gzip.compress(body)), True), (bytearray(gzip.compress(body)[:-9]), True), (bytearray(b"\xff\xff"), False), (None, False)], "body binary, packed boolean")
     rows = interactions(spans_of_protobuf(df, gzip="packed")).collect()
     assert [(r.trace_id, r.parent_span_id, r.service_name, plain(r.input_messages)) for r in rows] == [(TRACE, None, "shop", [("user", "olá")])] * 2
+    assert sorted(r.error for r in read_protobuf(df, gzip="packed").where("error is not null").collect()) == ["bad encoding", "not a request"]
     assert spans_of_protobuf(df, gzip="packed", limit=20).count() == 0
+    assert sorted(r.error for r in read_protobuf(df, gzip="packed", limit=20).collect()) == ["not a request"] + ["too large"] * 3
+
+
+def test_protobuf_values():
+    """Every kind of value, and the same kinds in JSON requests."""
+    from tracegauge.sources.otlp import any_value, plain_value, request_class
+
+    request = request_class()()
+    scope = request.resource_spans.add().scope_spans.add()
+    a = scope.spans.add().attributes
+    a.add(key="s").value.string_value = ""
+    a.add(key="b").value.bool_value = False
+    a.add(key="i").value.int_value = -3
+    a.add(key="d").value.double_value = 0.5
+    a.add(key="y").value.bytes_value = b"\x00\x01"
+    a.add(key="l").value.array_value.values.add().int_value = 7
+    a.add(key="n")
+    pair = a.add(key="k").value.kvlist_value.values.add(key="z")
+    pair.value.string_value = "é"
+    back = request_class().FromString(request.SerializeToString()).resource_spans[0].scope_spans[0].spans[0]
+    got = {x.key: plain_value(x.value) for x in back.attributes}
+    assert got == {"s": "", "b": False, "i": -3, "d": 0.5, "y": "AAE=", "l": [7], "n": None, "k": {"z": "é"}}
+    assert all(any_value(any_of(v)) == v for k, v in got.items() if k != "y")
+
+
+def test_inference_spans(spark):
+    spans = [BASE, {"gen_ai.operation.name": "embeddings"}, {"gen_ai.prompt.0.content": "x"}, {"gen_ai.operation.name": "embeddings", "gen_ai.prompt.0.content": ""}, {"http.method": "GET"}]
+    df = spans_of_json(spark.createDataFrame([(request(*spans),)], "value string"))
+    assert inference_spans(df).count() == 3
 
 
 def test_gate(spark):

@@ -56,6 +56,22 @@ def test_spans_and_metrics(spark):
     assert emit.duration_histogram(e).count() == 2
 
 
+def test_null_keys_and_times_of_duplicates(spark):
+    rows = [(1, None, 0.0, False), (1, None, 5.0, True), (None, None, 0.0, False), (None, None, 3.0, True), (None, None, 12.0, False), (1, "x", None, False), (1, "x", 1.0, False), (1, "x", 2.0, True)]
+    df = spark.createDataFrame(rows, "k long, l string, t double, want boolean")
+    got = stateful.repeats(df, ["k", "l"], "t", 10.0).collect()
+    assert len(got) == len(rows) and all(r.duplicate == r.want for r in got)
+    assert stateful.repeats(df.limit(0), ["k"], "t", 10.0).count() == 0
+
+
+def test_tokens(spark):
+    said = "array<struct<role:string,text:string>>"
+    df = spark.createDataFrame([([("system", "abc")], [], [("user", "de"), ("user", None)], [("assistant", "fghi")])], f"system_instructions {said}, context_messages {said}, input_messages {said}, output_messages {said}")
+    assert df.select(stateful.interaction_tokens(10)).first()[0] == 13
+    calls = spark.createDataFrame([((1, 2), 3), ((1, None), 1), ((None, 2), 2), ((None, None), None)], "c struct<input_tokens:long,output_tokens:long>, want long")
+    assert all(r.got == r.want for r in calls.withColumn("got", stateful.tokens_used(F.col("c"))).collect())
+
+
 def test_duplicates_within_ttl(spark):
     rows = [("a", 0.0), ("a", 9.0), ("a", 10.0), ("a", 19.5), ("a", 20.0), ("b", 5.0), ("b", 5.0)]
     df = spark.createDataFrame(rows, "k string, at double").repartition(3)

@@ -14,35 +14,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 CHARS_PER_TOKEN = 4
+PLACE = "__place"
 
 
 def repeats(df: DataFrame, keys: list[str], at: str, ttl_s: float) -> DataFrame:
     """Adds `duplicate`: the key was accepted less than ttl_s before (at is epoch seconds). A duplicate doesn't prolong the
     time, and an age of exactly ttl_s is accepted anew. The rows of a key arrive sorted and are read once, so a key may be
-    as frequent as it likes; ties in time are duplicates of the first."""
+    as frequent as it likes; ties in time are duplicates of the first. Null keys are keys; a row without a time is no duplicate."""
     schema = StructType([*df.schema.fields, StructField("duplicate", BooleanType())])
     names = df.columns
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, until = None, float("-inf")
+        until = float("-inf")
         for frame in frames:
             out = []
-            for row in frame[[*keys, at]].itertuples(index=False):
-                key, t = tuple(row[:-1]), row[-1]
-                if key != last or t >= until:
-                    last, until = key, t + ttl_s
-                    out.append(False)
-                else:
-                    out.append(True)
+            for place, t in zip(frame[PLACE], frame[at], strict=True):
+                if place == 1:
+                    until = float("-inf")
+                out.append(t < until)
+                if t >= until:
+                    until = t + ttl_s
             yield frame[names].assign(duplicate=out)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, at).mapInPandas(fold, schema)
+    return in_order(df, keys, [at]).mapInPandas(fold, schema)
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with the place (from 1) of each row among its key's, sorted by both within partitions that hold whole keys. Python needn't
+    compare keys then, whose nulls would equal nothing there."""
+    placed = df.withColumn(PLACE, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return placed.sortWithinPartitions(*keys, PLACE)
 
 
 def estimated_tokens(chars: Column, answer: int) -> Column:
     return F.ceil(chars / CHARS_PER_TOKEN) + answer
 
 
+def interaction_tokens(answer: int) -> Column:
+    """The estimate of a whole interaction: its instructions, context, input and output."""
+    chars = [F.aggregate(c, F.lit(0), lambda a, m: a + F.coalesce(F.length(m["text"]), F.lit(0))) for c in ("system_instructions", "context_messages", "input_messages", "output_messages")]
+    return estimated_tokens(sum(chars[1:], chars[0]), answer)
+
+
+def tokens_used(call: Column) -> Column:
+    """Tokens of a judge's call, or null if neither side was reported."""
+    return F.coalesce(call["input_tokens"] + call["output_tokens"], call["input_tokens"], call["output_tokens"])
+
+
 def within_budget(df: DataFrame, keys: list[str], at: str, tokens: str, used: str, per_minute: int) -> DataFrame:
     """Adds `accepted` and `left`: a token bucket for each key, refilled per second and capped at a minute's worth. A row's
     estimate is reserved if it fits, then settled with what was used, by which the bucket may fall below zero."""
@@ -50,13 +68,12 @@ def within_budget(df: DataFrame, keys: list[str], at: str, tokens: str, used: st
     names = df.columns
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, level, seen = None, 0.0, 0.0
+        level, seen = 0.0, 0.0
         for frame in frames:
             ok, left = [], []
-            for row in frame[[*keys, at, tokens, used]].itertuples(index=False):
-                key, (t, need, spent) = tuple(row[:-3]), row[-3:]
-                if key != last:
-                    last, level, seen = key, float(per_minute), t
+            for place, t, need, spent in frame[[PLACE, at, tokens, used]].itertuples(index=False):
+                if place == 1:
+                    level, seen = float(per_minute), t
                 level, seen = min(float(per_minute), level + (t - seen) * per_minute / 60), t
                 fits = need <= level
                 level -= spent if fits else 0
@@ -64,7 +81,7 @@ def within_budget(df: DataFrame, keys: list[str], at: str, tokens: str, used: st
                 left.append(int(level // 1))
             yield frame[names].assign(accepted=ok, left=left)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, at, tokens).mapInPandas(fold, schema)
+    return in_order(df, keys, [at, tokens]).mapInPandas(fold, schema)
 
 
 def lane(df: DataFrame, keys: list[str], order: list[str], capacity: int) -> DataFrame:

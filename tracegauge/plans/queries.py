@@ -15,7 +15,7 @@ from ..operators import emit, extract, reports, stateful
 from ..operators.evaluators import NGRAM, exempted, in_python, result, summary
 from ..operators.runner import cut, evaluate, is_exempt
 from ..schemas import MESSAGES, PART
-from ..sources import records
+from ..sources import otlp, records
 from ..streaming.topology import stream_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,16 +106,25 @@ def system_split(spark, sf_dir):
 @query("""select case when event_type = 'signup' and user_id % 10 = 0 then 'self_telemetry' when event_type in ('view', 'error') then 'not_inference' when event_id % 7 = 0 then 'no_content' end as skip_reason, count(*) as n from events group by 1""")
 def skip_reasons(spark, sf_dir):
     """Events as spans: their type stands for the operation; some are the service's own, some have no content."""
+    return emit.skip_counts(extract.interactions(event_spans(spark, sf_dir), own_service="own"))
+
+
+def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     operation = F.create_map(*(F.lit(x) for p in {"click": "chat", "purchase": "text_completion", "signup": "generate_content", "view": "embeddings", "error": "execute_tool"}.items() for x in p))[F.col("event_type")]
     content = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit('[{"role": "user", "parts": [{"type": "text", "content": "event '), F.col("event_id").cast("string"), F.lit('"}]}]'))).otherwise("[]")
     spans = e.select(
-        F.md5(F.col("event_id").cast("string")).alias("trace_id"), F.lit("0" * 16).alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), F.lit(0).alias("trace_flags"), F.lit("x").alias("name"),
+        F.md5(F.col("event_id").cast("string")).alias("trace_id"), F.lit("0" * 16).alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), F.lit(0).alias("trace_flags"), F.col("event_type").alias("name"),
         F.when((F.col("event_type") == "signup") & (F.col("user_id") % 10 == 0), "own").otherwise("app").alias("service_name"),
         F.create_map(F.lit("gen_ai.operation.name"), F.to_json(F.struct(operation.alias("v"))), F.lit("gen_ai.input.messages"), content).alias("a"),
     )
-    spans = spans.withColumn("attributes", F.transform_values("a", lambda k, v: F.when(v.startswith('{"v"'), F.concat(F.lit('"'), F.get_json_object(v, "$.v"), F.lit('"'))).otherwise(v))).drop("a")
-    return emit.skip_counts(extract.interactions(spans, own_service="own"))
+    return spans.withColumn("attributes", F.transform_values("a", lambda k, v: F.when(v.startswith('{"v"'), F.concat(F.lit('"'), F.get_json_object(v, "$.v"), F.lit('"'))).otherwise(v))).drop("a")
+
+
+@query("""select event_type as name, count(*) as n from events where event_type in ('click', 'purchase', 'signup') group by 1""")
+def inference_spans(spark, sf_dir):
+    """Events as spans, those of inference operations counted before anything is extracted."""
+    return otlp.inference_spans(event_spans(spark, sf_dir)).groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("""select event_id, json_extract_string(props, '$.k') as k, 'traceloop.association.properties.k' as name from events where json_extract_string(props, '$.k') is not null""")
@@ -257,7 +266,13 @@ def _longer(a: Column, x: Column) -> Column:
     return F.struct(x.alias("of"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
 
 
-@query()
+@query(r"""with w as (select doc_id, [x for x in string_split_regex(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' ') if x <> ''] as w from documents),
+b as (select item_id, [x for x in string_split_regex(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' ') if x <> ''] as w from benchmark),
+dg as (select doc_id, unnest(range(1, len(w) - 6)) as p, w from w where len(w) >= 8), d as (select doc_id, p, array_to_string(w[p : p + 7], ' ') as g from dg),
+bg as (select item_id, unnest(range(1, len(w) - 6)) as p, w from b where len(w) >= 8), bs as (select distinct item_id, array_to_string(w[p : p + 7], ' ') as g from bg),
+h as (select doc_id, item_id, g, p - row_number() over (partition by doc_id, item_id order by p) as island from d join bs using (g)),
+r as (select doc_id, item_id, count(*) as n from h group by doc_id, item_id, island)
+select doc_id, item_id, s.shared, max(n) + 7 as longest_run from r join (select doc_id, item_id, count(distinct g) as shared from h group by all) s using (doc_id, item_id) group by all""".replace("\\\\p", "\\p"))
 def prompt_leak_pairs(spark, sf_dir):
     """All documents against all benchmark items as their instructions."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -9,6 +9,7 @@ import base64
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
 from ..functions.text import once
+from ..schemas import INFERENCE
 
 SPAN_COLUMNS = "trace_id string, span_id string, parent_span_id string, trace_flags int, name string, service_name string, attributes map<string,string>"
 ANY = {"stringValue": str, "boolValue": bool, "intValue": int, "doubleValue": float, "bytesValue": str}
@@ -87,88 +89,78 @@ def gunzip(data: bytes, limit: int) -> bytes:
     return out
 
 
-def varint(b: bytes, i: int) -> tuple[int, int]:
-    n = shift = 0
-    while True:
-        n |= (b[i] & 127) << shift
-        i, shift = i + 1, shift + 7
-        if b[i - 1] < 128:
-            return n, i
-
-
-def fields_of(b: bytes) -> Iterator[tuple[int, object]]:
-    """(field number, value) of a protobuf message: integers, or bytes of fixed and delimited fields."""
-    i = 0
-    while i < len(b):
-        tag, i = varint(b, i)
-        if tag & 7 == 0:
-            value, i = varint(b, i)
-        else:
-            size = {1: 8, 5: 4}.get(tag & 7)
-            if size is None and tag & 7 != 2:
-                raise ValueError("unknown wire type")
-            if size is None:
-                size, i = varint(b, i)
-            if i + size > len(b):
-                raise ValueError("cut off")
-            value, i = b[i : i + size], i + size
-        yield tag >> 3, value
-
-
-def any_value_of(b: bytes):
-    import struct
-
-    for n, v in fields_of(b):
-        if n == 1:
-            return v.decode()
-        if n == 2:
-            return bool(v)
-        if n == 3:
-            return v - (1 << 64) if v >> 63 else v
-        if n == 4:
-            return struct.unpack("<d", v)[0]
-        if n == 5:
-            return [any_value_of(x) for _, x in fields_of(v)]
-        if n == 6:
-            return dict(key_value(x) for _, x in fields_of(v))
-        if n == 7:
-            return base64.b64encode(v).decode()
-    return None
-
-
-def key_value(b: bytes):
-    key, value = "", None
-    for n, v in fields_of(b):
-        key, value = (v.decode(), value) if n == 1 else (key, any_value_of(v))
-    return key, value
+# Messages and fields of the trace format that are read (name, number, type; * for repeated ones).
+FORMAT = {
+    "AnyValue": "string_value 1 string, bool_value 2 bool, int_value 3 int64, double_value 4 double, array_value 5 ArrayValue, kvlist_value 6 KeyValueList, bytes_value 7 bytes",
+    "ArrayValue": "values 1 AnyValue*",
+    "KeyValueList": "values 1 KeyValue*",
+    "KeyValue": "key 1 string, value 2 AnyValue",
+    "Resource": "attributes 1 KeyValue*",
+    "Span": "trace_id 1 bytes, span_id 2 bytes, parent_span_id 4 bytes, name 5 string, attributes 9 KeyValue*, flags 16 fixed32",
+    "ScopeSpans": "spans 2 Span*",
+    "ResourceSpans": "resource 1 Resource, scope_spans 2 ScopeSpans*",
+    "ExportTraceServiceRequest": "resource_spans 1 ResourceSpans*",
+}
+
+
+@cache
+def request_class():
+    """The protobuf class of a request. Needs the protobuf library, which nothing else here does."""
+    from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
+
+    kinds = descriptor_pb2.FieldDescriptorProto
+    file = descriptor_pb2.FileDescriptorProto(name="traces.proto", package="traces", syntax="proto3")
+    for name, fields in FORMAT.items():
+        m = file.message_type.add(name=name)
+        if name == "AnyValue":
+            m.oneof_decl.add(name="value")
+        for field, number, kind in (f.split() for f in fields.split(", ")):
+            f = m.field.add(name=field, number=int(number), label=kinds.LABEL_REPEATED if kind.endswith("*") else kinds.LABEL_OPTIONAL)
+            if name == "AnyValue":
+                f.oneof_index = 0
+            if kind.rstrip("*") in FORMAT:
+                f.type, f.type_name = kinds.TYPE_MESSAGE, f".traces.{kind.rstrip('*')}"
+            else:
+                f.type = kinds.Type.Value(f"TYPE_{kind.upper()}")
+    pool = descriptor_pool.DescriptorPool()
+    pool.Add(file)
+    return message_factory.GetMessageClass(pool.FindMessageTypeByName("traces.ExportTraceServiceRequest"))
+
+
+def plain_value(v):
+    """The plain value of an AnyValue message; null for none."""
+    kind = v.WhichOneof("value")
+    if kind == "array_value":
+        return [plain_value(x) for x in v.array_value.values]
+    if kind == "kvlist_value":
+        return {x.key: plain_value(x.value) for x in v.kvlist_value.values}
+    if kind == "bytes_value":
+        return base64.b64encode(v.bytes_value).decode()
+    return getattr(v, kind) if kind else None
+
+
+def decode_request(body: bytes) -> list[tuple]:
+    """Rows of SPAN_COLUMNS of an ExportTraceServiceRequest. Raises ValueError for what isn't one."""
+    from google.protobuf.message import DecodeError
 
-
-def decode_request(b: bytes) -> list[tuple]:
-    """Rows of SPAN_COLUMNS of an ExportTraceServiceRequest."""
+    try:
+        request = request_class().FromString(body)
+    except DecodeError as e:
+        raise ValueError("not a request") from e
     out = []
-    for _, resource_spans in fields_of(b):
-        parts = list(fields_of(resource_spans))
-        resource = dict(key_value(a) for n, r in parts if n == 1 for m, a in fields_of(r) if m == 1)
-        service = resource.get("service.name")
-        for scope in (v for n, v in parts if n == 2):
-            for span in (v for n, v in fields_of(scope) if n == 2):
-                f: dict[int, object] = {}
-                attributes = {}
-                for n, v in fields_of(span):
-                    if n == 9:
-                        k, x = key_value(v)
-                        attributes[k] = json.dumps(x, ensure_ascii=False)
-                    else:
-                        f[n] = v
-                text = lambda n: f[n].hex() if f.get(n) else None
-                flags = int.from_bytes(f.get(16, b"\0"), "little") & 255
-                out.append((text(1), text(2), text(4), flags, f.get(5, b"").decode(), service if isinstance(service, str) and service else None, attributes))
+    for r in request.resource_spans:
+        service = {a.key: plain_value(a.value) for a in r.resource.attributes}.get("service.name")
+        service = service if isinstance(service, str) and service else None
+        for s in (s for scope in r.scope_spans for s in scope.spans):
+            attributes = {a.key: json.dumps(plain_value(a.value), ensure_ascii=False) for a in s.attributes}
+            ids = [x.hex() or None for x in (s.trace_id, s.span_id, s.parent_span_id)]
+            out.append((*ids, s.flags & 255, s.name, service, attributes))
     return out
 
 
-def spans_of_protobuf(requests: DataFrame, column: str = "body", gzip: str | None = None, limit: int = 16 << 20) -> DataFrame:
-    """One row for each span of requests (bytes; compressed where the boolean column gzip says so). Requests that can't be
-    decoded, or are larger than limit, give no rows; `gate` says why."""
+def read_protobuf(requests: DataFrame, column: str = "body", gzip: str | None = None, limit: int = 16 << 20) -> DataFrame:
+    """One row for each span of requests (bytes; compressed where the boolean column gzip says so), and one for each request that
+    gives none as it is `too large`, has a `bad encoding` or is `not a request`: its `error` says which. Null requests are left out."""
     names = [c.split()[0] for c in SPAN_COLUMNS.replace("map<string,string>", "map").split(", ")]
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,14 +168,29 @@ def spans_of_protobuf(requests: DataFrame, column: str = "body", gzip: str | Non
             rows = []
             for body, packed in zip(frame["body"], frame["packed"], strict=True):
                 try:
-                    rows += decode_request(gunzip(bytes(body), limit) if packed else bytes(body))
-                except (ValueError, IndexError, AttributeError, TypeError, UnicodeDecodeError):
-                    continue
-            yield pd.DataFrame(rows, columns=names)
+                    if body is None:
+                        raise ValueError("too large")
+                    rows += [(*r, None) for r in decode_request(gunzip(bytes(body), limit) if packed else bytes(body))]
+                except ValueError as e:
+                    rows.append((None,) * len(names) + (str(e),))
+            yield pd.DataFrame(rows, columns=[*names, "error"]).astype({"trace_flags": "Int32"})
 
     packed = F.coalesce(F.col(gzip), F.lit(False)) if gzip else F.lit(False)
-    rows = requests.select(F.col(column).alias("body"), packed.alias("packed")).where(F.col("body").isNotNull() & (F.length("body") <= limit))
-    return rows.mapInPandas(decode, SPAN_COLUMNS)
+    # larger ones needn't go to Python
+    body = F.when(F.length(column) <= limit, F.col(column))
+    rows = requests.where(F.col(column).isNotNull()).select(body.alias("body"), packed.alias("packed"))
+    return rows.mapInPandas(decode, f"{SPAN_COLUMNS}, error string")
+
+
+def spans_of_protobuf(requests: DataFrame, column: str = "body", gzip: str | None = None, limit: int = 16 << 20) -> DataFrame:
+    """The spans of `read_protobuf`, without requests that can't be read."""
+    return read_protobuf(requests, column, gzip, limit).where("error is null").drop("error")
+
+
+def inference_spans(spans: DataFrame) -> DataFrame:
+    """Spans worth evaluating, before anything is extracted: of an inference operation, or with indexed content."""
+    a = F.col("attributes")
+    return spans.where(F.coalesce(a["gen_ai.operation.name"].isin(*map(json.dumps, INFERENCE)), F.lit(False)) | a["gen_ai.prompt.0.content"].isNotNull())
 
 
 def gate(authorized: Column, accepting: Column, content_type: Column, encoding: Column, size: Column, limit: int = 16 << 20) -> Column:
