@@ -2,13 +2,15 @@
 
 Exchange clustering puts the CLUSTERED most frequent words into CLASSES classes, each word moved to where the class bigrams'
 likelihood gains most. All further words of the head are then put, by the same gain of their own neighbours' counts, into these
-classes by a Spark pass. The rarest words, beyond the head, and unseen ones are in classes by their length in bytes, and the
-end of a text is a class of its own. P(text) is the product of P(class | class before), smoothed with the classes' shares,
-and P(word | class), with room for words that training hasn't seen.
+classes by a Spark pass; with `least`, so are all training words beyond the head that occur that often, by another pass whose
+outcome stays a table and grows with the vocabulary. All other words, which stand for unseen ones, are in classes by their length
+in bytes, and the end of a text is a class of its own. P(text) is the product of P(class | class before), smoothed with the
+classes' shares, and P(word | class), with room for words that training hasn't seen. As the class before, words beyond the head
+count by their length, so that a place needs its own word's class alone.
 
 Word counts are a Spark aggregation and stay a table. At most the HEAD most frequent words are broadcast; the
-tokens that these don't cover are counted within their document and joined with the table. Both the model and the plain
-unigram score are sums over tokens, so the parts are added at the end.
+tokens that these don't cover are counted within their document, by the class before, and joined with the table. Both the model
+and the plain unigram score are sums over tokens, so the parts are added at the end.
 """
 
 from __future__ import annotations
@@ -214,10 +216,11 @@ def exchange(b: np.ndarray, n: int, classes: int = CLASSES, sweeps: int = SWEEPS
 class Model:
     """The head's words with, for each, its class, its unigram and emission log10; the classes' transitions (log10)."""
 
-    def __init__(self, g: np.ndarray, classes: Symbols, head: list[tuple[bytes, int]], total: int, distinct: int, tails: dict[int, tuple[int, int]]):
+    def __init__(self, g: np.ndarray, classes: Symbols, head: list[tuple[bytes, int]], total: int, distinct: int, tails: dict[int, tuple[int, int]], more: np.ndarray | float = 0.0):
         """g: bigrams of classes, of which the head's words have those below classes.n; tails: of each length class the number of tokens and
-        of words, the head's left out."""
+        of words, the head's left out; more: by class, the tokens of words beyond the head."""
         k = len(g)
+        self.g, self.n = g, classes.n
         share = (g.sum(0) + 1) / (g.sum() + k)
         self.step = np.log10((g + ALPHA * share) / (g.sum(1, keepdims=True) + ALPHA))
         self.tail_class, self.end_class = np.arange(classes.n, classes.end), classes.end
@@ -227,13 +230,17 @@ class Model:
         self.total, self.distinct = total, distinct
         self.unigram = self.plain(c)
         self.room = {t: tails.get(t, (0, 0))[0] + DELTA * (tails.get(t, (0, 0))[1] + 1) for t in range(TAILS)}
-        self.emit = np.log10(c) - np.log10(np.bincount(self.cls, c, k)[self.cls]) if head else c
+        self.of_class = np.bincount(self.cls, c, k) + more
+        self.emit = np.log10(c) - np.log10(self.of_class[self.cls]) if head else c
 
     def plain(self, c):
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
+    def symbols(self) -> Symbols:
+        return Symbols({w: int(self.cls[i]) for w, i in self.words.items()}, self.n)
+
     def score(self, ws: list[bytes], end: float) -> tuple[int, float, float, Counter]:
-        """Known words, unigram and model score of what the head covers, with all transitions; the other words."""
+        """Known words, unigram and model score of the places that the head and the end cover; the other words, with the class before."""
         i = np.fromiter(map(self.words.get, ws, repeat(-1)), np.int64, len(ws))
         rest = np.flatnonzero(i < 0)
         tail = [ws[j] for j in rest]
@@ -243,7 +250,14 @@ class Model:
         mid = cls[1:-1]
         mid[i >= 0] = self.cls[got]
         mid[rest] = self.tail_class[np.searchsorted(LENGTHS, [len(w) for w in tail], side="left")] if tail else 0
-        return len(got), float(self.unigram[got].sum()) + end, float(self.emit[got].sum() + self.step[cls[:-1], cls[1:]].sum()), Counter(tail)
+        steps = self.step[cls[:-1], cls[1:]]
+        steps[rest] = 0.0
+        return len(got), float(self.unigram[got].sum()) + end, float(self.emit[got].sum() + steps.sum()), Counter(zip(tail, cls[rest].tolist(), strict=True))
+
+    def cells(self) -> list[tuple[int, int, float, float, float]]:
+        """(before, class, step, plus, room): a word of count c after the class `before` has log10 P = step + log10((c + plus) / room)."""
+        room = [*self.of_class[: self.n].tolist(), *(self.room[t] for t in range(TAILS))]
+        return [(b, k, float(self.step[b, k]), DELTA if k >= self.n else 0.0, max(float(r), DELTA)) for b in range(len(self.g)) for k, r in enumerate(room)]
 
 
 def fit(train: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]], total: int, distinct: int) -> Model:
@@ -269,9 +283,67 @@ def fit(train: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]], tota
     return Model(g, classes, head, total, distinct, {t: (n, v) for t, (n, v) in tails.items()})
 
 
-def language_model(documents: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
+def beyond(train: DataFrame, model: Model, least: int) -> DataFrame:
+    """(word, c, class, x) of each training word that isn't in the head. Words that occur `least` times or more are in the class that gains
+    most by their neighbours, others in that of their length. x: (key, n), how often each class stands before it (key) or, from
+    the number of classes on, behind it. A word's counts are no more than twice that number."""
+    size, n = len(model.g), model.n
+    sent, g = train.sparkSession.sparkContext.broadcast(model.symbols()), model.g
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                ws = words(text)
+                x = sent.value.around(ws)
+                rest = np.flatnonzero(x[1:-1] >= n)
+                seen.update(zip([ws[i] for i in rest], x[rest].tolist(), x[rest + 2].tolist(), strict=True))
+            word, left, right = zip(*seen, strict=True) if seen else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(seen.values(), pa.int64())], ["word", "left", "right", "n"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("x")
+            many = np.array([len(x) for x in lists], np.int64)
+            flat = lists.flatten()
+            key, c = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "n"))
+            length = np.array([len(w) for w in batch.column("word").to_pylist()], np.int64)
+            total, cls = np.zeros(len(many), np.int64), n + np.searchsorted(LENGTHS, length, side="left")
+            if len(many):
+                total = np.add.reduceat(np.where(key < size, c, 0), np.cumsum([0, *many[:-1]]))
+                often = total >= least
+                if n and often.any():
+                    at = np.repeat(often, many)
+                    cls[often] = gains(g, n, key[at], c[at].astype(float), many[often]).argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(total, pa.int64()), pa.array(cls, pa.int32()), lists], ["word", "c", "class", "x"])
+
+    # moved once, by word: both groupings find their rows together
+    moved = train.select("text").mapInArrow(around, "word binary, left int, right int, n long").repartition("word")
+    each = moved.select("word", F.explode(F.array(F.col("left"), F.col("right") + size)).alias("key"), "n").groupBy("word", "key").agg(F.sum("n").alias("n"))
+    return each.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("x")).mapInArrow(best, "word binary, c long, class int, x array<struct<key:int,n:long>>")
+
+
+def refit(model: Model, rest: DataFrame, head: list[tuple[bytes, int]]) -> Model:
+    """The model with the classes of the words beyond the head, as `beyond` gives them."""
+    size, n = len(model.g), model.n
+    g, more = model.g.copy(), np.zeros(size)
+    g[:, n : n + TAILS] = 0
+    for r in rest.select("class", F.explode("x").alias("x")).where(F.col("x.key") < size).groupBy("x.key", "class").agg(F.sum("x.n").alias("n")).collect():
+        g[r.key, r["class"]] += r.n
+    tails = {}
+    for r in rest.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        if r["class"] < n:
+            more[r["class"]] = r.c
+        else:
+            tails[r["class"] - n] = (r.c, r.v)
+    return Model(g, model.symbols(), head, model.total, model.distinct, tails, more)
+
+
+def language_model(documents: DataFrame, folds: int = 5, held: int = 1, least: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability) of each
-    row of documents (doc_id, text), learned from those whose crc32 of doc_id isn't `held` modulo `folds`.
+    row of documents (doc_id, text), learned from those whose crc32 of doc_id isn't `held` modulo `folds`. With `least`, all
+    training words that occur that often have a class by their neighbours, and rarer ones stand for the unseen at every size;
+    without it, the HEAD most frequent words alone have one.
 
     A null or empty text has one token, its end. Rows that repeat a doc_id are documents of their own, each learned from.
     A null doc_id counts as an empty id. An empty table gives no rows; without a training row all counts are 0. Other
@@ -284,29 +356,36 @@ def language_model(documents: DataFrame, folds: int = 5, held: int = 1) -> DataF
     n_train = train.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = sums[0] + n_train, sums[1] + (n_train > 0)
-    head = frequent(counts, HEAD)
+    head = frequent(counts.where(F.col("c") >= (least or 1)), HEAD)
     model = fit(train, counts, head, total, distinct)
+    known_words = counts.select("word", "c", F.lit(None).cast("int").alias("class"))
+    if least:
+        known_words = materialize(beyond(train, model, least), "classes")
+        model = refit(model, known_words, head)
     end = float(model.plain(float(n_train)))
     known = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("before", pa.int32()), ("n", pa.int64())]))
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 ws = words(text)
                 n, base, mine, tail = known.value.score(ws, end)
-                out.append((len(ws) + 1, n + (n_train > 0), base, mine, [{"word": w, "n": c} for w, c in tail.items()]))
+                out.append((len(ws) + 1, n + (n_train > 0), base, mine, [{"word": w, "before": b, "n": c} for (w, b), c in tail.items()]))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
 
-    scored = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word:binary,n:long>>")
+    scored = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word:binary,before:int,n:long>>")
     scored = materialize(scored, "scored")
-    tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.word", "x.n").join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    room = F.element_at(F.array(*[F.lit(float(model.room[t])) for t in range(TAILS)]), length_class(F.length("word")) + 1)
-    tail = tail.select("row", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))).alias("base"), (F.col("n") * F.log10((c + DELTA) / room)).alias("mine"))
+    tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.word", "x.before", "x.n").join(known_words.select("word", "c", "class"), "word", "left")
+    tail = tail.withColumns({"c": F.coalesce("c", F.lit(0)), "class": F.coalesce("class", model.n + length_class(F.length("word")))})
+    # a row for each two classes
+    cells = spark.createDataFrame(model.cells(), "before int, class int, step double, plus double, room double")
+    tail = tail.join(F.broadcast(cells), ["before", "class"])
+    c, n = F.col("c"), F.col("n")
+    tail = tail.select("row", F.when(c > 0, n).otherwise(0).alias("known"), (n * F.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))).alias("base"), (n * (F.col("step") + F.log10((c + F.col("plus")) / F.col("room")))).alias("mine"))
     tail = tail.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("mine").alias("mine"))
     out = scored.drop("tail").join(tail, "row", "left")
     plus = lambda a, b, zero: F.col(a) + F.coalesce(F.col(b), zero)

@@ -68,7 +68,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import language_model
 
-    return language_model(table(spark, sf_dir, "documents"))
+    return language_model(table(spark, sf_dir, "documents"), least=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
