@@ -35,6 +35,8 @@ LENGTHS = (3, 5, 7, 9, 12, 16, 22)
 #: Weight of the classes' shares in transitions; count of an unseen word.
 ALPHA, DELTA = 20.0, 0.5
 FLUSH = 200_000
+#: Codes that are added up at a time.
+RUN = 2_000_000
 TAILS = len(LENGTHS) + 1
 
 
@@ -89,30 +91,55 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.c) for r in counts.where(kept).collect()), key=lambda x: (-x[1], x[0]))
 
 
+#: Stands for an end among words; no word has a space.
+END = b" "
+
+
+def flat_words(batch: pa.RecordBatch) -> list[bytes]:
+    """The words of all texts of a batch, an end before the first and after each."""
+    out = [END]
+    for text in batch.column("text").to_pylist():
+        out += words(text)
+        out.append(END)
+    return out
+
+
+def looked_up(known: dict[bytes, int], ws: list[bytes], symbol: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What known gives each word (-1: nothing), and its symbol: symbol[what is given], or its length class, from n on."""
+    i = np.fromiter(map(known.get, ws, repeat(-1)), np.int64, len(ws))
+    rest = np.flatnonzero(i < 0)
+    s = symbol[i]
+    s[rest] = n + np.searchsorted(LENGTHS, np.fromiter(map(len, map(ws.__getitem__, rest.tolist())), np.int64, len(rest)), side="left")
+    return i, s
+
+
 class Symbols:
     """Known words have symbols below n; then come the length classes; then the end."""
 
     def __init__(self, known: dict[bytes, int], n: int):
         self.known, self.n, self.end = known, n, n + TAILS
+        self.with_end = known | {END: self.end}
 
     def of(self, ws: list[bytes]) -> np.ndarray:
-        s = np.fromiter(map(self.known.get, ws, repeat(-1)), np.int64, len(ws))
-        rest = np.flatnonzero(s < 0)
-        s[rest] = self.n + np.searchsorted(LENGTHS, [len(ws[i]) for i in rest], side="left")
-        return s
-
-    def around(self, ws: list[bytes]) -> np.ndarray:
-        return np.concatenate([[self.end], self.of(ws), [self.end]])
+        return looked_up(self.with_end, ws, np.arange(self.end + 1), self.n)[1]
 
 
 def coded(documents: DataFrame, codes) -> DataFrame:
-    """(code, n): how often codes(words of a text) gives each code. Each batch adds up its own first."""
+    """(code, n): how often codes(flat words of a batch) gives each code. RUN codes or more are added up at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            each = [codes(words(text)) for text in batch.column("text").to_pylist()]
-            code, n = np.unique(np.concatenate(each) if each else np.empty(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+            held.append(codes(flat_words(batch)))
+            if sum(map(len, held)) >= RUN:
+                yield added(held)
+                held = []
+        if held:
+            yield added(held)
+
+    def added(held: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
     return documents.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -123,7 +150,7 @@ def pairs(documents: DataFrame, symbols: Symbols) -> np.ndarray:
     known = documents.sparkSession.sparkContext.broadcast(symbols)
 
     def codes(ws: list[bytes]) -> np.ndarray:
-        x = known.value.around(ws)
+        x = known.value.of(ws)
         return x[:-1] * size + x[1:]
 
     got = coded(documents, codes).toPandas()
@@ -136,13 +163,17 @@ def further(documents: DataFrame, head: list[bytes], done: int, classes: Symbols
     """The classes of the head's words from `done` on: of those below classes.n the one that gains most by the word's neighbours,
     as g counts the classes' bigrams. A word's counts are no more than twice the number of classes."""
     size = classes.end + 1
-    sent = documents.sparkSession.sparkContext.broadcast((classes, {w: i for i, w in enumerate(head) if i >= done}))
+    length = np.searchsorted(LENGTHS, [len(w) for w in head], side="left")
+    symbol = np.array([*(classes.known[w] if i < done else classes.n + length[i] for i, w in enumerate(head)), classes.end], np.int64)
+    sent = documents.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate([*head, END])}, symbol))
 
     def codes(ws: list[bytes]) -> np.ndarray:
-        symbols, index = sent.value
-        i = np.fromiter(map(index.get, ws, repeat(-1)), np.int64, len(ws))
-        at, x = np.flatnonzero(i >= 0), symbols.around(ws)
-        return np.concatenate([i[at] * 2 * size + x[at], i[at] * 2 * size + size + x[at + 2]])
+        index, symbol = sent.value
+        i, x = looked_up(index, ws, symbol, classes_n)
+        at = np.flatnonzero((i >= done) & (i < len(symbol) - 1))
+        return np.concatenate([i[at] * 2 * size + x[at - 1], i[at] * 2 * size + size + x[at + 1]])
+
+    classes_n = classes.n
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +181,7 @@ def further(documents: DataFrame, head: list[bytes], done: int, classes: Symbols
             n = np.array([len(x) for x in lists], np.int64)
             flat = lists.flatten()
             key, c = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "n"))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(gains(g, classes.n, key, c.astype(float), n).argmax(1) if len(n) else [], pa.int32())], ["word", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(gains(g, classes_n, key, c.astype(float), n).argmax(1) if len(n) else [], pa.int32())], ["word", "class"])
 
     code = F.col("code")
     each = coded(documents, codes).select(F.floor(code / (2 * size)).cast("int").alias("word"), F.struct((code % (2 * size)).alias("key"), "n").alias("x"))
@@ -223,10 +254,11 @@ class Model:
         self.g, self.n = g, classes.n
         share = (g.sum(0) + 1) / (g.sum() + k)
         self.step = np.log10((g + ALPHA * share) / (g.sum(1, keepdims=True) + ALPHA))
-        self.tail_class, self.end_class = np.arange(classes.n, classes.end), classes.end
+        self.end_class = classes.end
         self.words = {w: i for i, (w, _) in enumerate(head)}
         c = np.array([c for _, c in head], float)
         self.cls = classes.of([w for w, _ in head]) if head else np.empty(0, np.int64)
+        self.index, self.cls_end = self.words | {END: len(head)}, np.append(self.cls, classes.end)
         self.total, self.distinct = total, distinct
         self.unigram = self.plain(c)
         self.room = {t: tails.get(t, (0, 0))[0] + DELTA * (tails.get(t, (0, 0))[1] + 1) for t in range(TAILS)}
@@ -239,20 +271,18 @@ class Model:
     def symbols(self) -> Symbols:
         return Symbols({w: int(self.cls[i]) for w, i in self.words.items()}, self.n)
 
-    def score(self, ws: list[bytes], end: float) -> tuple[int, float, float, Counter]:
-        """Known words, unigram and model score of the places that the head and the end cover; the other words, with the class before."""
-        i = np.fromiter(map(self.words.get, ws, repeat(-1)), np.int64, len(ws))
-        rest = np.flatnonzero(i < 0)
-        tail = [ws[j] for j in rest]
-        got = i[i >= 0]
-        cls = np.empty(len(ws) + 2, np.int64)
-        cls[0] = cls[-1] = self.end_class
-        mid = cls[1:-1]
-        mid[i >= 0] = self.cls[got]
-        mid[rest] = self.tail_class[np.searchsorted(LENGTHS, [len(w) for w in tail], side="left")] if tail else 0
-        steps = self.step[cls[:-1], cls[1:]]
-        steps[rest] = 0.0
-        return len(got), float(self.unigram[got].sum()) + end, float(self.emit[got].sum() + steps.sum()), Counter(zip(tail, cls[rest].tolist(), strict=True))
+    def scores(self, ws: list[bytes], end: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Counter]:
+        """Of each text among the flat words ws: tokens, known ones (its end too), unigram and model score of the places that the head
+        and the end cover; and the other words as (text, word, class before), in order."""
+        i, cls = looked_up(self.index, ws, self.cls_end, self.n)
+        rest, ends = np.flatnonzero(i < 0), np.flatnonzero(i == len(self.cls))
+        first, i = ends[:-1], i[1:]  # a text's tokens are those behind an end, up to the next one
+        steps = self.step[cls[:-1], cls[1:]] + np.append(self.emit, 0.0)[i]
+        base = np.append(self.unigram, end)[i]
+        steps[rest - 1] = base[rest - 1] = 0.0
+        add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, x.dtype)
+        tail = Counter(zip((np.searchsorted(ends, rest) - 1).tolist(), map(ws.__getitem__, rest.tolist()), cls[rest - 1].tolist(), strict=True))
+        return np.diff(ends), add((i >= 0).astype(np.int64)), add(base), add(steps), tail
 
     def cells(self) -> list[tuple[int, int, float, float, float]]:
         """(before, class, step, plus, room): a word of count c after the class `before` has log10 P = step + log10((c + plus) / room)."""
@@ -292,12 +322,10 @@ def beyond(train: DataFrame, model: Model, least: int) -> DataFrame:
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                ws = words(text)
-                x = sent.value.around(ws)
-                rest = np.flatnonzero(x[1:-1] >= n)
-                seen.update(zip([ws[i] for i in rest], x[rest].tolist(), x[rest + 2].tolist(), strict=True))
+            ws = flat_words(batch)
+            x = sent.value.of(ws)
+            rest = np.flatnonzero((x >= n) & (x < size - 1))
+            seen = Counter(zip(map(ws.__getitem__, rest.tolist()), x[rest - 1].tolist(), x[rest + 1].tolist(), strict=True))
             word, left, right = zip(*seen, strict=True) if seen else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(seen.values(), pa.int64())], ["word", "left", "right", "n"])
 
@@ -366,16 +394,12 @@ def language_model(documents: DataFrame, folds: int = 5, held: int = 1, least: i
     known = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("before", pa.int32()), ("n", pa.int64())]))
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                ws = words(text)
-                n, base, mine, tail = known.value.score(ws, end)
-                out.append((len(ws) + 1, n + (n_train > 0), base, mine, [{"word": w, "before": b, "n": c} for (w, b), c in tail.items()]))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
+            tokens, n, base, mine, tail = known.value.scores(flat_words(batch), end)
+            text, word, before = zip(*tail, strict=True) if tail else ((), (), ())
+            each = pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(before, pa.int32()), pa.array(tail.values(), pa.int64())], ["word", "before", "n"])
+            tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(tokens) + 1)), pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, (tokens, n - (n_train == 0), base, mine)), tails], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
 
     scored = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word:binary,before:int,n:long>>")
     scored = materialize(scored, "scored")
