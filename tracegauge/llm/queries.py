@@ -71,8 +71,14 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model(table(spark, sf_dir, "documents"), least=2)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import checked
+
+    return checked(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op4_language_id, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_quality_rules, op9_personal_data, op10_brown_lm)
+    f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op4_language_id, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_quality_rules, op9_personal_data, op10_brown_lm, op13_merkle_manifest)
 }
 #: Quality rules, with texts for hashes.
 RULES_SQL = r"""
@@ -127,4 +133,33 @@ edge as (select a, b from link union all select b, a from link),
 reach as (select doc_id as a, doc_id as b from w union select reach.a, edge.b from reach join edge on edge.a = reach.b),
 c as (select a as doc_id, min(b) as component_id from reach group by a)
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, w.doc_id = component_id as kept from w join c using (doc_id) left join n using (doc_id)"""
-ORACLES: dict[str, str] = {"op2_near_duplicates": NEAR_SQL, "op3_license_scan": scan_sql(), "op8_quality_rules": RULES_SQL}
+#: Both trees level by level; siblings by windows over a parent's children; CRC-32 from its polynomial.
+MERKLE_SQL = r"""
+with recursive tab as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+crc as (select row_number() over () as row, *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(list_filter(string_split(coalesce(doc_id::varchar, ''), ''), lambda x: x <> ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) as crc from documents, tab),
+low as (select row, doc_id, source, lang, n_chars, text, case when crc % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as changed from crc),
+head as (select *, concat({fields}) as head from low),
+hashed as (select row, doc_id, source, sha256(head || {text}) as leaf, sha256(head || {changed}) as tampered from head),
+leaves as (select *, row_number() over (partition by source order by doc_id nulls first, leaf, row) - 1 as pos, count(*) over (partition by source) as width from hashed),
+nodes as (select 0 as level, source, pos, width, leaf as node from leaves
+union all select level + 1, source, pos // 16, (any_value(width) + 15) // 16, sha256(string_agg(node, '' order by pos)) from nodes where width > 1 group by level, source, pos // 16),
+subroots as (select source, node, row_number() over (order by encode(source) nulls first) - 1 as pos, count(*) over () as width from nodes where width = 1),
+above as (select 0 as level, pos, width, node from subroots union all select level + 1, pos // 16, (any_value(width) + 15) // 16, sha256(string_agg(node, '' order by pos)) from above where width > 1 group by level, pos // 16),
+beside as (select level, source, pos, coalesce(string_agg(node, '') over (partition by level, source, pos // 16 order by pos rows between unbounded preceding and 1 preceding), '') as l,
+coalesce(string_agg(node, '') over (partition by level, source, pos // 16 order by pos rows between 1 following and unbounded following), '') as r from nodes where width > 1),
+over_ as (select level, pos, coalesce(string_agg(node, '') over (partition by level, pos // 16 order by pos rows between unbounded preceding and 1 preceding), '') as l,
+coalesce(string_agg(node, '') over (partition by level, pos // 16 order by pos rows between 1 following and unbounded following), '') as r from above where width > 1),
+fold as (select row, source, 0 as level, pos, tampered as h, '' as proof from leaves
+union all select row, fold.source, fold.level + 1, fold.pos // 16, sha256(l || h || r), proof || l || r from fold join beside b on fold.level = b.level and fold.pos = b.pos and fold.source is not distinct from b.source),
+upper_ as (select row, 0 as level, s.pos, s.node as subroot, h, proof from (select * from fold qualify row_number() over (partition by row order by level desc) = 1) f join subroots s on f.source is not distinct from s.source
+union all select row, upper_.level + 1, upper_.pos // 16, subroot, sha256(l || h || r), proof || l || r from upper_ join over_ using (level, pos)),
+done as (select * from upper_ qualify row_number() over (partition by row order by level desc) = 1)
+select doc_id, leaf, subroot, node as root, sha256(proof) as proof_sha256, h as folded_root, h = node as verified from done join leaves using (row), (select node from above where width = 1)"""
+
+
+def merkle_sql() -> str:
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    return MERKLE_SQL.replace("{fields}", ", ".join(map(field, ("doc_id", "source", "lang", "n_chars")))).replace("{text}", field("text")).replace("{changed}", field("changed"))
+
+
+ORACLES: dict[str, str] = {"op13_merkle_manifest": merkle_sql(), "op2_near_duplicates": NEAR_SQL, "op3_license_scan": scan_sql(), "op8_quality_rules": RULES_SQL}
