@@ -71,6 +71,12 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model(table(spark, sf_dir, "documents"), least=2)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import checked
 
@@ -78,7 +84,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op4_language_id, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_quality_rules, op9_personal_data, op10_brown_lm, op13_merkle_manifest)
+    f.__name__: f for f in (op1_harmonic_packing, op2_near_duplicates, op3_license_scan, op4_language_id, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_quality_rules, op9_personal_data, op10_brown_lm, op11_conversation_repair, op13_merkle_manifest)
 }
 #: Quality rules, with texts for hashes.
 RULES_SQL = r"""
@@ -133,10 +139,45 @@ edge as (select a, b from link union all select b, a from link),
 reach as (select doc_id as a, doc_id as b from w union select reach.a, edge.b from reach join edge on edge.a = reach.b),
 c as (select a as doc_id, min(b) as component_id from reach group by a)
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, w.doc_id = component_id as kept from w join c using (doc_id) left join n using (doc_id)"""
-#: Both trees level by level; siblings by windows over a parent's children; CRC-32 from its polynomial.
+#: CRC-32 of an ASCII text, from its polynomial.
+TAB_SQL = "tab as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab)"
+CRC_SQL = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(list_filter(string_split({text}, ''), lambda x: x <> ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+#: The least (cost, audit) by turn and state, from turn to turn; two insertions before a turn and at the end are enough.
+REPAIR_SQL = r"""
+with recursive {tab},
+c as (select row_number() over () as row, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as chance from conversations, tab),
+d as (select conv_id, turn, case when chance = 4 then 'user' else role end as role, case chance when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+from (select *, unnest(range(case when chance = 3 then 2 else 1 end)) from c where chance <> 0)),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault, left(role, 1) as ini, lead(left(role, 1)) over (partition by conv_id order by i) as next from n),
+k as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+count(*) filter (next is not null and ini || next not in ('su', 'ua', 'au')) as illegal, count(*) as rows from f group by conv_id),
+want as (select * from (values ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) v(state, want)),
+ins as (select *, case when j = 0 then state when j = 1 then want else case want when 'u' then 'a' else 'u' end end as now from want, range(3) r(j)),
+lines as (select *, case j when 0 then [] when 1 then [case now when 'u' then 'user:' else 'assistant:' end] else [case now when 'u' then 'assistant:' else 'user:' end, case now when 'u' then 'user:' else 'assistant:' end] end as added from ins),
+moves as (select f.*, l.state as before, l.j, l.added, l.now, w.want, unnest(['D', 'K', 'R']) as letter from f, lines l join want w on w.state = l.now),
+ways as (select *, case letter when 'D' then now when 'K' then ini else want end as after, 2 * j + case letter when 'D' then 3 when 'K' then 0 else 2 end + case when letter <> 'D' and fault = 'truncated' then 1 else 0 end as price,
+added || case letter when 'D' then [] when 'K' then [role || ':' || text] else [case want when 'u' then 'user:' else 'assistant:' end || text] end as said from moves
+where letter = 'D' or (fault not in ('blank', 'duplicate') and (letter = 'R' or ini = want or (ini = 's' and now = '')))),
+best as (select conv_id, 0::bigint as i, '' as state, 0::bigint as cost, '' as audit, []::varchar[] as said from k
+union all select b.conv_id, w.i, w.after, b.cost + w.price, b.audit || repeat('I', w.j) || w.letter, b.said || w.said from best b join ways w on w.conv_id is not distinct from b.conv_id and w.i = b.i + 1 and w.before = b.state
+qualify row_number() over (partition by b.conv_id, w.after order by b.cost + w.price, b.audit || repeat('I', w.j) || w.letter) = 1),
+ended as (select b.conv_id, b.cost + 2 * l.j as cost, b.audit || repeat('I', l.j) as audit, b.said || l.added as said from best b join k on k.conv_id is not distinct from b.conv_id and k.rows = b.i join lines l on l.state = b.state where l.now in ('', 'a')
+qualify row_number() over (partition by b.conv_id order by b.cost + 2 * l.j, b.audit || repeat('I', l.j)) = 1)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit,
+sha256(coalesce(array_to_string(said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from c) o left join k on k.conv_id is not distinct from o.conv_id left join ended e on e.conv_id is not distinct from o.conv_id"""
+
+
+def with_crc(sql: str, text: str) -> str:
+    return sql.replace("{tab}", TAB_SQL).replace("{crc}", CRC_SQL.replace("{text}", text))
+
+
+#: Both trees level by level; siblings by windows over a parent's children.
 MERKLE_SQL = r"""
-with recursive tab as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
-crc as (select row_number() over () as row, *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(list_filter(string_split(coalesce(doc_id::varchar, ''), ''), lambda x: x <> ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) as crc from documents, tab),
+with recursive {tab},
+crc as (select row_number() over () as row, *, {crc} as crc from documents, tab),
 low as (select row, doc_id, source, lang, n_chars, text, case when crc % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as changed from crc),
 head as (select *, concat({fields}) as head from low),
 hashed as (select row, doc_id, source, sha256(head || {text}) as leaf, sha256(head || {changed}) as tampered from head),
@@ -159,7 +200,7 @@ select doc_id, leaf, subroot, node as root, sha256(proof) as proof_sha256, h as
 
 def merkle_sql() -> str:
     field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
-    return MERKLE_SQL.replace("{fields}", ", ".join(map(field, ("doc_id", "source", "lang", "n_chars")))).replace("{text}", field("text")).replace("{changed}", field("changed"))
+    return with_crc(MERKLE_SQL, "coalesce(doc_id::varchar, '')").replace("{fields}", ", ".join(map(field, ("doc_id", "source", "lang", "n_chars")))).replace("{text}", field("text")).replace("{changed}", field("changed"))
 
 
-ORACLES: dict[str, str] = {"op13_merkle_manifest": merkle_sql(), "op2_near_duplicates": NEAR_SQL, "op3_license_scan": scan_sql(), "op8_quality_rules": RULES_SQL}
+ORACLES: dict[str, str] = {"op11_conversation_repair": with_crc(REPAIR_SQL, "coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')"), "op13_merkle_manifest": merkle_sql(), "op2_near_duplicates": NEAR_SQL, "op3_license_scan": scan_sql(), "op8_quality_rules": RULES_SQL}
