@@ -16,28 +16,23 @@ KIND = "conv_id long, turn long, role string, text string, pos string, group str
 def all_ways(turns, deepest=3):
     """The least (cost, audit) of all edits with up to three insertions before each turn and at the end."""
     best = None
-    for letters in product("DKR", repeat=len(turns)):
-        for added in product(range(deepest), repeat=len(turns) + 1):
-            cost, audit, want, roles = 0, "", None, ""
-            for k, n in enumerate(added):
-                for _ in range(n):
-                    roles += "a" if roles[-1:] == "u" else "u"
-                    cost, audit = cost + 2, audit + "I"
-                if k == len(turns):
-                    break
-                initial, must_go, stay = turns[k]
-                letter = letters[k]
-                audit += letter
-                if letter == "D":
+    for letters, added in product(product("DKR", repeat=len(turns)), product(range(deepest), repeat=len(turns) + 1)):
+        if any(t[1] and x != "D" for t, x in zip(turns, letters, strict=True)):
+            continue
+        cost, audit, roles = 0, "", ""
+        next_ = lambda roles: "a" if roles[-1:] == "u" else "u"
+        for k, n in enumerate(added):
+            for _ in range(n):
+                roles, cost, audit = roles + next_(roles), cost + 2, audit + "I"
+            if k < len(turns):
+                audit += letters[k]
+                if letters[k] == "D":
                     cost += 3
-                elif must_go:
-                    break
                 else:
-                    cost += stay + 2 * (letter == "R")
-                    roles += initial if letter == "K" else "a" if roles[-1:] == "u" else "u"
-            else:
-                if re.fullmatch("(s?(ua)+)?", roles) and (best is None or (cost, audit) < best):
-                    best = (cost, audit)
+                    cost += turns[k][2] + 2 * (letters[k] == "R")
+                    roles += turns[k][0] if letters[k] == "K" else next_(roles)
+        if re.fullmatch("(s?(ua)+)?", roles) and (best is None or (cost, audit) < best):
+            best = (cost, audit)
     return best
 
 
