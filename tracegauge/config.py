@@ -7,7 +7,7 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 
-from .functions.findings import PII_TYPES
+from .functions.patterns import PII_TYPES
 
 PREFIX = "TRACEGAUGE_"
 

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .findings import let
-
+from .columns import let
 
 
 def once(kind):
@@ -94,7 +93,7 @@ def json_text(s: pd.Series) -> pd.Series:
     def one(t):
         try:
             return None if t is None else json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True)
-        except ValueError:
+        except (ValueError, RecursionError):
             return t
 
     return s.map(one)

@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, MapType, StringType, StructField, Stru
 
 from ..config import Settings
 from ..functions.detect import find_each
-from ..functions.findings import let
+from ..functions.columns import let
 from ..functions.refusals import HEAD, refusal_language
 from ..functions.text import apart, four_places, json_errors, leak_of, normalize_each, two_decimals
 from ..schemas import EXEMPT, FAIL, INTERACTION_COLUMNS, PASS, RESULT

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.findings import let
+from ..functions.columns import let
 from ..functions.text import once
 from ..schemas import CONTENT_FIELD, INFERENCE, INTERACTION_COLUMNS, MESSAGE, MESSAGES, PART
 from ..sources.otlp import json_string
@@ -40,7 +40,7 @@ def listed(s: pd.Series) -> pd.Series:
         try:
             v = json.loads(t) if t is not None else None
             v = json.loads(v) if isinstance(v, str) else v
-        except ValueError:
+        except (ValueError, RecursionError):  # nested too deeply is no list of messages
             return None
         if not isinstance(v, list):
             return None
@@ -206,13 +206,16 @@ def indexed_texts(s: pd.Series) -> pd.Series:
     """A JSON list of indexed attributes' JSON texts as a list of their plain texts."""
 
     def content(t):
-        v = json.loads(t) if t is not None else None
+        try:
+            v = json.loads(t) if t is not None else None
+        except (ValueError, RecursionError):  # what can't be read stays as it is
+            return t
         if not isinstance(v, str):
             return "" if v is None else dumps(v)
         if v.lstrip().startswith("[{"):
             try:
                 parts = json.loads(v.lstrip())
-            except ValueError:
+            except (ValueError, RecursionError):
                 return v
             if isinstance(parts, list) and all(isinstance(p, dict) for p in parts):
                 return "\n".join(str(p.get("text", "")) for p in parts if p.get("type") == "text")

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import detect, findings, secrets
+from ..functions import detect
+from ..functions.patterns import BRANDS
 from ..functions.refusals import refusal_language
 from ..functions.text import apart, grams, json_error, normalize, sampled, words
 from ..operators import emit, extract, reports, stateful
-from ..operators.evaluators import NGRAM, exempted, in_python, result, summary
-from ..operators.runner import cut, evaluate, is_exempt
+from ..operators.evaluators import NGRAM, in_python, summary
+from ..operators.runner import cut, evaluate
 from ..schemas import MESSAGES, PART
 from ..sources import otlp, records
 from ..streaming.topology import stream_counts
@@ -129,8 +130,13 @@ def inference_spans(spark, sf_dir):
 
 @query("""select event_id, json_extract_string(props, '$.k') as k, 'traceloop.association.properties.k' as name from events where json_extract_string(props, '$.k') is not null""")
 def association_props(spark, sf_dir):
-    m = F.transform_keys(F.from_json("props", "map<string,string>"), lambda k, v: F.concat(F.lit(emit.ASSOCIATION), k))
-    return table(spark, sf_dir, "events").select("event_id", F.explode(m).alias("name", "k")).where(F.col("name") == emit.ASSOCIATION + "k")
+    """Events' properties as attributes of a span each, with a list and a nameless one among them; what an interaction keeps of them."""
+    spans = event_spans(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.md5(F.col("event_id").cast("string")).alias("trace_id"), "event_id", "props"), "trace_id")
+    own = F.transform_keys(F.from_json("props", "map<string,string>"), lambda k, v: F.concat(F.lit(emit.ASSOCIATION), k))
+    more = F.create_map(F.lit(emit.ASSOCIATION + "listed"), F.lit("[1, 2]"), F.lit(emit.ASSOCIATION), F.lit('"nameless"'))
+    i = extract.interactions(spans.withColumn("attributes", F.map_concat("attributes", own, more)))
+    ids = table(spark, sf_dir, "events").select(F.md5(F.col("event_id").cast("string")).alias("trace_id"), "event_id")
+    return i.join(ids, "trace_id").select("event_id", F.explode("association_properties").alias("name", "k")).select("event_id", "k", F.concat(F.lit(emit.ASSOCIATION), "name").alias("name"))
 
 
 @query("""select conv_id, list_aggregate(list(turn || ':' || role order by turn), 'string_agg', ',') as dialogue from conversations where role <> 'system' and text <> '' group by conv_id""")
@@ -145,17 +151,25 @@ def indexed_pivot(spark, sf_dir):
 
 @query(r"""select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))::bigint as emails from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')""")
 def email_findings(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(findings.find_emails(F.col("text"))).cast("long").alias("emails")).where("emails > 0")
+    d = apart(table(spark, sf_dir, "documents").select("doc_id", "text"), "found", detect.find("text"))
+    return d.select("doc_id", F.size(F.filter("found", lambda f: f["kind"] == "email")).cast("long").alias("emails")).where("emails > 0")
+
 
+def brand_sql() -> str:
+    """The first brand that a digit string d fits."""
+    fits = lambda lo, hi: f"left(d, {len(str(lo))})::bigint between {lo} and {hi}"
+    rules = "".join(f" when length(d) in ({', '.join(map(str, lengths))}) and ({' or '.join(fits(*r) for r in ranges)}) then '{name}'" for name, (lengths, ranges) in BRANDS.items())
+    return f"case{rules} end"
 
-@query(r"""with m as (select doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^0-9-])', '\1\1', 'g'), '(?:^|[^0-9-])([0-9]{16})(?:[^0-9]|$)', 1)) as d from documents),
-s as (select doc_id, d, list_sum(list_transform(range(1, 17), lambda i: case when i % 2 = 0 then d[i]::int when d[i]::int * 2 > 9 then d[i]::int * 2 - 9 else d[i]::int * 2 end)) as total from m)
-select doc_id, count(*) as visas from s where total % 10 = 0 and d[1] = '4' group by doc_id""")
+
+@query(r"""with m as (select doc_id, regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '([^0-9-])', '\1\1', 'g'), '(?:^|[^0-9-])([0-9](?:(?:--|  )?[0-9]){12,})', 1)), '[^0-9]', '', 'g') as d from documents),
+s as (select doc_id, d, list_sum(list_transform(range(1, length(d) + 1), lambda i: case when (length(d) - i) % 2 = 0 then d[i]::int when d[i]::int * 2 > 9 then d[i]::int * 2 - 9 else d[i]::int * 2 end)) as total from m where length(d) <= 19)
+select doc_id, {brand} as brand, count(*) as cards from s where total % 10 = 0 and {brand} is not null group by all""".replace("{brand}", brand_sql()))
 def card_findings(spark, sf_dir):
-    """Valid Visa numbers of sixteen digits in a row."""
-    m = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(findings.find_cards(F.col("text"))).alias("f"))
-    m = m.select("doc_id", F.substr("text", F.col("f.start") + 1, F.col("f.end") - F.col("f.start")).alias("d"))
-    return m.where((findings.card_brand(F.col("d")) == "visa") & F.regexp_like("d", F.lit("^[0-9]{16}$"))).groupBy("doc_id").agg(F.count("*").alias("visas"))
+    """Valid card numbers of all brands in whole documents, by brand."""
+    d = apart(table(spark, sf_dir, "documents").select("doc_id", "text"), "found", detect.find("text"))
+    said = d.select("doc_id", "text", F.explode(F.filter("found", lambda f: f["kind"] == "credit_card")).alias("f")).select("doc_id", F.substr("text", F.col("f.start") + 1, F.col("f.end") - F.col("f.start")).alias("said"))
+    return apart(said, "brand", detect.brand_of("said")).groupBy("doc_id", "brand").agg(F.count("*").alias("cards"))
 
 
 CPF_SQL = """c as (select c_custkey, lpad((c_custkey * 7919 + 123456)::varchar, 9, '0') as base from customer),
@@ -176,7 +190,8 @@ def cpf_valid(spark, sf_dir):
     """Numbers made from customer keys; every third has a wrong last digit."""
     base, a, b = cpf_of(F.col("c_custkey"))
     last = F.when(F.col("c_custkey") % 3 == 0, (b + 1) % 10).otherwise(b)
-    return table(spark, sf_dir, "customer").select("c_custkey", findings.cpf_is_valid(F.concat(base, a.cast("string"), last.cast("string"))).alias("valid"))
+    df = apart(table(spark, sf_dir, "customer"), "said", F.concat(F.lit("cpf "), base, a.cast("string"), last.cast("string")))
+    return apart(df, "found", detect.find("said")).select("c_custkey", (F.size("found") > 0).alias("valid"))
 
 
 @query(f"""with {CPF_SQL} select c_custkey, case c_custkey % 4 when 0 then 'cpf=1 (input)' when 1 then '' when 2 then 'cpf=1 (input)' else 'email=1 (input)' end as explanation from d2""")
@@ -222,9 +237,13 @@ def masked_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", detect.mask("text").alias("masked"), detect.sanitize("text").alias("sanitised"))
 
 
-@query("""select c_custkey, round(-list_sum(list_transform(list_distinct(string_split(c_name, '')), lambda c: len(list_filter(string_split(c_name, ''), lambda x: x = c)) / length(c_name) * log2(len(list_filter(string_split(c_name, ''), lambda x: x = c)) / length(c_name)))), 6) as bits from customer""")
+@query("""with v as (select c_custkey, left(md5(c_name), 20 + c_custkey % 5) as v from customer)
+select c_custkey, -list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v) * log2(len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)))) > 3.5 as random from v""")
 def name_entropy(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(secrets.entropy(F.col("c_name")), 6).alias("bits"))
+    """Hashes of customers' names assigned to a keyword: those of enough bits per character are credentials."""
+    value = F.substr(F.md5("c_name"), F.lit(1), (20 + F.col("c_custkey") % 5).cast("int"))
+    df = apart(table(spark, sf_dir, "customer"), "said", F.concat(F.lit("the key = "), value, F.lit(" ")))
+    return apart(df, "found", detect.find_secrets("said")).select("c_custkey", (F.size("found") > 0).alias("random"))
 
 
 @query(r"""select conv_id, turn, case when regexp_matches(said, '@') then '[REDACTED]' else said end as said from (select conv_id, turn, case when turn % 3 = 0 then role || ' u' || conv_id || '@example.org' else role end as said from conversations)""")
@@ -241,7 +260,7 @@ def masked_texts(spark, sf_dir):
 
 @query("""select c_custkey, case c_custkey % 5 when 0 then 'pt' when 1 then 'en' when 2 then 'es' end as language from customer""")
 def refusal_languages(spark, sf_dir):
-    said = ["Desculpe, não posso ajudar com isso, ", "I’m sorry, I can’t help with that, ", "Lo siento, no puedo ayudarte con eso, ", "Claro, segue o resumo de ", "I can't wait to help you, "]
+    said = ["Agora não consigo fornecer esses números de ", "Here I must politely decline this wish of ", "Hoy no voy a compartir tus datos con ", "Os números pedidos são estes: ", "Nobody will decline a cup of tea, "]
     text = F.element_at(F.array(*map(F.lit, said)), (F.col("c_custkey") % 5 + 1).cast("int"))
     df = table(spark, sf_dir, "customer").withColumn("head", normalize(F.substr(F.concat(text, F.col("c_name")), F.lit(1), F.lit(300))))
     return df.select("c_custkey", refusal_language(F.col("head")).alias("language"))
@@ -278,14 +297,28 @@ def prompt_leak_pairs(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("""with w as (select doc_id, doc_id % 10 as item, [x for x in string_split_regex(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') if x <> ''] as w from documents),
-b as (select item_id as item, [x for x in string_split_regex(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') if x <> ''] as w from benchmark where item_id < 10),
-dg as (select doc_id, item, unnest(range(1, len(w) - 6)) as p, w from w where len(w) >= 8), d as (select doc_id, item, p, array_to_string(w[p : p + 7], ' ') as g from dg),
-bg as (select item, unnest(range(1, len(w) - 6)) as p, w from b where len(w) >= 8), bs as (select distinct item, array_to_string(w[p : p + 7], ' ') as g from bg)
-select d.doc_id, count(distinct d.g) as shared from d join bs using (item, g) group by d.doc_id""".replace("\\\\p", "\\p"))
+def as_interactions(df: DataFrame, name: Column, output: Column, system: Column | None = None, service: Column | None = None) -> DataFrame:
+    """Rows as interactions: their name as trace, what they say as output, under instructions."""
+    said = lambda role, text: F.array(message(F.lit(role), F.coalesce(text, F.lit("")))).cast(MESSAGES)
+    none, nobody = F.array().cast(MESSAGES), F.lit(None).cast("string")
+    return df.select(
+        F.md5(name).alias("trace_id"), F.left(F.md5(name), F.lit(16)).alias("span_id"), nobody.alias("parent_span_id"), F.lit(1).alias("trace_flags"), (nobody if service is None else service).alias("service_name"),
+        F.lit("chat").alias("operation_name"), nobody.alias("provider_name"), nobody.alias("request_model"), name.alias("response_id"),
+        (none if system is None else said("system", system)).alias("system_instructions"), none.alias("input_messages"), said("assistant", output).alias("output_messages"), none.alias("context_messages"),
+        F.create_map().cast("map<string,string>").alias("association_properties"), nobody.alias("output_type"), F.array().cast("array<string>").alias("finish_reasons"),
+    )
+
+
+@query(ORACLES["prompt_leak_pairs"].replace("r as (select doc_id, item_id, count(*)", "n as (select item_id, any_value(len(w)) as words, count(distinct g) as grams from b join bs using (item_id) group by item_id),\nr as (select doc_id, item_id, count(*)").replace(
+    "select doc_id, item_id, s.shared, max(n) + 7 as longest_run from r", """select doc_id, item_id, round(1 - shared / grams, 4) as score, case when longest_run >= 20 or shared / grams > 0.15 then 'fail' else 'pass' end as label, longest_run from (select doc_id, item_id, s.shared, max(n) + 7 as longest_run from r""") + ") join n using (item_id) where words >= 30")
 def prompt_leak(spark, sf_dir):
-    """The part of prompt_leak_pairs that the SQL says: each document against one benchmark item as its instructions."""
-    return prompt_leak_pairs(spark, sf_dir).where("item_id < 10 and item_id = doc_id % 10").select("doc_id", "shared")
+    """The evaluator of leaks on all documents and items that share an 8-gram: the item as instructions, the document as output."""
+    pairs = prompt_leak_pairs(spark, sf_dir).select("doc_id", "item_id")
+    both = pairs.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")), "item_id")
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("item_id").cast("string"))
+    done = evaluate(as_interactions(both, name, F.col("text"), F.col("item")), Settings(evaluators=("system_prompt_leak",)))
+    ids = F.split("response_id", ":")
+    return done.select(ids[0].cast("long").alias("doc_id"), ids[1].cast("long").alias("item_id"), "result.score", "result.label", F.col("result.attributes")["llm_eval.prompt_leak.longest_run"].cast("long").alias("longest_run"))
 
 
 @query("""select event_id, event_id % 3 = 0 as valid from events""")
@@ -304,11 +337,10 @@ def sample_trace(spark, sf_dir):
 
 @query("""select source, case when source in ('src0', 'src3') then 'exempt' else 'pass' end as label, count(*) as n from documents group by all""")
 def exempt_service(spark, sf_dir):
-    """Documents' sources as services, two of them exempt."""
-    s = Settings(exceptions={"src0": ("length",), "src3": ("length",)})
-    d = table(spark, sf_dir, "documents").withColumn("service_name", F.col("source"))
-    r = F.when(is_exempt("length", s), exempted(result(1.0, "pass", "no findings"))).otherwise(result(1.0, "pass", "no findings"))
-    return d.groupBy("source", r["label"].alias("label")).agg(F.count("*").alias("n"))
+    """All documents as outputs of their sources' services, two of them exempt from the evaluator of refusals."""
+    s = Settings(evaluators=("refusal",), exceptions={"src0": ("refusal",), "src3": ("refusal",)})
+    done = evaluate(as_interactions(table(spark, sf_dir, "documents"), F.col("doc_id").cast("string"), F.col("text"), service=F.col("source")), s)
+    return done.groupBy(F.col("service_name").alias("source"), F.col("result.label").alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("""select conv_id, turn, greatest(0, least(length(text), 500 - coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)))::bigint as kept from conversations""")
