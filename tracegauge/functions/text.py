@@ -21,9 +21,9 @@ def once(kind):
 
 
 def apart(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column whose expression isn't merged into what reads it (a row number keeps projections apart): a Python UDF over
-    an expression with lambdas is left unevaluated otherwise."""
-    return df.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, value))
+    """df with a column whose expression isn't merged into what reads it (a value that differs by task keeps projections apart): a Python UDF
+    over an expression with lambdas is left unevaluated otherwise. Holds in streams too."""
+    return df.withColumn(name, F.when(F.spark_partition_id() >= 0, value))
 
 
 #: Apostrophes that are read as '.

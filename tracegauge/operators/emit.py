@@ -61,13 +61,18 @@ def judge_spans(evaluations: DataFrame) -> DataFrame:
     return c.select("trace_id", span_id_of(parent, F.lit("call")).alias("span_id"), parent.alias("parent_span_id"), F.concat_ws(" ", "c.operation_name", "c.request_model").alias("name"), F.lit("CLIENT").alias("kind"), F.when(F.col("c.error_type").isNotNull(), "ERROR").otherwise("UNSET").alias("status"), "c.*")
 
 
-def histogram(df: DataFrame, keys: Sequence[str | Column], value: Column, bounds: list[float]) -> DataFrame:
-    """n, total and cumulative-free counts of buckets (upper bounds inclusive, the last open) of each group."""
+def bucket_counts(value: Column, bounds: list[float]) -> list[Column]:
+    """Counts of buckets: upper bounds inclusive, the last open."""
     buckets = []
     for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
         inside = (F.lit(True) if lo is None else value > lo) & (F.lit(True) if hi is None else value <= hi)
         buckets.append(F.count_if(inside & value.isNotNull()))
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.array(*buckets).alias("buckets"))
+    return buckets
+
+
+def histogram(df: DataFrame, keys: Sequence[str | Column], value: Column, bounds: list[float]) -> DataFrame:
+    """n, total and cumulative-free counts of buckets of each group."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.array(*bucket_counts(value, bounds)).alias("buckets"))
 
 
 COMMON_KEYS = ["evaluator_name", "evaluator_kind", "service_name", "provider_name", "request_model", "association"]

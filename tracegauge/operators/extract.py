@@ -20,6 +20,9 @@ SYSTEM, INPUT, OUTPUT = "gen_ai.system_instructions", "gen_ai.input.messages", "
 INDEXED = r"^gen_ai\.(prompt|completion)\.(\d+)\.(role|content|finish_reason|tool_calls\.(\d+)\.arguments)$"
 
 
+SKIP_REASONS = ("self_telemetry", "not_inference", "no_content")
+
+
 def dumps(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True)
 

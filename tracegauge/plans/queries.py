@@ -17,6 +17,7 @@ from ..operators.evaluators import NGRAM, in_python, summary
 from ..operators.runner import cut, evaluate
 from ..schemas import MESSAGES, PART
 from ..sources import otlp, records
+from ..streaming import state, topology
 from ..streaming.topology import stream_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,3 +476,36 @@ def percentile_nearest(spark, sf_dir):
 def stream_events(spark, sf_dir):
     """Events read as a stream and counted by tumbling days; late ones within the watermark count."""
     return stream_counts(spark, f"{sf_dir}/events.parquet", "ts", ["event_type"], "1 day").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+
+
+@query(ORACLES["dedup_ttl"])
+def stream_repeats(spark, sf_dir):
+    """As dedup_ttl, by a stream that keeps for each key until when its rows are repeats."""
+    e = topology.table_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    got = topology.read_up(state.marked_repeats(e, ["user_id", "event_type"], "ts", 86400), "repeats")
+    return got.groupBy("user_id", "event_type").agg(F.count_if("duplicate").alias("duplicates"), F.count_if(~F.col("duplicate")).alias("accepted"))
+
+
+@query(ORACLES["failing_runs"])
+def stream_failing(spark, sf_dir):
+    """As failing_runs, by a stream that keeps each user's errors in a row."""
+    e = topology.table_stream(spark, f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    changes = state.health(e, ["user_id"], "ts", F.lpad(F.col("event_id").cast("string"), 20, "0"), F.col("event_type"), F.col("event_type") == "error", interval_s=86400)
+    return state.runs(topology.read_up(changes, "health"), ["user_id"])
+
+
+@query("""with l as (select conv_id, conv_id % 7 as day from conversations group by conv_id)
+select 'service-' || (conv_id % 5) as service_name, timestamp '2024-01-01' + day * interval 1 day as day, case when conv_id % 5 = 1 then 'exempt' else 'pass' end as label, count(*) as n, count(*) filter (conv_id % 5 <> 1) as scores, (count(*) filter (conv_id % 5 <> 1))::double as total from l group by all""")
+def stream_metrics(spark, sf_dir):
+    """Evaluations of all conversations, dated by their id, read as a stream and added up by window; the last state of each window, without its
+    buckets."""
+    s = Settings(evaluators=("pii_detection",), exceptions={"service-1": ("pii_detection",)}, association_exclude=("conversation",), metrics_window_s=86400)
+    start = F.to_timestamp(F.lit("2024-01-01 12:00:00Z"))
+    done = evaluate(conversation_interactions(spark, sf_dir), s).withColumn("evaluated", F.timestamp_seconds(F.unix_seconds(start) + F.col("response_id").cast("long") % 7 * 86400))
+    at, out = topology.folder(spark, "evaluations"), topology.folder(spark, "telemetry")
+    done.write.parquet(at)
+    stream = spark.readStream.schema(done.schema).parquet(at)
+    topology.updated(topology.metric_windows(stream, s), f"{out}/metrics", {"availableNow": True}).awaitTermination()
+    m = topology.metrics_now(spark, out)
+    day = F.timestamp_seconds(F.unix_seconds("window.start"))
+    return m.groupBy("service_name", F.to_utc_timestamp(day, F.current_timezone()).cast("timestamp_ntz").alias("day"), "label").agg(F.sum("n").alias("n"), F.sum("scores").alias("scores"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
