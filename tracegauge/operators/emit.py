@@ -99,6 +99,15 @@ def score_histogram(evaluations: DataFrame, settings: Settings) -> DataFrame:
     return histogram(with_common_keys(evaluations.where("result.score is not null"), settings), COMMON_KEYS, F.col("result.score"), SCORE_BOUNDS)
 
 
+def points(metric: DataFrame, name: str, keys: Sequence[str], bounds: list[float] | None = None) -> DataFrame:
+    """Rows of a count or histogram as points of a metric of that name, their keys as attributes: what the sources' writer takes."""
+    own = F.map_filter(F.create_map(*(x for k in keys for x in (F.lit(k), F.col(k).cast("string")))), lambda k, v: v.isNotNull())
+    nanos = lambda at: (F.unix_micros(at) * 1000).alias
+    times = [nanos("window.start")("start_ns"), nanos("window.end")("time_ns")] if "window" in metric.columns else [F.lit(None).cast("long").alias("start_ns"), (F.unix_micros(F.current_timestamp()) * 1000).alias("time_ns")]
+    histogram_ = [] if bounds is None else ["total", "buckets", F.array(*map(F.lit, bounds)).alias("bounds")]
+    return metric.select(F.lit(name).alias("name"), own.alias("attributes"), *times, "n", *histogram_)
+
+
 def redaction_counts(events_: DataFrame) -> DataFrame:
     """Redacted values by evaluator, of events."""
     return events_.groupBy(F.col("attributes")["gen_ai.evaluation.name"].alias("evaluator_name")).agg(F.sum("redactions").alias("redactions"))

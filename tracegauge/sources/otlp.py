@@ -89,42 +89,55 @@ def gunzip(data: bytes, limit: int) -> bytes:
     return out
 
 
-# Messages and fields of the trace format that are read (name, number, type; * for repeated ones).
+# Messages and fields of the export formats that are read or written (name, number, type; * for repeated ones).
 FORMAT = {
     "AnyValue": "string_value 1 string, bool_value 2 bool, int_value 3 int64, double_value 4 double, array_value 5 ArrayValue, kvlist_value 6 KeyValueList, bytes_value 7 bytes",
     "ArrayValue": "values 1 AnyValue*",
     "KeyValueList": "values 1 KeyValue*",
     "KeyValue": "key 1 string, value 2 AnyValue",
     "Resource": "attributes 1 KeyValue*",
-    "Span": "trace_id 1 bytes, span_id 2 bytes, parent_span_id 4 bytes, name 5 string, attributes 9 KeyValue*, flags 16 fixed32",
+    "Status": "message 2 string, code 3 int32",
+    "Span": "trace_id 1 bytes, span_id 2 bytes, parent_span_id 4 bytes, name 5 string, kind 6 int32, start_time_unix_nano 7 fixed64, end_time_unix_nano 8 fixed64, attributes 9 KeyValue*, status 15 Status, flags 16 fixed32",
     "ScopeSpans": "spans 2 Span*",
     "ResourceSpans": "resource 1 Resource, scope_spans 2 ScopeSpans*",
     "ExportTraceServiceRequest": "resource_spans 1 ResourceSpans*",
+    "LogRecord": "time_unix_nano 1 fixed64, severity_number 2 int32, severity_text 3 string, body 5 AnyValue, attributes 6 KeyValue*, flags 8 fixed32, trace_id 9 bytes, span_id 10 bytes, event_name 12 string",
+    "ScopeLogs": "log_records 2 LogRecord*",
+    "ResourceLogs": "resource 1 Resource, scope_logs 2 ScopeLogs*",
+    "ExportLogsServiceRequest": "resource_logs 1 ResourceLogs*",
+    "NumberDataPoint": "start_time_unix_nano 2 fixed64, time_unix_nano 3 fixed64, as_int 6 sfixed64, attributes 7 KeyValue*",
+    "Sum": "data_points 1 NumberDataPoint*, aggregation_temporality 2 int32, is_monotonic 3 bool",
+    "HistogramDataPoint": "start_time_unix_nano 2 fixed64, time_unix_nano 3 fixed64, count 4 fixed64, sum 5 double, bucket_counts 6 fixed64*, explicit_bounds 7 double*, attributes 9 KeyValue*",
+    "Histogram": "data_points 1 HistogramDataPoint*, aggregation_temporality 2 int32",
+    "Metric": "name 1 string, description 2 string, unit 3 string, sum 7 Sum, histogram 9 Histogram",
+    "ScopeMetrics": "metrics 2 Metric*",
+    "ResourceMetrics": "resource 1 Resource, scope_metrics 2 ScopeMetrics*",
+    "ExportMetricsServiceRequest": "resource_metrics 1 ResourceMetrics*",
 }
 
 
 @cache
-def request_class():
+def request_class(name: str = "ExportTraceServiceRequest"):
     """The protobuf class of a request. Needs the protobuf library, which nothing else here does."""
     from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
 
     kinds = descriptor_pb2.FieldDescriptorProto
     file = descriptor_pb2.FileDescriptorProto(name="traces.proto", package="traces", syntax="proto3")
-    for name, fields in FORMAT.items():
-        m = file.message_type.add(name=name)
-        if name == "AnyValue":
+    for message, fields in FORMAT.items():
+        m = file.message_type.add(name=message)
+        if message == "AnyValue":
             m.oneof_decl.add(name="value")
         for field, number, kind in (f.split() for f in fields.split(", ")):
             f = m.field.add(name=field, number=int(number), label=kinds.LABEL_REPEATED if kind.endswith("*") else kinds.LABEL_OPTIONAL)
-            if name == "AnyValue":
+            if message == "AnyValue":
                 f.oneof_index = 0
             if kind.rstrip("*") in FORMAT:
                 f.type, f.type_name = kinds.TYPE_MESSAGE, f".traces.{kind.rstrip('*')}"
             else:
-                f.type = kinds.Type.Value(f"TYPE_{kind.upper()}")
+                f.type = kinds.Type.Value(f"TYPE_{kind.rstrip('*').upper()}")
     pool = descriptor_pool.DescriptorPool()
     pool.Add(file)
-    return message_factory.GetMessageClass(pool.FindMessageTypeByName("traces.ExportTraceServiceRequest"))
+    return message_factory.GetMessageClass(pool.FindMessageTypeByName(f"traces.{name}"))
 
 
 def plain_value(v):
@@ -158,6 +171,55 @@ def decode_request(body: bytes) -> list[tuple]:
     return out
 
 
+def id_of(text: object) -> str | None:
+    """An id as hexadecimal text, from that or from base64; null if it is empty or neither."""
+    if not isinstance(text, str) or not text:
+        return None
+    if len(text) in (16, 32) and all(c in "0123456789abcdefABCDEF" for c in text):
+        return text.lower()
+    try:
+        return base64.b64decode(text, validate=True).hex() or None
+    except ValueError:
+        return None
+
+
+def decode_json(line: str | bytes) -> list[tuple]:
+    """Rows of SPAN_COLUMNS of a request as JSON text. Raises ValueError for what isn't one."""
+    try:
+        request = json.loads(line)
+        out = []
+        for r in request["resourceSpans"]:
+            service = {x["key"]: any_value(x.get("value") or {}) for x in (r.get("resource") or {}).get("attributes") or [] if "key" in x}.get("service.name")
+            service = service if isinstance(service, str) and service else None
+            for s in (s for scope in r.get("scopeSpans") or [] for s in scope.get("spans") or []):
+                own = {x["key"]: json.dumps(any_value(x.get("value") or {}), ensure_ascii=False) for x in s.get("attributes") or [] if "key" in x}
+                out.append((*(id_of(s.get(k)) for k in ("traceId", "spanId", "parentSpanId")), int(s.get("flags") or 0) & 255, s.get("name"), service, own))
+        return out
+    except (ValueError, KeyError, TypeError, AttributeError, RecursionError) as e:
+        raise ValueError("not a request") from e
+
+
+def read_json(requests: DataFrame, column: str = "value", limit: int = 16 << 20) -> DataFrame:
+    """One row for each span of requests (JSON text), and one for each request that gives none as it is `too large` or `not a request`: its
+    `error` says which. Null and blank requests are left out."""
+    names = [c.split()[0] for c in SPAN_COLUMNS.replace("map<string,string>", "map").split(", ")]
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for body in frame["body"]:
+                try:
+                    if body is None:
+                        raise ValueError("too large")
+                    rows += [(*r, None) for r in decode_json(body)]
+                except ValueError as e:
+                    rows.append((None,) * len(names) + (str(e),))
+            yield pd.DataFrame(rows, columns=[*names, "error"]).astype({"trace_flags": "Int32"})
+
+    body = F.when(F.octet_length(column) <= limit, F.col(column))
+    return requests.where(F.trim(column) != "").select(body.alias("body")).mapInPandas(decode, f"{SPAN_COLUMNS}, error string")
+
+
 def read_protobuf(requests: DataFrame, column: str = "body", gzip: str | None = None, limit: int = 16 << 20) -> DataFrame:
     """One row for each span of requests (bytes; compressed where the boolean column gzip says so), and one for each request that
     gives none as it is `too large`, has a `bad encoding` or is `not a request`: its `error` says which. Null requests are left out."""

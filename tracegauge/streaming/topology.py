@@ -132,6 +132,8 @@ def evaluate_stream(requests: DataFrame, settings: Settings, out: str, client: C
     evaluations, events, spans (if settings say so), judge_spans, metrics and health."""
     spark, trigger = requests.sparkSession, trigger or {"availableNow": True}
     spans = requests if "span_id" in requests.columns else spans_of_json(requests.select("value"))
+    if "error" in spans.columns:
+        spans = spans.where("error is null")
     spans = spans.select(*(c.split()[0] for c in SPAN_COLUMNS.replace("map<string,string>", "map").split(", "))).withColumn("received", F.current_timestamp())
     found = observed(spans, settings)
     listed = {"interactions": found}
