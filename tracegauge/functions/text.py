@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from .columns import let
 
@@ -56,21 +59,11 @@ def error_in(t: str) -> str:
     return ""
 
 
-def of_each(f, s: pd.Series) -> pd.Series:
-    """f of every text in JSON lists of texts, as JSON lists: arrays of texts go to Python and back in one column."""
-    return s.map(lambda t: None if t is None else json.dumps([f(x or "") for x in json.loads(t)]))
-
-
 @once(StringType())
 def normalize(s: pd.Series) -> pd.Series:
     return s.map(normalized, na_action="ignore")
 
 
-@once(StringType())
-def normalize_each(s: pd.Series) -> pd.Series:
-    return of_each(normalized, s)
-
-
 @once(ArrayType(StringType()))
 def words(s: pd.Series) -> pd.Series:
     return s.map(words_in, na_action="ignore")
@@ -81,11 +74,6 @@ def json_error(s: pd.Series) -> pd.Series:
     return s.map(lambda t: error_in(t or "") or None)
 
 
-@once(StringType())
-def json_errors(s: pd.Series) -> pd.Series:
-    return of_each(error_in, s)
-
-
 @once(StringType())
 def json_text(s: pd.Series) -> pd.Series:
     """A JSON text written again with sorted keys and spaces after separators, non-ASCII as it is."""
@@ -126,19 +114,48 @@ def overlap(system: str, outputs: list[str], n: int) -> tuple[int, float]:
     return best + n - 1 if best else 0, len(hit) / len(known) if known else 0.0
 
 
-def leak_of(n: int):
-    """A UDF: overlap of a text with an array of outputs."""
-    kind = StructType([StructField("words", IntegerType()), StructField("run", IntegerType()), StructField("coverage", DoubleType())])
+LEAK = StructType([StructField("words", IntegerType()), StructField("run", IntegerType()), StructField("coverage", DoubleType())])
 
-    @F.arrow_udf(kind)
-    def leak(system: pa.Array, outputs: pa.Array) -> pa.Array:
-        out = []
-        for s, o in zip(system.to_pylist(), outputs.to_pylist(), strict=True):
-            run, coverage = overlap(s or "", [t or "" for t in o or []], n)
-            out.append({"words": len(words_in(s or "")), "run": run, "coverage": coverage})
-        return pa.array(out, pa.struct([("words", pa.int32()), ("run", pa.int32()), ("coverage", pa.float64())]))
 
-    return leak.asNondeterministic()
+def leak_of(n: int) -> Callable[[dict], dict]:
+    """The overlap of a text (`system`) with an array of outputs (`outputs`), as LEAK."""
+
+    def leak(x: dict) -> dict:
+        system = x["system"] or ""
+        run, coverage = overlap(system, [t or "" for t in x["outputs"] or []], n)
+        return {"words": len(words_in(system)), "run": run, "coverage": coverage}
+
+    return leak
+
+
+def guarded(kind: DataType, f: Callable):
+    """A UDF of f that gives struct<value, error, ns> for each row: what f makes of it, or the name of what it raises, and how long it took. Null
+    rows aren't given to f."""
+    schema = StructType([StructField("value", kind), StructField("error", StringType()), StructField("ns", LongType())])
+
+    @F.arrow_udf(schema)
+    def run(given: pa.Array) -> pa.Array:
+        out = []
+        for x in given.to_pylist():
+            if x is None:
+                out.append({"value": None, "error": None, "ns": None})
+                continue
+            begun, value, error = time.perf_counter_ns(), None, None
+            try:
+                value = f(x)
+            except Exception as e:  # one row's failure is its own result
+                error = type(e).__name__
+            out.append({"value": value, "error": error, "ns": time.perf_counter_ns() - begun})
+        return pa.array(out, to_arrow_type(schema))
+
+    return run.asNondeterministic()
+
+
+def staged(df: DataFrame, name: str, stage, given: Column) -> DataFrame:
+    """df with a guarded stage of `given`: its value as `name`, `name`_error and `name`_ns."""
+    df = apart(df, f"{name}_in", given)
+    df = apart(df, f"{name}_out", stage(f"{name}_in"))
+    return df.withColumns({name: F.col(f"{name}_out.value"), f"{name}_error": F.col(f"{name}_out.error"), f"{name}_ns": F.col(f"{name}_out.ns")}).drop(f"{name}_in", f"{name}_out")
 
 
 def grams(ws: Column, n: int) -> Column:

@@ -8,15 +8,23 @@ import time
 from collections.abc import Callable
 
 
+#: Calls of a process that haven't returned in time and still run; beyond that many, further ones fail at once.
+MOST_STUCK = 64
+STUCK = "too_many_timeouts"
+
+
 class Job:
     def __init__(self, call: Callable[[], object]):
         self.call, self.begun, self.late, self.result, self.error = call, 0.0, False, None, None
+        self.thread: threading.Thread | None = None
         self.started, self.done = threading.Event(), threading.Event()
 
 
 class Workers:
     """Threads that answer jobs, each within a time from its own start. One that is late is given up: another takes its place, and as
-    threads are daemons, a call that never returns holds nothing up."""
+    threads are daemons, a call that never returns holds nothing up. Threads of such calls stay; their number in a process is bounded."""
+
+    stuck: list[threading.Thread] = []
 
     def __init__(self, threads: int):
         self.jobs: queue.SimpleQueue = queue.SimpleQueue()
@@ -28,7 +36,7 @@ class Workers:
 
     def work(self) -> None:
         while (job := self.jobs.get()) is not None:
-            job.begun = time.monotonic()
+            job.begun, job.thread = time.monotonic(), threading.current_thread()
             job.started.set()
             try:
                 job.result = job.call()
@@ -40,7 +48,13 @@ class Workers:
 
     def submit(self, call: Callable[[], object]) -> Job:
         job = Job(call)
-        self.jobs.put(job)
+        Workers.stuck = [t for t in Workers.stuck if t.is_alive()]
+        if len(Workers.stuck) >= MOST_STUCK:
+            job.error = STUCK
+            job.started.set()
+            job.done.set()
+        else:
+            self.jobs.put(job)
         return job
 
     def outcome(self, job: Job, limit: float) -> tuple[object, str | None]:
@@ -48,6 +62,7 @@ class Workers:
         job.started.wait()
         if not job.done.wait(max(0.0, job.begun + limit - time.monotonic())):
             job.late = True
+            Workers.stuck.append(job.thread)
             self.hire()
             return None, "timeout"
         return job.result, job.error
