@@ -130,3 +130,48 @@ def test_the_tree_decides(spark, monkeypatch):
     assert all("Made by us" in main_text(html) for _, _, html in rows)
     monkeypatch.setattr("tracegauge.llm.htmltree.BROADCAST_ROWS", 0)
     assert {r.page_id: r.text for r in extract(df).collect()} == got
+
+
+ARTICLE = "<h1>Title</h1><p>" + "some words of the story " * 5 + "</p>"
+STORY = "Title\n" + " ".join(["some words of the story"] * 5)
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<div class='sidebar content'>{ARTICLE}</div><div class='sidebar'>more</div>",
+        f"<div class='promotion'>{ARTICLE}</div>",
+        f"<form action='/'><input name='q'><div>{ARTICLE}</div><button>go</button><select><option>a</select></form>",
+        f"<div class='header-fixed'>{ARTICLE}</div>",
+        f"<article>{ARTICLE}</article><section id='comments'><article class='comment'><p>{'I think so too. ' * 40}</p></article></section>",
+        f"<div>{ARTICLE}</div><ol class='comment-list'><li>{'me too ' * 60}</li></ol>",
+        f"<div>{ARTICLE}</div><div class='related-posts'><p>see this</p></div><div class='ad-slot'>buy</div><div id='cookie-banner'>we use them</div>",
+        f"<div class='menu'>{'<a href=x>a link to it</a> ' * 40}</div><div>{ARTICLE}</div>",
+        f"<nav>{'all our many pages ' * 40}</nav><div>{ARTICLE}</div>",
+        f"<div class='promo-box'><article>{ARTICLE}</article></div><div class='share_bar'>tell</div>",
+    ],
+)
+def test_names_are_a_prior_only(html):
+    assert main_text(html) == STORY
+
+
+def test_held_out_templates_need_the_tree(spark, monkeypatch):
+    """Hosts whose menus, straps and footers bear no names that tell, and no article: what stays on four pages or more goes, the stories stay whole."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line = lambda n: " ".join(word(rng.randrange(2, 9)) for _ in range(n))
+    rows, want = [], {}
+    for host in range(12):
+        tags = rng.sample(["div", "section", "span", "td"], 3)
+        top, strap, end = (f"<ul class='{word(4)}'>" + "".join(f"<li>{line(2)}</li>" for _ in range(4)) + "</ul>", f"<{tags[0]} class='{word(5)}'>{line(6)}</{tags[0]}>", f"<{tags[1]} id='{word(3)}'><p>{line(9)}</p></{tags[1]}>")
+        kind = word(4)
+        for k in range(rng.randrange(4, 12)):
+            story = [line(rng.randrange(8, 30)) for _ in range(rng.randrange(1, 6))]
+            i = 1000 * host + k
+            rows.append((i, f"http://h{host}.example/{k}", f"<html><body>{top}{strap}<div class='{kind}'>{''.join(f'<p>{s}</p>' for s in story)}</div>{end}</body></html>"))
+            want[i] = "\n".join(story)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert got == want
+    bare = {r.page_id: r.text for r in extract(df, least=-1.0).collect()}
+    assert all(len(bare[i]) > len(want[i]) for i in want)

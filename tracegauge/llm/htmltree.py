@@ -9,9 +9,11 @@ m pages, entropies to the base m + 1 (as if one more page were without it, so th
 - the composite importance, DAMP^l times the mean of the l parts' (own contents, children, by the pages that have them),
   and 1 - DAMP^l times the presentation's, from the leaves up.
 
-A branch all of whose nodes are of low importance is removed from each page that has something else. Menus and adverts whose
-words change from page to page have a high entropy; elements whose role is written on them (nav, footer, class="ad", ...)
-therefore have none from the start. Where articles (<article>, <main>) hold the page's text, it is read within them.
+A branch all of whose nodes are of low importance is removed from each page that has something else. All branches but those that are never
+text (scripts, fields of forms, ...) are merged and judged. Menus and adverts whose words change from page to page have a high entropy, however; a
+role that is written on an element (nav, footer, class="ad-slot", ...) is a prior against it, which only says less than most of the page's text does: a
+named branch, or a form, that holds more than half of it, and not as links, stays, unless it holds comments. Where articles
+(<article>, <main>) hold the page's text, it is read within them.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare
 
-#: Branches of less importance go; weight of a node's parts for each of them.
-LEAST, DAMP = 0.1, 0.9
+#: Branches of less importance go (a text that all pages of a host have: 0.19 with three pages, 0.13 with four); weight of a node's parts for each.
+LEAST, DAMP = 0.15, 0.9
 #: What is nested deeper than this belongs to the element at this depth.
 DEEPEST = 40
 #: Articles are all of the page's text if they hold this share of what has no role against it.
@@ -39,27 +41,43 @@ BROADCAST_ROWS = 200_000
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
+FIRST = re.compile(r"[^-_]*")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What a start tag closes, up to the nearest of the others.
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
-#: Elements with a role other than text; words that say so as a whole class, id or role (text with it is what a menu, an advert, ... is).
-NO_ROLE = frozenset("head title script style noscript template nav header footer aside form button select option textarea iframe svg canvas object audio video dialog menu".split())
+#: Elements that are never text; those with a role other than text; words that say so as a class, id or role, or as its first word
+#: ("ad-slot", not "with-ads"); those of readers' comments.
+NEVER_TEXT = frozenset("head title script style noscript template button select option textarea iframe svg canvas object audio video".split())
+NO_ROLE = frozenset("nav header footer aside dialog menu".split())
 NEVER_NAMED = frozenset("html body main article".split())
+COMMENTS = frozenset("comment comments reply replies respond disqus discussion".split())
 NO_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside footer header masthead comment comments reply replies respond disqus discussion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager skip complementary contentinfo search alert".split()
 )
 
 
 class Node:
-    """An element: its path as a hash, its parent, whether its role is against it (1: by name, 2: by tag), and its children."""
+    """An element: its path as a hash, its parent, its children, and whether its role is against it (NAMED, or a form; TAGGED, or comments;
+    NEVER text). Of the text in it: all characters, those in links, those in articles."""
 
-    __slots__ = ("tag", "path", "up", "depth", "role", "main", "kids")
+    __slots__ = ("tag", "path", "up", "depth", "role", "main", "kids", "chars", "links", "own")
 
     def __init__(self, tag: str, path: int, up: Node | None, role: int = 0, main: bool = False):
         self.tag, self.path, self.up, self.role, self.main, self.kids = tag, path, up, role, main, []
         self.depth = up.depth + 1 if up else 0
+        self.chars = self.links = self.own = 0
+
+    def closed(self) -> None:
+        """Adds its text to its parent's."""
+        if self.role < NEVER:
+            self.up.chars += self.chars
+            self.up.links += self.chars if self.tag == "a" else self.links
+            self.up.own += self.chars if self.main else self.own
+
+
+NAMED, TAGGED, NEVER = 1, 2, 3
 
 
 def key(*parts: str) -> int:
@@ -74,17 +92,20 @@ def names_of(attributes: str) -> list[str]:
 def parse(html: str) -> list[tuple[str, object]]:
     """Events of a page, in order: ("open", node), ("text", decoded text), ("close", node). Every node that opens closes."""
     events: list[tuple[str, object]] = []
-    stack = [Node("", 0, None)]
+    root = Node("", 0, None)
+    stack, named = [root], []
     at, n = 0, len(html)
 
     def close_to(i: int) -> None:
         while len(stack) > i:
+            stack[-1].closed()
             events.append(("close", stack.pop()))
 
     while at < n:
         m = TAG.search(html, at)
         if text := html[at : m.start()] if m else html[at:]:
             events.append(("text", unescape(text) if "&" in text else text))
+            stack[-1].chars += len(SPACE.sub("", text))
         if not m:
             break
         at = m.end()
@@ -116,15 +137,18 @@ def parse(html: str) -> list[tuple[str, object]]:
                     close_to(i)
                     break
         up, names = stack[-1], names_of(attributes)
-        role = 2 if tag in NO_ROLE and tag != "form" else 1 if tag == "form" or tag not in NEVER_NAMED and NO_NAME.intersection(names) else 0
-        main = tag in ("article", "main") or "main" in names and "role" in attributes.lower()
-        role = 0 if main else role
+        first = {FIRST.match(x)[0] for x in names}
+        comments = bool(COMMENTS.intersection(first)) and tag not in ("html", "body", "main")
+        main = not comments and (tag in ("article", "main") or "main" in names and "role" in attributes.lower())
+        role = NEVER if tag in NEVER_TEXT else 0 if main else TAGGED if tag in NO_ROLE or comments else NAMED if tag == "form" or tag not in NEVER_NAMED and NO_NAME.intersection(first) else 0
         node = Node(tag, key(f"{up.path}/{'.'.join([tag, *names])}"), up, role, main)
         up.kids.append(tag)
         if main:  # what encloses an article isn't an advert, whatever its name
-            while up and up.role < 2:
+            while up and up.role < TAGGED:
                 up.role, up = 0, up.up
         events.append(("open", node))
+        if role == NAMED:
+            named.append(node)
         if tag in VOID or attributes.endswith("/"):
             events.append(("close", node))
             continue
@@ -133,12 +157,16 @@ def parse(html: str) -> list[tuple[str, object]]:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
             at = end.start() if end else n
     close_to(1)
+    for x in named:
+        # most of the page's text is no advert
+        if 2 * x.chars > root.chars and 2 * x.links < x.chars and x.own == root.own:
+            x.role = 0
     return events
 
 
 def branches(html: str) -> dict[int, list]:
-    """Of each path in the page that has no role against it: its parent's path, its depth, its presentation in the page, and
-    the hashes of the texts in it. What lies deeper than DEEPEST counts as its ancestor's text there."""
+    """Of each path in the page that may be text: its parent's path, its depth, its presentation in the page, and the hashes of the
+    texts in it. What lies deeper than DEEPEST counts as its ancestor's text there."""
     found: dict[int, list] = {}
     here: list[Node] = []
     off = 0
@@ -148,8 +176,8 @@ def branches(html: str) -> dict[int, list]:
                 found[here[-1].path][3].add(key(said))
             continue
         step = 1 if kind == "open" else -1
-        off += step * (x.role > 0)
-        if off or x.depth > DEEPEST or kind == "close" and x.role:
+        off += step * (x.role == NEVER)
+        if off or x.depth > DEEPEST or kind == "close" and x.role == NEVER:
             continue
         if kind == "open":
             here.append(x)
