@@ -143,7 +143,9 @@ def result_lines(evaluations: DataFrame) -> DataFrame:
     r = F.col("result")
     df = apart(evaluations, "_said", r["explanation"])
     df = apart(df, "_said", sanitize("_said"))
-    return df.select(F.to_json(F.struct("trace_id", "span_id", F.col("evaluator_name").alias("evaluator"), r["score"].alias("score"), r["label"].alias("label"), F.col("_said").alias("explanation"), r["error_type"].alias("error_type"), "truncated")).alias("value"))
+    calls = F.transform("judge_calls", lambda c: F.struct(c["operation_name"].alias("operation"), F.coalesce(c["response_model"], c["request_model"]).alias("model"), c["input_tokens"].alias("input_tokens"), c["output_tokens"].alias("output_tokens"), c["error_type"].alias("error_type"), ((c["end_ns"] - c["start_ns"]) / 1_000_000).cast("long").alias("ms")))
+    line = F.struct("trace_id", "span_id", F.col("response_id").alias("id"), F.col("evaluator_name").alias("evaluator"), r["score"].alias("score"), r["label"].alias("label"), F.col("_said").alias("explanation"), r["error_type"].alias("error_type"), "truncated", (F.col("duration_ns") / 1_000_000).cast("long").alias("ms"), calls.alias("judge_calls"))
+    return df.select("trace_id", F.col("evaluator_name").alias("evaluator"), F.to_json(line).alias("value"))
 
 
 def details(evaluations: DataFrame, labels: DataFrame) -> DataFrame:

@@ -68,3 +68,23 @@ def calibration(df: DataFrame, by: str, price_per_million: float = 0.0) -> DataF
 def spread(df: DataFrame, item: str, score: str) -> DataFrame:
     """Of each item: runs, and the distance between its highest and lowest score."""
     return df.groupBy(item).agg(F.count("*").alias("runs"), (F.max(score) - F.min(score)).alias("spread"))
+
+
+def repeated(runs: DataFrame, by: str) -> DataFrame:
+    """Of evaluations of labelled items, each several times (evaluator, item, run, label, human, score, error_type), by evaluator and one column: runs,
+    errors, those that agree with the label, items with more than one score, those whose score changed, and the greatest spread."""
+    ok = F.col("error_type").isNull()
+    each = runs.groupBy("evaluator", by, "item").agg(
+        F.count("*").alias("runs"), F.count_if(~ok).alias("errors"), F.count_if(ok & (F.col("label") == F.col("human"))).alias("agree"), F.count(F.when(ok, F.col("score"))).alias("scores"), (F.max(F.when(ok, F.col("score"))) - F.min(F.when(ok, F.col("score")))).alias("spread")
+    )
+    more = F.col("scores") > 1
+    return each.groupBy("evaluator", by).agg(F.sum("runs").alias("runs"), F.sum("errors").alias("errors"), F.sum("agree").alias("agree"), F.count_if(more).alias("repeated"), F.count_if(more & (F.col("spread") > 0)).alias("changed"), F.coalesce(F.max(F.when(more, F.col("spread"))), F.lit(0.0)).alias("spread"))
+
+
+def pairs_of_evaluators(runs: DataFrame, by: str) -> DataFrame:
+    """Of each two evaluators, on the same item and run, both without an error: how often they agree, and how often only the first or the second
+    passes, by one column. Evaluators of an item are few, so each run's rows meet as one array."""
+    some = runs.where("error_type is null").groupBy("item", "run", by).agg(F.array_sort(F.collect_list(F.struct("evaluator", "label"))).alias("x"))
+    both = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a["evaluator"].alias("first"), b["evaluator"].alias("second"), a["label"].alias("p"), b["label"].alias("q")))))
+    each = some.select(by, F.explode(both).alias("y")).select(by, "y.*")
+    return each.groupBy("first", "second", by).agg(F.count("*").alias("n"), F.count_if(F.col("p") == F.col("q")).alias("equal"), F.count_if((F.col("p") == "pass") & (F.col("q") == "fail")).alias("first_only"), F.count_if((F.col("p") == "fail") & (F.col("q") == "pass")).alias("second_only"))

@@ -509,3 +509,70 @@ def stream_metrics(spark, sf_dir):
     m = topology.metrics_now(spark, out)
     day = F.timestamp_seconds(F.unix_seconds("window.start"))
     return m.groupBy("service_name", F.to_utc_timestamp(day, F.current_timezone()).cast("timestamp_ntz").alias("day"), "label").agg(F.sum("n").alias("n"), F.sum("scores").alias("scores"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
+
+
+RUNS_SQL = """with r as (select d.doc_id as item, d.lang, run, case when l.quality = 1 then 'pass' else 'fail' end as human, length(d.text) as n, (d.doc_id + run) % 7 as jitter from labels l join documents d using (doc_id), range(3) t(run) where length(d.text) > 0),
+e as (select 'length' as evaluator, item, lang, run, human, case when n >= 600 then 'pass' else 'fail' end as label, least(1.0, n / 2000.0)::double as score, null as error_type from r
+union all select 'noisy', item, lang, run, human, case when n + 100 * jitter >= 900 then 'pass' else 'fail' end, jitter / 6.0, case when jitter = 6 then 'timeout' end from r)
+"""
+
+
+def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules as evaluators of all labelled documents, three times each; the second one changes from run to run, and fails at times."""
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where(F.length("text") > 0).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    n, jitter = F.length("text"), (F.col("doc_id") + F.col("run")) % 7
+    word = lambda c: F.when(c, "pass").otherwise("fail")
+    rule = lambda name, label, score, error: F.struct(F.lit(name).alias("evaluator"), label.alias("label"), score.cast("double").alias("score"), error.cast("string").alias("error_type"))
+    rules = F.array(rule("length", word(n >= 600), F.least(F.lit(1.0), n / 2000), F.lit(None)), rule("noisy", word(n + 100 * jitter >= 900), jitter / 6, F.when(jitter == 6, "timeout")))
+    return both.select(F.col("doc_id").alias("item"), "lang", "run", word(F.col("quality") == 1).alias("human"), F.explode(rules).alias("x")).select("item", "lang", "run", "human", "x.*")
+
+
+@query(RUNS_SQL + """, i as (select evaluator, lang, item, count(*) as runs, count(error_type) as errors, count(*) filter (error_type is null and label = human) as agree, count(score) filter (error_type is null) as scores, max(score) filter (error_type is null) - min(score) filter (error_type is null) as spread from e group by all)
+select evaluator, lang, sum(runs)::bigint as runs, sum(errors)::bigint as errors, sum(agree)::bigint as agree, count(*) filter (scores > 1) as repeated, count(*) filter (scores > 1 and spread > 0) as changed, coalesce(max(spread) filter (scores > 1), 0.0)::double as spread from i group by all""")
+def repeated_calibration(spark, sf_dir):
+    return reports.repeated(repeated_runs(spark, sf_dir), "lang")
+
+
+@query(RUNS_SQL + """select a.evaluator as first, b.evaluator as second, a.lang, count(*) as n, count(*) filter (a.label = b.label) as equal, count(*) filter (a.label = 'pass' and b.label = 'fail') as first_only, count(*) filter (a.label = 'fail' and b.label = 'pass') as second_only
+from e a join e b on a.item = b.item and a.run = b.run and a.evaluator < b.evaluator where a.error_type is null and b.error_type is null group by all""")
+def pairwise_agreement(spark, sf_dir):
+    return reports.pairs_of_evaluators(repeated_runs(spark, sf_dir), "lang")
+
+
+EMAIL_SQL = r"""with d as (select doc_id, source, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) as n from documents)
+"""
+
+
+def document_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses in all documents as outputs, one source exempt."""
+    s = Settings(evaluators=("pii_detection",), pii_types=("email",), exceptions={"src0": ("pii_detection",)})
+    return evaluate(as_interactions(table(spark, sf_dir, "documents"), F.col("doc_id").cast("string"), F.col("text"), service=F.col("source")), s)
+
+
+@query(EMAIL_SQL + """select doc_id, case when source = 'src0' then 'exempt' when n > 0 then 'fail' else 'pass' end as label, case when source = 'src0' then null when n > 0 then 0.0 else 1.0 end::double as score, case when source = 'src0' then 'exempt service; ' else '' end || case when n > 0 then 'email=' || n || ' (output)' else 'no findings' end as explanation, case when n > 0 then 'email' end as types from d""")
+def document_findings(spark, sf_dir):
+    d = document_evaluations(spark, sf_dir)
+    return d.select(F.col("response_id").cast("long").alias("doc_id"), "result.label", "result.score", "result.explanation", F.col("result.attributes")["llm_eval.pii.types"].alias("types"))
+
+
+@query(EMAIL_SQL + """, l as (select case when source = 'src0' then 'exempt' when n > 0 then 'fail' else 'pass' end as label from d), c as (select label, count(*) as n from l group by 1)
+select 'pii_detection' as evaluator_name, string_agg(label || '=' || n, ', ' order by label) as summary, false as troubled from c having count(*) > 0""")
+def interval_summaries(spark, sf_dir):
+    return emit.interval_summary(document_evaluations(spark, sf_dir))
+
+
+@query(EMAIL_SQL + """select case when source <> 'src0' and n > 0 then 'WARN' else 'INFO' end as severity, source as service, count(*) as n, 0::bigint as redactions from d group by all""")
+def event_severities(spark, sf_dir):
+    """Events of all documents; what they say of addresses holds none."""
+    e = emit.events(document_evaluations(spark, sf_dir))
+    return e.groupBy("severity", F.col("attributes")["llm_eval.source.service.name"].alias("service")).agg(F.count("*").alias("n"), F.sum("redactions").cast("long").alias("redactions"))
+
+
+@query(r"""select 'pii_detection' as evaluator_name, count(*) filter (n > 0)::bigint as redactions from (select len(regexp_extract_all(left(text, 200), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) as n from documents) having count(*) > 0""")
+def sanitizer_redactions(spark, sf_dir):
+    """The beginnings of all documents as a property of their traces: those with an address are redacted in the events."""
+    i = as_interactions(table(spark, sf_dir, "documents"), F.col("doc_id").cast("string"), F.lit("ok")).withColumn("response_id", F.lit(None).cast("string"))
+    d = table(spark, sf_dir, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("trace_id"), F.left("text", F.lit(200)).alias("head"))
+    mail = F.regexp_extract("head", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0)
+    i = i.drop("association_properties").join(d, "trace_id").withColumn("association_properties", F.create_map(F.lit("contact"), mail)).drop("head")
+    return emit.redaction_counts(emit.events(evaluate(i, Settings(evaluators=("pii_detection",)))))
