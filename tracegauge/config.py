@@ -25,9 +25,7 @@ class Settings:
     max_request_bytes: int = 16 << 20
     emit_spans: bool = True
     judge_redact: bool = True
-    lane_capacity: int = 1000
     judge_concurrency: int = 8
-    tokens_per_minute: int = 0
     metrics_window_s: int = 60
 
     def __post_init__(self):
