@@ -93,7 +93,7 @@ def with_ids(line, i):
     return line.replace("b7ad6b7169203331", f"{i:016x}")
 
 
-def test_topology_counts_once_over_restarts(spark, tmp_path):
+def test_topology_counts_once_over_restarts(spark, tmp_path, caplog):
     names = ("pii_detection", "secret_detection", "relevance", "fragile")
 
     def fragile(interaction):
@@ -102,6 +102,7 @@ def test_topology_counts_once_over_restarts(spark, tmp_path):
         return {"score": 0.5, "label": "pass"}
 
     s = Settings(evaluators=names, sample_rates=dict.fromkeys(names, 1.0), timeout_s=60.0)
+    caplog.set_level("INFO", "tracegauge")
     counts = topology.Counts()
     spark.streams.addListener(counts)
     (tmp_path / "in").mkdir()
@@ -111,7 +112,10 @@ def test_topology_counts_once_over_restarts(spark, tmp_path):
             line = with_ids(request(talk("CPF 529.982.247-25" if i % 2 else "hello", "ok")), i + 1)
             (tmp_path / "in" / f"{k}{i}.txt").write_text(line + "\n")
         (tmp_path / "in" / f"{k}x.txt").write_text("no request\n")
-        topology.evaluate_stream(spark.readStream.text(str(tmp_path / "in")), s, out, Judge, [in_python("fragile", fragile)]).awaitTermination()
+        running = topology.evaluate_stream(spark.readStream.text(str(tmp_path / "in")), s, out, Judge, [in_python("fragile", fragile)])
+        running.awaitTermination()
+        health = running.health()
+        assert {n.rpartition("-")[0] for n in health} == {"interactions", "evaluations", "events", "spans", "judge_spans", "health", "metrics"} and not any(h["failed"] or h["active"] for h in health.values())
     spark.streams.removeListener(counts)
     e = spark.read.parquet(f"{out}/evaluations")
     assert e.count() == 16 and spark.read.parquet(f"{out}/events").count() == 16 and spark.read.parquet(f"{out}/spans").count() == 16
@@ -123,6 +127,7 @@ def test_topology_counts_once_over_restarts(spark, tmp_path):
     hist = {r.evaluator_name: r.buckets for r in topology.metrics_now(spark, out).where("label is not null").groupBy("evaluator_name", "label").agg(F.array(*[F.sum(F.col("buckets")[i]) for i in range(11)]).alias("buckets")).where("evaluator_name = 'secret_detection'").collect()}
     batch = {r.evaluator_name: r.buckets for r in emit.score_histogram(e, s).where("evaluator_name = 'secret_detection'").groupBy("evaluator_name").agg(F.array(*[F.sum(F.col("buckets")[i]) for i in range(11)]).alias("buckets")).collect()}
     assert hist == batch
+    assert "received=" in caplog.text and not any(x in caplog.text for x in ("529.982", "hello", "CPF")) and len(counts.rates) == 7
     total = counts.total()
     assert (total["received"], total["duplicate"], total["evaluated"], total["no_content"]) == (5, 1, 4, 0)
 

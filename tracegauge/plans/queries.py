@@ -576,3 +576,14 @@ def sanitizer_redactions(spark, sf_dir):
     mail = F.regexp_extract("head", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0)
     i = i.drop("association_properties").join(d, "trace_id").withColumn("association_properties", F.create_map(F.lit("contact"), mail)).drop("head")
     return emit.redaction_counts(emit.events(evaluate(i, Settings(evaluators=("pii_detection",)))))
+
+
+@query("""select doc_id, d.lang, case when quality = 1 then 'pass' else 'fail' end as label, length(text) as output_chars, 2::bigint as context from labels l join documents d using (doc_id) where text is not null""")
+def labelled_spans(spark, sf_dir):
+    """Labelled documents as records, as spans, and as interactions again: their labels, outputs and what was said before."""
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where("text is not null")
+    before = F.array(F.struct(F.lit("user").alias("role"), F.lit("Hello").alias("text")), F.struct(F.lit("assistant").alias("role"), F.lit("Hi").alias("text")))
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("Write on").alias("input"), F.col("text").alias("output"), before.alias("context"), "lang", F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("label")))
+    i = extract.interactions(records.record_spans(records.read_records(both.select("doc_id", line.alias("value"))), F.col("doc_id")))
+    p = F.col("association_properties")
+    return i.where("skip_reason is null").select(F.col("response_id").cast("long").alias("doc_id"), p["synthetic.lang"].alias("lang"), p["synthetic.label"].alias("label"), F.length(F.col("output_messages")[0]["text"]).cast("long").alias("output_chars"), F.size("context_messages").cast("long").alias("context"))

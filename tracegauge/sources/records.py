@@ -76,6 +76,26 @@ def record_interactions(records: DataFrame, key: Column) -> DataFrame:
     )
 
 
+def record_spans(records: DataFrame, key: Column) -> DataFrame:
+    """The good records as spans (sources.otlp.SPAN_COLUMNS), as a traced service would have sent them: what was said before is the beginning of the
+    input, an answer of several texts is several choices, and a labelled record's id, lang, label and score are association properties."""
+    df = records.where("error is null")
+    get = lambda name, kind="string": F.try_variant_get("record", f"$.{name}", kind)
+    context = F.coalesce(F.try_variant_get("_context", "$", "array<variant>"), F.array().cast("array<variant>"))
+    said = lambda role, text: F.struct(role.alias("role"), F.array(F.struct(F.lit("text").alias("type"), text.alias("content"))).alias("parts"))
+    before = F.transform(context, lambda x: said(F.try_variant_get(x, "$.role", "string"), F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))))
+    asked = F.transform(texts_of(F.col("_input")), lambda t: said(F.lit("user"), t))
+    answers = F.transform(texts_of(F.col("_output")), lambda t: said(F.lit("assistant"), t))
+    number = F.lower(F.hex(key.cast("long")))
+    # JSON leaves a null field out
+    text = lambda c: F.get(F.regexp_extract_all(F.to_json(F.struct(c.alias("v"))), F.lit(r'(?s)^\{"v":(.*)\}$'), F.lit(1)), F.lit(0))
+    own = {"gen_ai.operation.name": F.lit('"chat"'), "gen_ai.input.messages": F.to_json(F.concat(before, asked)), "gen_ai.output.messages": F.to_json(answers), "gen_ai.response.id": text(get("id"))}
+    own |= {f"traceloop.association.properties.synthetic.{c}": text(get(c, kind)) for c, kind in (("id", "string"), ("lang", "string"), ("label", "string"), ("score", "double"))}
+    attributes = F.map_filter(F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    none = F.lit(None).cast("string")
+    return df.select(F.lpad(number, 32, "0").alias("trace_id"), F.lpad(number, 16, "0").alias("span_id"), none.alias("parent_span_id"), F.lit(1).alias("trace_flags"), F.lit("chat").alias("name"), F.lit(SERVICE).alias("service_name"), attributes.alias("attributes"))
+
+
 def inline_record(input_text: Column, output_text: Column, context: Column) -> Column:
     """A record as a JSON line, of texts and an array of `ROLE:TEXT`."""
     turns = F.transform(context, lambda c: F.struct(F.substring_index(c, ":", 1).alias("role"), F.substr(c, F.instr(c, ":") + 1, F.length(c)).alias("text")))

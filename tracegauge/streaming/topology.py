@@ -8,7 +8,9 @@ go on anywhere. Only duplicates, metrics and health keep state.
 
 from __future__ import annotations
 
+import logging
 import uuid
+import zlib
 from collections.abc import Callable, Iterable
 from functools import partial
 
@@ -55,11 +57,16 @@ def observed(spans: DataFrame, settings: Settings) -> DataFrame:
     return made.where("skip_reason is null").drop("skip_reason")
 
 
+LOG = logging.getLogger("tracegauge")
+
+
 class Counts(StreamingQueryListener):
-    """What queries have observed so far, by name; a micro-batch that is told again counts once."""
+    """What queries have observed so far, by name, and how fast they are; a micro-batch that is told again counts once. Each is logged, as
+    counts and ids alone."""
 
     def __init__(self):
         self.seen: dict[tuple, dict] = {}
+        self.rates: dict[str, tuple[float, float]] = {}
         self.ended: list[str | None] = []
 
     def onQueryStarted(self, event) -> None:
@@ -70,11 +77,18 @@ class Counts(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
+        told = {}
         for name, row in p.observedMetrics.items():
             self.seen[str(p.id), p.batchId, name] = row.asDict()
+            told |= {k: n for k, n in row.asDict().items() if n}
+        self.rates[str(p.name or p.id)] = (p.inputRowsPerSecond, p.processedRowsPerSecond)
+        LOG.info("query=%s batch=%d rows=%d %s", p.name or p.id, p.batchId, p.numInputRows, " ".join(f"{k}={n}" for k, n in sorted(told.items())))
 
     def onQueryTerminated(self, event) -> None:
         self.ended.append(event.exception)
+        if event.exception:
+            # the exception's text may hold what was read
+            LOG.error("query=%s failed: %s", event.id, event.errorClassOnException or "unknown")
 
     def total(self) -> dict[str, int]:
         out: dict[str, int] = {}
@@ -94,16 +108,21 @@ def metric_windows(evaluations: DataFrame, settings: Settings, at: str = "evalua
     )
 
 
+def named(at: str) -> str:
+    """A query's name: its table's, and what tells it from those of other folders."""
+    return f"{at.rstrip('/').rpartition('/')[2]}-{zlib.crc32(at.encode()):08x}"
+
+
 def written(stream: DataFrame, at: str, trigger: dict) -> StreamingQuery:
     """stream appended to a table by Spark's file sink."""
     with keyed_state(stream.sparkSession):
-        return stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", f"{at}-checkpoint").trigger(**trigger).start()
+        return stream.writeStream.queryName(named(at)).format("parquet").option("path", at).option("checkpointLocation", f"{at}-checkpoint").trigger(**trigger).start()
 
 
 def updated(stream: DataFrame, at: str, trigger: dict) -> StreamingQuery:
     """The changed rows of each micro-batch in a folder of its own, which a batch that runs again replaces."""
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/batch={n}")
-    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}-checkpoint").trigger(**trigger).start()
+    return stream.writeStream.queryName(named(at)).outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}-checkpoint").trigger(**trigger).start()
 
 
 class Topology:
@@ -126,6 +145,14 @@ class Topology:
         for q in self.queries:
             q.stop()
 
+    def health(self) -> dict[str, dict]:
+        """By query: whether it runs, has failed, its last micro-batch and how many rows it takes a second. Ready is what has read a batch."""
+        out = {}
+        for q in self.queries:
+            p = q.lastProgress
+            out[q.name or str(q.id)] = {"active": q.isActive, "failed": q.exception() is not None, "ready": p is not None, "batch": p.batchId if p else None, "rows_per_sec": p.processedRowsPerSecond if p else None}
+        return out
+
 
 def evaluate_stream(requests: DataFrame, settings: Settings, out: str, client: Callable[[], object] = OfflineJudge, more: Iterable[Evaluator] = (), trigger: dict | None = None) -> Topology:
     """requests: a stream of JSON export requests (`value`), or of spans as the sources give them. Tables are written under `out`: interactions,
