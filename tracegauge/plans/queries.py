@@ -163,8 +163,8 @@ def brand_sql() -> str:
     return f"case{rules} end"
 
 
-@query(r"""with m as (select doc_id, regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '([^0-9-])', '\1\1', 'g'), '(?:^|[^0-9-])([0-9](?:(?:--|  )?[0-9]){12,})', 1)), '[^0-9]', '', 'g') as d from documents),
-s as (select doc_id, d, list_sum(list_transform(range(1, length(d) + 1), lambda i: case when (length(d) - i) % 2 = 0 then d[i]::int when d[i]::int * 2 > 9 then d[i]::int * 2 - 9 else d[i]::int * 2 end)) as total from m where length(d) <= 19)
+@query(r"""with m as (select doc_id, regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '([^0-9-])', '\1\1', 'g'), '(?:^|[^0-9-])([0-9](?:(?:-|  )?[0-9]){12,18})(?:[^0-9]|$)', 1)), '[^0-9]', '', 'g') as d from documents),
+s as (select doc_id, d, list_sum(list_transform(range(1, length(d) + 1), lambda i: case when (length(d) - i) % 2 = 0 then d[i]::int when d[i]::int * 2 > 9 then d[i]::int * 2 - 9 else d[i]::int * 2 end)) as total from m)
 select doc_id, {brand} as brand, count(*) as cards from s where total % 10 = 0 and {brand} is not null group by all""".replace("{brand}", brand_sql()))
 def card_findings(spark, sf_dir):
     """Valid card numbers of all brands in whole documents, by brand."""
