@@ -2,8 +2,9 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from tracegauge.llm import neardup
+from tracegauge.llm import common, neardup
 from tracegauge.llm.neardup import near_duplicates, samples, shingles
 
 
@@ -36,9 +37,10 @@ def run(spark, rows, **more):
     return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, **more).collect()), key=repr)
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK, 16])
-def test_planted(spark, block, monkeypatch):
+@pytest.mark.parametrize("block, few", [(neardup.BLOCK, common.FEW), (16, 1)])
+def test_planted(spark, block, few, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(common, "FEW", few)  # with 1, all that several rows share is dealt over tasks
     rng = random.Random(7)
     rows, vocabulary = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one "), (6, "a b"), (7, "A\tb"), (8, "b a"), (None, "a b"), (9, "x y z"), (10, "É é"), (11, "é é")], [f"w{i}" for i in range(400)]
     base = [rng.choice(vocabulary) for _ in range(120)]
@@ -71,3 +73,14 @@ def test_samples_estimate_similarity():
     x, y = (shingles(" ".join(w).encode(), 1) for w in (a[:800], a[100:]))
     s = samples([x, y])
     assert abs((s[0] == s[1]).mean() - 700 / 900) < 0.08
+
+
+def test_crowded_keys_are_dealt(spark):
+    rows = spark.range(3000).select((F.col("id") % 100 * (F.col("id") % 3 > 0).cast("int")).alias("k"), "id")
+    rows = rows.unionByName(spark.createDataFrame([(None, 1)], "k long, id long"))
+    side = spark.createDataFrame([(k, k % 7) for k in range(0, 90)] + [(0, 8)], "k long, x long")
+    counts = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    hot = common.crowded(counts, "k", 3000)
+    assert [(r.k, r.parts) for r in hot.collect()] == [(0, -(-rows.where("k = 0").count() // common.FEW))]
+    got = common.dealt_join(rows, side, "k", "id", hot)
+    assert got.columns == ["k", "id", "x"] and sorted(got.collect()) == sorted(rows.join(side, "k").collect())

@@ -82,6 +82,27 @@ def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return clear.select(rows.columns).unionByName(rest.select(rows.columns))
 
 
+#: A key is crowded with more than one in SHARE of all rows, and more than FEW: there are no more than SHARE such keys.
+SHARE, FEW = 1024, 64
+
+
+def crowded(counts: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key, parts) of the crowded keys of counts (key, n), and the number of parts into which to deal their rows; rows: the sum of n.
+    At most SHARE keys, so that it can be broadcast whatever the input."""
+    most = max(FEW, rows // SHARE)
+    return counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """rows joined with side on key. The rows of keys in hot (`crowded`) are dealt over tasks by the hash of `by`, and what side has for such
+    a key goes to each of its parts: 2 * SHARE copies at most for each row that side has for a key."""
+    hot = F.broadcast(hot.withColumnRenamed("parts", "_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    right = side.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def words(text: bytes | None) -> list[bytes]:
     """UTF-8 words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased: bytes.lower and bytes.split know ASCII only."""
     return text.lower().split() if text else []

@@ -9,6 +9,8 @@
 4. Components of these links. Buckets that still hold nodes of several components are compared in blocks of bounded size:
    sketch against sketch, then full sets. No bucket is capped and no pair is left out that could add a link between
    components; pairs within a component are not compared, and only links that join components are listed.
+
+Rows of a crowded bucket, centre or node are dealt over many tasks wherever they are joined (`common.dealt_join`).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOOKUP, fresh, groups, materialize, mix, prepare, without, words
+from .common import LOOKUP, crowded, dealt_join, fresh, groups, materialize, mix, prepare, without, words
 
 ROWS, BANDS, BITS = 6, 50, 1024
 SAMPLES = ROWS * BANDS
@@ -120,9 +122,9 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return some.join(ids, "doc_id", "left_semi")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int, hot: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Only texts of documents in pairs
-    are moved; the text of a, once for each of its partners, is about as long as the partner's."""
+    are moved; the text of a, once for each of its partners, is about as long as the partner's. hot: the a of very many pairs."""
     need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = materialize(only(documents, need), "texts")
 
@@ -141,26 +143,27 @@ def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -
 
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+    return dealt_join(pairs.select("a", "b").join(right, "b"), left, "a", "b", hot).sortWithinPartitions("a").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes in links (a, b): the smallest node that is reachable. Large-star and small-star
-    rounds; each round's edges are a table in the shared folder, and no node's neighbours are collected."""
+    rounds; each round's edges are a table in the shared folder, and no node's neighbours are collected or meet in one task."""
     edges = links.select("a", "b").where("a != b")
-    before = None
+    before, n = None, edges.count()
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = dealt_join(both.where("b > a"), least.drop("n"), "a", "b", crowded(least, "a", 2 * n)).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = down.join(down.groupBy("a").agg(F.min("b").alias("m")), "a")
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = dealt_join(down, least.drop("n"), "a", "b", crowded(least, "a", 2 * n))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         edges = materialize(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
@@ -273,10 +276,13 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     nodes = materialize(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("odd").alias("odd")), "nodes")
     # buckets of two sets or more; a set stands by half of its fingerprint until few rows are left
     rows = some.select("set_a", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("key").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where("lo < hi").select("key")
-    members = rows.join(shared, "key").distinct().join(nodes.select("set_a", "node"), "set_a").select("key", "band", "node")
+    # a row of `some` stands in BANDS buckets
+    n_rows = BANDS * some.count()
+    shared = materialize(rows.groupBy("key").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"), "buckets")
+    members = dealt_join(rows, shared.select("key"), "key", "set_a", crowded(shared, "key", n_rows)).distinct().join(nodes.select("set_a", "node"), "set_a").select("key", "band", "node")
     members = materialize(members, "shared")
-    members = materialize(members.join(members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("a")), "key"), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"))
+    members = materialize(dealt_join(members, sizes.withColumnRenamed("n", "size"), "key", "node", crowded(sizes, "key", members.count())), "members")
     info = nodes.select("node", "n_shingles", "odd")
     side = lambda x: info.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
     cut = percent / 100 - MARGIN
@@ -291,9 +297,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
         return pd.Series([np.asarray(x, np.int64).astype(np.uint32).tobytes() for x in bands])
 
     ratio = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    first = members.where("a != node").select("a", F.col("node").alias("b")).distinct()
-    first = first.join(side("b"), "b").join(side("a"), "a").where(ratio).where(estimate("odd_a", "odd_b") >= cut).select("a", "b").distinct()
-    links = materialize(confirmed(materialize(first, "pairs"), docs, size, percent), "links")
+    first = materialize(members.where("a != node").select("a", F.col("node").alias("b")).distinct(), "first")
+    hot = crowded(first.groupBy("a").agg(F.count("*").alias("n")), "a", first.count())
+    first = dealt_join(first.join(side("b"), "b"), side("a"), "a", "b", hot).where(ratio).where(estimate("odd_a", "odd_b") >= cut).select("a", "b").distinct()
+    links = materialize(confirmed(materialize(first, "pairs"), docs, size, percent, hot), "links")
     found = materialize(components(links), "components")
 
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
