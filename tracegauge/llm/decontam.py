@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, prepare, without
+from .common import crowded, dealt_join, materialize, mix, prepare, without
 
 #: Masks of five words each; items of fewer words have one seed, of all their words.
 MASKS = ("11111", "1101011", "1011101", "11010101")
@@ -163,7 +163,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = binary(documents, "doc_id").withColumn("row", F.xxhash64("doc_id", "text"))
     docs = docs.mapInArrow(hits, "row long, doc_id long, words array<long>, hits array<struct<h:long,p:int>>").dropDuplicates(["row"])
     docs = materialize(docs, "hits")
-    near = docs.select("row", F.explode("hits").alias("x")).select("row", "x.h", "x.p").join(hashed, "h")
+    each = docs.select("row", F.explode("hits").alias("x")).select("row", "x.h", "x.p")
+    # a phrase that very many documents share with an item is dealt over tasks
+    seen = materialize(each.groupBy("h").agg(F.count("*").alias("n")), "seeds")
+    near = dealt_join(each, hashed, "h", "row", crowded(seen, "h", seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     near = near.select("row", "item", (F.col("p") - F.col("t")).alias("diagonal")).distinct()
     # the document's words that lie along the item, and the item's that lie along the document
     pairs = near.join(docs.select("row", "doc_id", F.col("words").alias("doc_words")), "row").join(items.select("item", "item_id", "words"), "item")
