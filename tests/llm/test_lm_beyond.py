@@ -22,11 +22,11 @@ def length(w):
 def brute(rows, head, rest):
     """log10 P of each text. head, rest: the classes of the head's words and of the others that have one."""
     cls = head | rest
-    before, of = (lambda w: head[w] if w in head else length(w)), (lambda w: cls[w] if w in cls else length(w))
+    of = lambda w: cls[w] if w in cls else length(w)
     train = [ws(t) for i, t in rows if crc32(str(i).encode()) % 5 != 1]
     c = Counter(w for t in train for w in t)
     assert {w for w in c if c[w] > 1} == set(cls)
-    two = Counter(p for t in train for p in zip(["end", *map(before, t)], [*map(of, t), "end"], strict=True))
+    two = Counter(p for t in train for p in zip(["end", *map(of, t)], [*map(of, t), "end"], strict=True))
     kinds = len(set(head.values())) + lm.TAILS + 1
     of_class, rare = Counter(), Counter()
     for w, n in c.items():
@@ -41,7 +41,7 @@ def brute(rows, head, rest):
 
     def text(t):
         t = ws(t)
-        out = sum(step(a, b) for a, b in zip(["end", *map(before, t)], [*map(of, t), "end"], strict=True))
+        out = sum(step(a, b) for a, b in zip(["end", *map(of, t)], [*map(of, t), "end"], strict=True))
         return out + sum(math.log10(c[w] / of_class[of(w)] if w in cls else (c[w] + lm.DELTA) / (of_class[of(w)] + lm.DELTA * (rare[of(w)] + 1))) for w in t)
 
     return {i: text(t) for i, t in rows}
@@ -76,13 +76,11 @@ def test_probabilities_add_up(spark, sf_dir, monkeypatch):
     rest = lm.beyond(docs, m, 2).cache()
     m = lm.refit(m, rest, head)
     assert rest.count() + len(head) == counts.count() and rest.join(counts, "word").where(rest.c != counts.c).count() == 0
-    cells = {(b, k): (10**step, plus, room) for b, k, step, plus, room in m.cells()}
     for b in range(len(m.g)):
         p = 10 ** m.step[b, m.end_class] + sum(10 ** (m.step[b, m.cls[i]] + m.emit[i]) for i in m.words.values())
         for r in rest.collect():
-            step, plus, room = cells[b, r["class"]]
-            p += step * (r.c + plus) / room
-        p += sum(step * plus / room for step, plus, room in (cells[b, m.n + t] for t in range(lm.TAILS)))
+            p += 10 ** m.step[b, r["class"]] * (r.c + m.plus[r["class"]]) / m.room[r["class"]]
+        p += sum(10 ** m.step[b, k] * m.plus[k] / m.room[k] for k in range(m.n, m.n + lm.TAILS))
         assert p == pytest.approx(1)
 
 

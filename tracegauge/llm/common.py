@@ -93,14 +93,14 @@ def crowded(counts: DataFrame, key: str, rows: int) -> DataFrame:
     return counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
 
 
-def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
-    """rows joined with side on key. The rows of keys in hot (`crowded`) are dealt over tasks by the hash of `by`, and what side has for such
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with side on key ("inner" or "left"). The rows of keys in hot (`crowded`) are dealt over tasks by the hash of `by`, and what side has for such
     a key goes to each of its parts: 2 * SHARE copies at most for each row that side has for a key."""
     hot = F.broadcast(hot.withColumnRenamed("parts", "_parts"))
     parts = F.coalesce("_parts", F.lit(1))
     left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
     right = side.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return left.join(right, [key, "_part"]).drop("_part")
+    return left.join(right, [key, "_part"], how).drop("_part")
 
 
 def words(text: bytes | None) -> list[bytes]:

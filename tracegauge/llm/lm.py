@@ -5,12 +5,12 @@ likelihood gains most. All further words of the head are then put, by the same g
 classes by a Spark pass; with `least`, so are all training words beyond the head that occur that often, by another pass whose
 outcome stays a table and grows with the vocabulary. All other words, which stand for unseen ones, are in classes by their length
 in bytes, and the end of a text is a class of its own. P(text) is the product of P(class | class before), smoothed with the
-classes' shares, and P(word | class), with room for words that training hasn't seen. As the class before, words beyond the head
-count by their length, so that a place needs its own word's class alone.
+classes' shares, and P(word | class), with room for words that training hasn't seen. Both classes of a transition are the words' own,
+however rare the words are.
 
-Word counts are a Spark aggregation and stay a table. At most the HEAD most frequent words are broadcast; the
-tokens that these don't cover are counted within their document, by the class before, and joined with the table. Both the model
-and the plain unigram score are sums over tokens, so the parts are added at the end.
+Word counts are a Spark aggregation and stay a table. At most the HEAD most frequent words are broadcast; with them texts
+become sequences of classes, a byte a token. The other words of a text, each once, are joined with the table, and their classes are
+put into the text's sequence. Transitions are counted, and texts scored, on these sequences.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, remainder, words
+from .common import crowded, dealt_join, materialize, prepare, remainder, words
 
 CLUSTERED, CLASSES, SWEEPS = 1000, 32, 6
 HEAD = 100_000
@@ -252,8 +253,7 @@ class Model:
         of words, the head's left out; more: by class, the tokens of words beyond the head."""
         k = len(g)
         self.g, self.n = g, classes.n
-        share = (g.sum(0) + 1) / (g.sum() + k)
-        self.step = np.log10((g + ALPHA * share) / (g.sum(1, keepdims=True) + ALPHA))
+        self.step = transitions(g)
         self.end_class = classes.end
         self.words = {w: i for i, (w, _) in enumerate(head)}
         c = np.array([c for _, c in head], float)
@@ -261,9 +261,13 @@ class Model:
         self.index, self.cls_end = self.words | {END: len(head)}, np.append(self.cls, classes.end)
         self.total, self.distinct = total, distinct
         self.unigram = self.plain(c)
-        self.room = {t: tails.get(t, (0, 0))[0] + DELTA * (tails.get(t, (0, 0))[1] + 1) for t in range(TAILS)}
         self.of_class = np.bincount(self.cls, c, k) + more
         self.emit = np.log10(c) - np.log10(self.of_class[self.cls]) if head else c
+        # a word of count c beyond the head has P(word | class) = (c + plus[class]) / room[class]
+        self.plus = np.where(np.arange(k) < self.n, 0.0, DELTA)
+        self.room = self.of_class.copy()
+        self.room[self.n : self.end_class] = [t[0] + DELTA * (t[1] + 1) for t in (tails.get(t, (0, 0)) for t in range(TAILS))]
+        self.room = np.maximum(self.room, DELTA)
 
     def plain(self, c):
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -271,23 +275,26 @@ class Model:
     def symbols(self) -> Symbols:
         return Symbols({w: int(self.cls[i]) for w, i in self.words.items()}, self.n)
 
-    def scores(self, ws: list[bytes], end: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Counter]:
-        """Of each text among the flat words ws: tokens, known ones (its end too), unigram and model score of the places that the head
-        and the end cover; and the other words as (text, word, class before), in order."""
+    def read(self, ws: list[bytes], end: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]], list[int]]:
+        """Of each text among the flat words ws: tokens, known ones (its end too), and the unigram and emission scores of those that the head
+        and the end cover. Then the class of each token, by length where the head has none, the further words of each text with
+        their numbers in it, and these numbers at each place of such a word."""
         i, cls = looked_up(self.index, ws, self.cls_end, self.n)
         rest, ends = np.flatnonzero(i < 0), np.flatnonzero(i == len(self.cls))
         first, i = ends[:-1], i[1:]  # a text's tokens are those behind an end, up to the next one
-        steps = self.step[cls[:-1], cls[1:]] + np.append(self.emit, 0.0)[i]
+        emit = np.append(self.emit, 0.0)[i]
         base = np.append(self.unigram, end)[i]
-        steps[rest - 1] = base[rest - 1] = 0.0
+        emit[rest - 1] = base[rest - 1] = 0.0
         add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, x.dtype)
-        tail = Counter(zip((np.searchsorted(ends, rest) - 1).tolist(), map(ws.__getitem__, rest.tolist()), cls[rest - 1].tolist(), strict=True))
-        return np.diff(ends), add((i >= 0).astype(np.int64)), add(base), add(steps), tail
+        further: list[dict[bytes, int]] = [{} for _ in first]
+        which = [(of := further[t]).setdefault(ws[at], len(of)) for t, at in zip((np.searchsorted(ends, rest) - 1).tolist(), rest.tolist(), strict=True)]
+        return np.diff(ends), add((i >= 0).astype(np.int64)), add(base), add(emit), cls[1:], further, which
 
-    def cells(self) -> list[tuple[int, int, float, float, float]]:
-        """(before, class, step, plus, room): a word of count c after the class `before` has log10 P = step + log10((c + plus) / room)."""
-        room = [*self.of_class[: self.n].tolist(), *(self.room[t] for t in range(TAILS))]
-        return [(b, k, float(self.step[b, k]), DELTA if k >= self.n else 0.0, max(float(r), DELTA)) for b in range(len(self.g)) for k, r in enumerate(room)]
+
+def transitions(g: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before) by counts g, smoothed with the classes' shares."""
+    share = (g.sum(0) + 1) / (g.sum() + len(g))
+    return np.log10((g + ALPHA * share) / (g.sum(1, keepdims=True) + ALPHA))
 
 
 def fit(train: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]], total: int, distinct: int) -> Model:
@@ -314,9 +321,9 @@ def fit(train: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]], tota
 
 
 def beyond(train: DataFrame, model: Model, least: int) -> DataFrame:
-    """(word, c, class, x) of each training word that isn't in the head. Words that occur `least` times or more are in the class that gains
-    most by their neighbours, others in that of their length. x: (key, n), how often each class stands before it (key) or, from
-    the number of classes on, behind it. A word's counts are no more than twice that number."""
+    """(word, c, class) of each training word that isn't in the head. Words that occur `least` times or more are in the class that gains
+    most by their neighbours, for which those beyond the head count by their length; others are in that of their own length. A word has
+    no more counts of neighbours than twice the number of classes."""
     size, n = len(model.g), model.n
     sent, g = train.sparkSession.sparkContext.broadcast(model.symbols()), model.g
 
@@ -343,28 +350,105 @@ def beyond(train: DataFrame, model: Model, least: int) -> DataFrame:
                 if n and often.any():
                     at = np.repeat(often, many)
                     cls[often] = gains(g, n, key[at], c[at].astype(float), many[often]).argmax(1)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(total, pa.int64()), pa.array(cls, pa.int32()), lists], ["word", "c", "class", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(total, pa.int64()), pa.array(cls, pa.int32())], ["word", "c", "class"])
 
     # moved once, by word: both groupings find their rows together
     moved = train.select("text").mapInArrow(around, "word binary, left int, right int, n long").repartition("word")
     each = moved.select("word", F.explode(F.array(F.col("left"), F.col("right") + size)).alias("key"), "n").groupBy("word", "key").agg(F.sum("n").alias("n"))
-    return each.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("x")).mapInArrow(best, "word binary, c long, class int, x array<struct<key:int,n:long>>")
+    return each.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("x")).mapInArrow(best, "word binary, c long, class int")
 
 
 def refit(model: Model, rest: DataFrame, head: list[tuple[bytes, int]]) -> Model:
-    """The model with the classes of the words beyond the head, as `beyond` gives them."""
-    size, n = len(model.g), model.n
-    g, more = model.g.copy(), np.zeros(size)
-    g[:, n : n + TAILS] = 0
-    for r in rest.select("class", F.explode("x").alias("x")).where(F.col("x.key") < size).groupBy("x.key", "class").agg(F.sum("x.n").alias("n")).collect():
-        g[r.key, r["class"]] += r.n
-    tails = {}
+    """The model whose classes have the words beyond the head too, as `beyond` gives them; its transitions are still to be counted."""
+    n = model.n
+    more, tails = np.zeros(len(model.g)), {}
     for r in rest.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         if r["class"] < n:
             more[r["class"]] = r.c
         else:
             tails[r["class"] - n] = (r.c, r.v)
-    return Model(g, model.symbols(), head, model.total, model.distinct, tails, more)
+    return Model(model.g, model.symbols(), head, model.total, model.distinct, tails, more)
+
+
+#: Of a text: its tokens, known ones, sums over tokens (unigram, emission), the tokens' classes, one byte each, the end's last.
+TEXT = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, classes binary"
+
+
+def classed(rows: DataFrame, model: Model, known_words: DataFrame, n_train: int) -> DataFrame:
+    """TEXT of each of rows (doc_id, held_out, text). Words beyond the head are moved once for each text that has them and joined with known_words
+    (word, c, class); without a class there, they keep that of their length. A word of very many texts is dealt over tasks."""
+    spark = rows.sparkSession
+    end = float(model.plain(float(n_train)))
+    known = spark.sparkContext.broadcast(model)
+    n, end_class = model.n, model.end_class
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, n_known, base, emit, cls, further, which = known.value.read(flat_words(batch), end)
+            stop = np.cumsum(tokens)
+            raw = cls.astype(np.uint8).tobytes()
+            sums = np.concatenate([[0], np.cumsum((cls >= n) & (cls < end_class))])[np.concatenate([[0], stop])]
+            ws = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, further)]), pa.int32()), pa.array([w for f in further for w in f], pa.binary()))
+            at = pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pa.array(which, pa.int32()))
+            each = [raw[a:b] for a, b in zip((stop - tokens).tolist(), stop.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, (tokens, n_known - (n_train == 0), base, emit)), pa.array(each, pa.binary()), ws, at], [*names, "words", "at"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = known.value
+            cls = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8).copy()
+            tokens = batch.column("n_tokens").to_numpy()
+            found = batch.column("x")
+            size = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = found.flatten()
+            field = lambda name, none: pc.fill_null(flat.field(name), none).to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.cumsum(size) - size
+            place = np.repeat(start, size) + field("k", 0)
+            c, own = np.zeros((2, len(place)), np.int64)
+            c[place], own[place] = field("c", 0), field("class", -1)
+            # places of words beyond the head, by text, and their words
+            at = np.flatnonzero((cls >= n) & (cls < end_class))
+            text = np.repeat(np.arange(len(tokens)), tokens)[at]
+            word = start[text] + batch.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            cls[at] = np.where(own[word] < 0, cls[at], own[word])
+            add = lambda name, x: pa.array(batch.column(name).to_numpy() + np.bincount(text, x, len(tokens)).astype(x.dtype))
+            sums = [add("n_known", (c[word] > 0).astype(np.int64)), add("base_score", m.plain(c[word])), add("score", np.log10((c[word] + m.plus[cls[at]]) / m.room[cls[at]]))]
+            stop, raw = np.cumsum(tokens), cls.tobytes()
+            each = [raw[a:b] for a, b in zip((stop - tokens).tolist(), stop.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names[:4]), *sums, pa.array(each, pa.binary())], names)
+
+    names = [x.split()[0] for x in TEXT.split(", ")]
+    texts = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(read, f"{TEXT}, words array<binary>, at array<int>")
+    texts = materialize(texts, "read")
+    moved = texts.select("row", F.posexplode("words").alias("k", "word"))
+    n_moved = texts.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    hot = crowded(moved.groupBy("word").agg(F.count("*").alias("n")), "word", n_moved)
+    placed = dealt_join(moved, known_words.select("word", "c", "class"), "word", "row", hot, "left")
+    placed = placed.groupBy("row").agg(F.collect_list(F.struct("k", "c", "class")).alias("x"))
+    return texts.drop("words").join(placed, "row", "left").mapInArrow(put, TEXT)
+
+
+def bigrams(texts: DataFrame, classes: int, end: int) -> np.ndarray:
+    """Counts of neighbouring classes in texts (classes); each begins after an end. The square of the classes' number at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            before, cls = steps(batch, end)
+            g += np.bincount(before * classes + cls, minlength=len(g))
+        code = np.flatnonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(g[code], pa.int64())], ["code", "n"])
+
+    out = np.zeros(classes * classes)
+    for r in texts.select("classes").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[r.code] = r.n
+    return out.reshape(classes, classes)
+
+
+def steps(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all tokens, and those before them. A text's last one is the end, which is before the next text's first."""
+    cls = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8).astype(np.int64)
+    return np.concatenate([[end], cls[:-1]]) if len(cls) else cls, cls
 
 
 def language_model(documents: DataFrame, folds: int = 5, held: int = 1, least: int | None = None) -> DataFrame:
@@ -390,27 +474,16 @@ def language_model(documents: DataFrame, folds: int = 5, held: int = 1, least: i
     if least:
         known_words = materialize(beyond(train, model, least), "classes")
         model = refit(model, known_words, head)
-    end = float(model.plain(float(n_train)))
-    known = spark.sparkContext.broadcast(model)
+    texts = materialize(classed(rows, model, known_words, n_train), "classed")
+    end = model.end_class
+    step = transitions(bigrams(texts.where("not held_out"), len(model.g), end))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, n, base, mine, tail = known.value.scores(flat_words(batch), end)
-            text, word, before = zip(*tail, strict=True) if tail else ((), (), ())
-            each = pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(before, pa.int32()), pa.array(tail.values(), pa.int64())], ["word", "before", "n"])
-            tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(tokens) + 1)), pa.int32()), each)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, (tokens, n - (n_train == 0), base, mine)), tails], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
-
-    scored = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word:binary,before:int,n:long>>")
-    scored = materialize(scored, "scored")
-    tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.word", "x.before", "x.n").join(known_words.select("word", "c", "class"), "word", "left")
-    tail = tail.withColumns({"c": F.coalesce("c", F.lit(0)), "class": F.coalesce("class", model.n + length_class(F.length("word")))})
-    # a row for each two classes
-    cells = spark.createDataFrame(model.cells(), "before int, class int, step double, plus double, room double")
-    tail = tail.join(F.broadcast(cells), ["before", "class"])
-    c, n = F.col("c"), F.col("n")
-    tail = tail.select("row", F.when(c > 0, n).otherwise(0).alias("known"), (n * F.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))).alias("base"), (n * (F.col("step") + F.log10((c + F.col("plus")) / F.col("room")))).alias("mine"))
-    tail = tail.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("mine").alias("mine"))
-    out = scored.drop("tail").join(tail, "row", "left")
-    plus = lambda a, b, zero: F.col(a) + F.coalesce(F.col(b), zero)
-    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "known", F.lit(0)).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), plus("base_score", "base", F.lit(0.0)).alias("base_score"), plus("score", "mine", F.lit(0.0)).alias("score"))
+            tokens = batch.column("n_tokens").to_numpy()
+            score = batch.column("score").to_numpy()
+            if len(tokens):
+                score = score + np.add.reduceat(step[steps(batch, end)], np.cumsum(tokens) - tokens)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(tokens), int(total))), batch.column("base_score"), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return texts.mapInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
