@@ -84,3 +84,20 @@ def test_crowded_keys_are_dealt(spark):
     assert [(r.k, r.parts) for r in hot.collect()] == [(0, -(-rows.where("k = 0").count() // common.FEW))]
     got = common.dealt_join(rows, side, "k", "id", hot)
     assert got.columns == ["k", "id", "x"] and sorted(got.collect()) == sorted(rows.join(side, "k").collect())
+
+
+@pytest.mark.parametrize("piece, few, most", [(neardup.PIECE, common.FEW, 1), (40, 1, 99)])
+def test_components_take_few_plans(spark, piece, few, most, monkeypatch):
+    """Chains, stars and their mixtures; each round is a plan of many joins, which the driver keeps: links that fit a piece need none."""
+    monkeypatch.setattr(neardup, "PIECE", piece)
+    monkeypatch.setattr(common, "FEW", few)
+    rng, rounds = random.Random(3), []
+    write = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: rounds.append(name) or write(df, name))
+    chain = rng.sample(range(1000), 200)
+    links = [*zip(chain, chain[1:], strict=False), *((2000, 2001 + i) for i in range(150)), (2100, 5000), (5000, 5001), (7, 7), (9000, 8000), (9000, 8000)]
+    rng.shuffle(links)
+    want = {i: min(chain) for i in chain} | {i: 2000 for i in (*range(2000, 2151), 5000, 5001)} | {8000: 8000, 9000: 8000}
+    got = neardup.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted(want.items()) and len(rounds) <= most and (most == 1 or len(rounds) > 1)
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -6,7 +6,7 @@
    samples make buckets. A pair at the threshold of 0.8 shares no bucket with probability (1 - 0.8^6)^50 = 2.5e-7.
 2. Documents with equal sets are one node from here on.
 3. In each bucket every node is compared with the bucket's smallest only: odd sketches first, then the full sets.
-4. Components of these links. Buckets that still hold nodes of several components are compared in blocks of bounded size:
+4. Components of these links: tasks contract pieces of bounded size, and star rounds join the pieces. Buckets that still hold nodes of several components are compared in blocks of bounded size:
    sketch against sketch, then full sets. No bucket is capped and no pair is left out that could add a link between
    components; pairs within a component are not compared, and only links that join components are listed.
 
@@ -32,6 +32,8 @@ SAMPLES = ROWS * BANDS
 MARGIN = 0.17
 #: Nodes in a block (sketches alone are compared within and between blocks, so blocks may be large); cells of a matrix in one comparison.
 BLOCK, CELLS = 2048, 1 << 23
+#: Links that one task contracts.
+PIECE = 1 << 16
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -146,12 +148,47 @@ def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int, h
     return dealt_join(pairs.select("a", "b").join(right, "b"), left, "a", "b", hot).sortWithinPartitions("a").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
 
 
+def contracted(edges: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) with the components of edges (a, b), n of them, dealt evenly in pieces of about PIECE: each node of a piece, but the
+    smallest, is linked with the smallest that it reaches within the piece."""
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                if (x := top(x)) != (y := top(y)):
+                    up[max(x, y)] = min(x, y)
+        pairs = [(x, y) for x in list(up) if (y := top(x)) != x]
+        for i in range(0, len(pairs), BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs[i : i + BLOCK], strict=True)], ["a", "b"])
+
+    return edges.repartition(1 + n // PIECE).mapInArrow(span, "a long, b long").distinct()
+
+
+def stars(edges: DataFrame) -> tuple[bool, int]:
+    """Whether edges (a, b) are stars, every node but the centres linked with one centre alone; and their number."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child")))
+    each = ends.groupBy("node").agg(F.sum("child").alias("child"), F.min("child").alias("least"))
+    odd, n = each.agg(F.coalesce(F.max((F.col("child") > 1) | (F.col("child") > 0) & (F.col("least") == 0)), F.lit(False)), F.coalesce(F.sum("child"), F.lit(0))).first()
+    return not odd, n
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes in links (a, b): the smallest node that is reachable. Large-star and small-star
-    rounds; each round's edges are a table in the shared folder, and no node's neighbours are collected or meet in one task."""
+    """(node, component) of all nodes in links (a, b): the smallest node that is reachable. Pieces of bounded size are contracted, then large-star
+    and small-star rounds join what lies in several; each round's edges are a table in the shared folder, and no node's neighbours are collected
+    or meet in one task."""
     edges = links.select("a", "b").where("a != b")
-    before, n = None, edges.count()
+    edges = materialize(contracted(edges, edges.count()), "edges")
     while True:
+        done, n = stars(edges)
+        if done:
+            break
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         large = dealt_join(both.where("b > a"), least.drop("n"), "a", "b", crowded(least, "a", 2 * n)).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -159,12 +196,8 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = dealt_join(down, least.drop("n"), "a", "b", crowded(least, "a", 2 * n))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        edges = materialize(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before, n = now, now[0]
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        edges = materialize(contracted(small, n), "edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def common_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
