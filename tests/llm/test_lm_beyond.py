@@ -107,3 +107,31 @@ def test_odd_rows(spark):
     assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 4)) for r in out) == sorted((repr(i), *want[i, t][:2], round(want[i, t][2], 4)) for i, t in rows)
     assert all(math.isfinite(r.score) and r.train_tokens == n for r in out)
     assert language_model(df.limit(0), least=2).count() == 0
+
+
+def test_texts_are_read_three_times_alone(spark, monkeypatch):
+    """To count words and rows, and to number the words: all later passes read the numbers."""
+    monkeypatch.setattr(lm, "CLUSTERED", 20)
+    monkeypatch.setattr(lm, "HEAD", 60)
+    seen = spark.sparkContext.accumulator(0)
+
+    def reading(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(40))) for i in range(50)], "doc_id long, text string").mapInPandas(reading, "doc_id long, text string")
+    assert language_model(docs, least=2).count() == 50 and seen.value <= 3 * 50
+
+
+def test_numbers(spark):
+    """Numbers beyond two bytes, words that repeat, and texts without a word."""
+    rows = [(i, t) for i, t in enumerate(["a b A c", "", None, "b c x yy y" * 3, "x a zzzz" * 400])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "cast(coalesce(text, '') as binary) as text")
+    head = [f"h{i}".encode() for i in range(70_000)] + [b"a", b"b"]
+    for r in lm.numbered(docs, head).collect():
+        i = [a | b << 16 for a, b in zip(memoryview(bytes(r.low)).cast("H"), r.high, strict=True)]
+        want = ws(dict(rows)[r.doc_id])
+        at = iter(r["at"])
+        assert [head[k] if k < len(head) else bytes(r.words[next(at)]) for k in i[:-1]] == want and i[-1] == len(head) + lm.TAILS
+        assert len(set(r.words)) == len(r.words)

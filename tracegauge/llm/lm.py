@@ -9,8 +9,9 @@ classes' shares, and P(word | class), with room for words that training hasn't s
 however rare the words are.
 
 Word counts are a Spark aggregation and stay a table. At most the HEAD most frequent words are broadcast; with them texts
-become sequences of classes, a byte a token. The other words of a text, each once, are joined with the table, and their classes are
-put into the text's sequence. Transitions are counted, and texts scored, on these sequences.
+become, once, a table of numbers (three bytes a token) and of their other words, each once a text. All passes but the counting of words
+read that table. The other words are joined with the table of words, and their classes are put into the text's sequence of classes.
+Transitions are counted, and texts scored, on these sequences.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ LENGTHS = (3, 5, 7, 9, 12, 16, 22)
 #: Weight of the classes' shares in transitions; count of an unseen word.
 ALPHA, DELTA = 20.0, 0.5
 FLUSH = 200_000
-#: Codes that are added up at a time.
-RUN = 2_000_000
+#: Codes that are added up at a time; words whose counts of neighbours are moved together.
+RUN, WORDS = 2_000_000, 128
 TAILS = len(LENGTHS) + 1
 
 
@@ -124,37 +125,73 @@ class Symbols:
     def of(self, ws: list[bytes]) -> np.ndarray:
         return looked_up(self.with_end, ws, np.arange(self.end + 1), self.n)[1]
 
+    def by_number(self, head: list[bytes]) -> np.ndarray:
+        """The symbol of each number that `numbered` gives."""
+        return np.concatenate([self.of([*head]), np.arange(self.n, self.end + 1)]).astype(np.int64)
 
-def coded(documents: DataFrame, codes) -> DataFrame:
-    """(code, n): how often codes(flat words of a batch) gives each code. RUN codes or more are added up at a time."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+def numbered(documents: DataFrame, head: list[bytes]) -> DataFrame:
+    """documents with low and high instead of text, the numbers of its tokens: of head's words their places, then length classes, then
+    the end, which each text has last. Two bytes of each in low, the third in high, which is mostly 0. words: the text's words beyond the head, each once; at:
+    which of them stands at each place of such a word."""
+    n = len(head)
+    sent = documents.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head)} | {END: n + TAILS})
+    others = [c for c in documents.columns if c != "text"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol = np.arange(n + TAILS + 1)
         for batch in batches:
-            held.append(codes(flat_words(batch)))
-            if sum(map(len, held)) >= RUN:
-                yield added(held)
-                held = []
-        if held:
-            yield added(held)
+            ws = flat_words(batch)[1:]
+            i, x = looked_up(sent.value, ws, symbol, n)
+            rest, stop = np.flatnonzero(i < 0), np.flatnonzero(i == n + TAILS) + 1
+            further: list[dict[bytes, int]] = [{} for _ in stop]
+            text = np.searchsorted(stop, rest, side="right")
+            which = [(of := further[t]).setdefault(ws[at], len(of)) for t, at in zip(text.tolist(), rest.tolist(), strict=True)]
+            low, high = x.astype("<u2").tobytes(), (x >> 16).astype(np.uint8).tobytes()
+            ends = [0, *stop.tolist()]
+            words_ = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, further)]), pa.int32()), pa.array([w for f in further for w in f], pa.binary()))
+            at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(stop)))]), pa.int32()), pa.array(which, pa.int32()))
+            lows, highs = ([v[k * a : k * b] for a, b in zip(ends, ends[1:], strict=False)] for k, v in ((2, low), (1, high)))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(lows, pa.binary()), pa.array(highs, pa.binary()), words_, at], [*others, "low", "high", "words", "at"])
+
+    kinds = [f"{c} {documents.schema[c].dataType.simpleString()}" for c in others]
+    return documents.select(*others, "text").mapInArrow(number, ", ".join([*kinds, "low binary, high binary, words array<binary>, at array<int>"]))
+
 
-    def added(held: list[np.ndarray]) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+def in_numbers(documents: DataFrame, head: list[bytes]) -> DataFrame:
+    """documents as `numbered` gives them, if they aren't yet."""
+    return documents if "low" in documents.columns else numbered(documents, head)
 
-    return documents.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
+def numbers(batch: pa.RecordBatch) -> np.ndarray:
+    """The numbers of all tokens of a batch."""
+    low, high = (b"".join(batch.column(c).to_pylist()) for c in ("low", "high"))
+    return np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 16
 
-def pairs(documents: DataFrame, symbols: Symbols) -> np.ndarray:
-    """Counts of neighbouring symbols; a text begins after, and stops with, an end. The square of the symbols' number, at most."""
-    size = symbols.end + 1
-    known = documents.sparkSession.sparkContext.broadcast(symbols)
 
-    def codes(ws: list[bytes]) -> np.ndarray:
-        x = known.value.of(ws)
-        return x[:-1] * size + x[1:]
+def further_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place of a word beyond the head its text, and which of all the words of the batch it has."""
+    size = lambda c: pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64)
+    many = size("words")
+    text = np.repeat(np.arange(len(batch)), size("at"))
+    return text, (np.cumsum(many) - many)[text] + batch.column("at").flatten().to_numpy(zero_copy_only=False)
+
+
+def pairs(documents: DataFrame, symbols: Symbols, head: list[bytes] | None = None) -> np.ndarray:
+    """Counts of neighbouring symbols; a text begins after, and stops with, an end. The square of the symbols' number, at most. documents:
+    texts, or what `numbered` makes of them with head."""
+    head = [*symbols.known] if head is None else head
+    size, of = symbols.end + 1, documents.sparkSession.sparkContext.broadcast(symbols.by_number(head))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros(size * size, np.int64)
+        for batch in batches:
+            x = np.append(size - 1, of.value[numbers(batch)])
+            g += np.bincount(x[:-1] * size + x[1:], minlength=len(g))
+        code = np.flatnonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(g[code], pa.int64())], ["code", "n"])
 
-    got = coded(documents, codes).toPandas()
+    got = in_numbers(documents, head).select("low", "high").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size)
     out[got["code"].to_numpy(np.int64)] = got["n"].to_numpy(float)
     return out.reshape(size, size)
@@ -162,31 +199,56 @@ def pairs(documents: DataFrame, symbols: Symbols) -> np.ndarray:
 
 def further(documents: DataFrame, head: list[bytes], done: int, classes: Symbols, g: np.ndarray) -> dict[bytes, int]:
     """The classes of the head's words from `done` on: of those below classes.n the one that gains most by the word's neighbours,
-    as g counts the classes' bigrams. A word's counts are no more than twice the number of classes."""
-    size = classes.end + 1
-    length = np.searchsorted(LENGTHS, [len(w) for w in head], side="left")
-    symbol = np.array([*(classes.known[w] if i < done else classes.n + length[i] for i, w in enumerate(head)), classes.end], np.int64)
-    sent = documents.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate([*head, END])}, symbol))
+    as g counts the classes' bigrams. A word's counts are no more than twice the number of classes; those of WORDS words are moved together."""
+    size, n, classes_n = classes.end + 1, len(head), classes.n
+    of = documents.sparkSession.sparkContext.broadcast(classes.by_number(head))
+    block = WORDS * 2 * size
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = np.zeros((n - done) * 2 * size, np.int32), []
 
-    def codes(ws: list[bytes]) -> np.ndarray:
-        index, symbol = sent.value
-        i, x = looked_up(index, ws, symbol, classes_n)
-        at = np.flatnonzero((i >= done) & (i < len(symbol) - 1))
-        return np.concatenate([i[at] * 2 * size + x[at - 1], i[at] * 2 * size + size + x[at + 1]])
+        def add():
+            np.add(seen, np.bincount(np.concatenate(held), minlength=len(seen)), out=seen, casting="unsafe")
+            held.clear()
 
-    classes_n = classes.n
+        for batch in batches:
+            i = np.append(n + TAILS, numbers(batch))
+            x = of.value[i]
+            at = np.flatnonzero((i >= done) & (i < n))
+            code = (i[at] - done) * 2 * size
+            held += [code + x[at - 1], code + size + x[at + 1]]
+            if sum(map(len, held)) >= RUN:
+                add()
+        if held:
+            add()
+        code = np.flatnonzero(seen)
+        cuts = [0, *(np.flatnonzero(np.diff(code // block)) + 1).tolist(), len(code)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                k = code[a] // block
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(code[a:b] - k * block).astype("<u4").tobytes()], pa.binary()), pa.array([seen[code[a:b]].astype("<u4").tobytes()], pa.binary())], ["block", "code", "n"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, c = None, np.zeros(block)
+
+        def done_with() -> pa.RecordBatch:
+            at = np.flatnonzero(c)
+            word, many = np.unique(at // (2 * size), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(done + now * WORDS + word, pa.int32()), pa.array(gains(g, classes_n, at % (2 * size), c[at], many).argmax(1), pa.int32())], ["word", "class"])
+
         for batch in batches:
-            lists = batch.column("x")
-            n = np.array([len(x) for x in lists], np.int64)
-            flat = lists.flatten()
-            key, c = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "n"))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(gains(g, classes_n, key, c.astype(float), n).argmax(1) if len(n) else [], pa.int32())], ["word", "class"])
-
-    code = F.col("code")
-    each = coded(documents, codes).select(F.floor(code / (2 * size)).cast("int").alias("word"), F.struct((code % (2 * size)).alias("key"), "n").alias("x"))
-    got = each.groupBy("word").agg(F.collect_list("x").alias("x")).mapInArrow(best, "word int, class int").toPandas()
+            for k, code, many in zip(*(batch.column(x).to_pylist() for x in ("block", "code", "n")), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield done_with()
+                    now = k
+                    c[:] = 0
+                c[np.frombuffer(code, "<u4")] += np.frombuffer(many, "<u4")
+        if now is not None:
+            yield done_with()
+
+    each = in_numbers(documents, head).select("low", "high").mapInArrow(count, "block int, code binary, n binary")
+    got = each.repartition("block").sortWithinPartitions("block").mapInArrow(best, "word int, class int").toPandas()
     return {head[w]: int(c) for w, c in zip(got["word"], got["class"], strict=True)}
 
 
@@ -256,9 +318,9 @@ class Model:
         self.step = transitions(g)
         self.end_class = classes.end
         self.words = {w: i for i, (w, _) in enumerate(head)}
+        self.head = [w for w, _ in head]
         c = np.array([c for _, c in head], float)
         self.cls = classes.of([w for w, _ in head]) if head else np.empty(0, np.int64)
-        self.index, self.cls_end = self.words | {END: len(head)}, np.append(self.cls, classes.end)
         self.total, self.distinct = total, distinct
         self.unigram = self.plain(c)
         self.of_class = np.bincount(self.cls, c, k) + more
@@ -275,21 +337,6 @@ class Model:
     def symbols(self) -> Symbols:
         return Symbols({w: int(self.cls[i]) for w, i in self.words.items()}, self.n)
 
-    def read(self, ws: list[bytes], end: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]], list[int]]:
-        """Of each text among the flat words ws: tokens, known ones (its end too), and the unigram and emission scores of those that the head
-        and the end cover. Then the class of each token, by length where the head has none, the further words of each text with
-        their numbers in it, and these numbers at each place of such a word."""
-        i, cls = looked_up(self.index, ws, self.cls_end, self.n)
-        rest, ends = np.flatnonzero(i < 0), np.flatnonzero(i == len(self.cls))
-        first, i = ends[:-1], i[1:]  # a text's tokens are those behind an end, up to the next one
-        emit = np.append(self.emit, 0.0)[i]
-        base = np.append(self.unigram, end)[i]
-        emit[rest - 1] = base[rest - 1] = 0.0
-        add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, x.dtype)
-        further: list[dict[bytes, int]] = [{} for _ in first]
-        which = [(of := further[t]).setdefault(ws[at], len(of)) for t, at in zip((np.searchsorted(ends, rest) - 1).tolist(), rest.tolist(), strict=True)]
-        return np.diff(ends), add((i >= 0).astype(np.int64)), add(base), add(emit), cls[1:], further, which
-
 
 def transitions(g: np.ndarray) -> np.ndarray:
     """log10 P(class | class before) by counts g, smoothed with the classes' shares."""
@@ -298,11 +345,13 @@ def transitions(g: np.ndarray) -> np.ndarray:
 
 
 def fit(train: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]], total: int, distinct: int) -> Model:
-    """The model of training texts, whose words' counts (word, c) are known; head: the most frequent of them."""
+    """The model of training texts (or what `numbered` makes of them with head), whose words' counts (word, c) are known; head: the most
+    frequent of them."""
     listed = [w for w, _ in head]
+    train = in_numbers(train, listed)
     some = listed[:CLUSTERED]
     symbols = Symbols({w: i for i, w in enumerate(some)}, len(some))
-    b = pairs(train, symbols)
+    b = pairs(train, symbols, listed)
     cls = exchange(b, symbols.n)
     k = int(cls.max()) + 1
     one = np.zeros((len(b), k))
@@ -311,7 +360,7 @@ def fit(train: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]], tota
     classes = Symbols(dict(zip(some, cls[: symbols.n].tolist(), strict=True)), k - TAILS - 1)
     if len(listed) > len(some):
         classes = Symbols(classes.known | further(train, listed, len(some), classes, g), classes.n)
-        g = pairs(train, classes)
+        g = pairs(train, classes, listed)
     of = lambda n: int(np.searchsorted(LENGTHS, n, side="left"))
     tails = {r.t: [r.n, r.v] for r in counts.groupBy(length_class(F.length("word")).alias("t")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     for w, c in head:
@@ -324,38 +373,50 @@ def beyond(train: DataFrame, model: Model, least: int) -> DataFrame:
     """(word, c, class) of each training word that isn't in the head. Words that occur `least` times or more are in the class that gains
     most by their neighbours, for which those beyond the head count by their length; others are in that of their own length. A word has
     no more counts of neighbours than twice the number of classes."""
-    size, n = len(model.g), model.n
-    sent, g = train.sparkSession.sparkContext.broadcast(model.symbols()), model.g
+    size, n, g, end = len(model.g), model.n, model.g, len(model.head) + TAILS
+    of = train.sparkSession.sparkContext.broadcast(model.symbols().by_number(model.head))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ws = flat_words(batch)
-            x = sent.value.of(ws)
-            rest = np.flatnonzero((x >= n) & (x < size - 1))
-            seen = Counter(zip(map(ws.__getitem__, rest.tolist()), x[rest - 1].tolist(), x[rest + 1].tolist(), strict=True))
-            word, left, right = zip(*seen, strict=True) if seen else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(seen.values(), pa.int64())], ["word", "left", "right", "n"])
+            i = np.append(end, numbers(batch))
+            x = of.value[i]
+            rest = np.flatnonzero((i >= end - TAILS) & (i < end))
+            ws = batch.column("words").flatten().dictionary_encode()
+            word = ws.indices.to_numpy(zero_copy_only=False).astype(np.int64)[further_words(batch)[1]]
+            code, many = np.unique((word * size + x[rest - 1]) * size + x[rest + 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([ws.dictionary.take(pa.array(code // (size * size), pa.int64())), pa.array(code // size % size, pa.int32()), pa.array(code % size, pa.int32()), pa.array(many, pa.int64())], ["word", "left", "right", "n"])
+
+    def classes_of(ws: list[bytes], c: np.ndarray) -> pa.RecordBatch:
+        total, cls = c[:, :size].sum(1), n + np.searchsorted(LENGTHS, [*map(len, ws)], side="left")
+        often = total >= least
+        if n and often.any():
+            word, key = np.nonzero(c[often])
+            cls[often] = gains(g, n, key, c[often][word, key].astype(float), np.bincount(word)).argmax(1)
+        return pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.array(total, pa.int64()), pa.array(cls, pa.int32())], ["word", "c", "class"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ws, c = [], np.zeros((0, 2 * size), np.int64)  # the word that the next batch may go on with
         for batch in batches:
-            lists = batch.column("x")
-            many = np.array([len(x) for x in lists], np.int64)
-            flat = lists.flatten()
-            key, c = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "n"))
-            length = np.array([len(w) for w in batch.column("word").to_pylist()], np.int64)
-            total, cls = np.zeros(len(many), np.int64), n + np.searchsorted(LENGTHS, length, side="left")
-            if len(many):
-                total = np.add.reduceat(np.where(key < size, c, 0), np.cumsum([0, *many[:-1]]))
-                often = total >= least
-                if n and often.any():
-                    at = np.repeat(often, many)
-                    cls[often] = gains(g, n, key[at], c[at].astype(float), many[often]).argmax(1)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(total, pa.int64()), pa.array(cls, pa.int32())], ["word", "c", "class"])
-
-    # moved once, by word: both groupings find their rows together
-    moved = train.select("text").mapInArrow(around, "word binary, left int, right int, n long").repartition("word")
-    each = moved.select("word", F.explode(F.array(F.col("left"), F.col("right") + size)).alias("key"), "n").groupBy("word", "key").agg(F.sum("n").alias("n"))
-    return each.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("x")).mapInArrow(best, "word binary, c long, class int")
+            if not len(batch):
+                continue
+            left, right, many = (batch.column(k).to_numpy().astype(np.int64) for k in ("left", "right", "n"))
+            word = batch.column("word").dictionary_encode()
+            at = word.indices.to_numpy().astype(np.int64) * 2 * size
+            more = word.dictionary.to_pylist()
+            new = np.zeros((len(more), 2 * size), np.int64)
+            np.add.at(new.reshape(-1), np.concatenate([at + left, at + size + right]), np.concatenate([many, many]))
+            if ws and ws[-1] == more[0]:
+                new[0] += c[-1]
+            else:
+                more, new = ws + more, np.concatenate([c, new])
+            if len(more) > 1:
+                yield classes_of(more[:-1], new[:-1])
+            ws, c = more[-1:], new[-1:]
+        if ws:
+            yield classes_of(ws, c)
+
+    moved = in_numbers(train, model.head).select("low", "high", "words", "at").mapInArrow(around, "word binary, left int, right int, n long")
+    return moved.repartition("word").sortWithinPartitions("word").mapInArrow(best, "word binary, c long, class int")
 
 
 def refit(model: Model, rest: DataFrame, head: list[tuple[bytes, int]]) -> Model:
@@ -374,30 +435,25 @@ def refit(model: Model, rest: DataFrame, head: list[tuple[bytes, int]]) -> Model
 TEXT = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, classes binary"
 
 
-def classed(rows: DataFrame, model: Model, known_words: DataFrame, n_train: int) -> DataFrame:
-    """TEXT of each of rows (doc_id, held_out, text). Words beyond the head are moved once for each text that has them and joined with known_words
-    (word, c, class); without a class there, they keep that of their length. A word of very many texts is dealt over tasks."""
-    spark = rows.sparkSession
-    end = float(model.plain(float(n_train)))
-    known = spark.sparkContext.broadcast(model)
-    n, end_class = model.n, model.end_class
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, n_known, base, emit, cls, further, which = known.value.read(flat_words(batch), end)
-            stop = np.cumsum(tokens)
-            raw = cls.astype(np.uint8).tobytes()
-            sums = np.concatenate([[0], np.cumsum((cls >= n) & (cls < end_class))])[np.concatenate([[0], stop])]
-            ws = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, further)]), pa.int32()), pa.array([w for f in further for w in f], pa.binary()))
-            at = pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pa.array(which, pa.int32()))
-            each = [raw[a:b] for a, b in zip((stop - tokens).tolist(), stop.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, (tokens, n_known - (n_train == 0), base, emit)), pa.array(each, pa.binary()), ws, at], [*names, "words", "at"])
+def classed(texts: DataFrame, model: Model, known_words: DataFrame, n_train: int) -> DataFrame:
+    """TEXT of each of texts (row, doc_id, held_out, and what `numbered` gives). Words beyond the head are moved once for each text that has them
+    and joined with known_words (word, c, class); without a class there, they keep that of their length. A word of very many texts is dealt over tasks."""
+    spark = texts.sparkSession
+    head, end = len(model.head), float(model.plain(float(n_train)))
+    none = np.zeros(TAILS)
+    by_number = (model.symbols().by_number(model.head), np.concatenate([model.unigram, none, [end]]), np.concatenate([model.emit, none, [0.0]]))
+    sent = spark.sparkContext.broadcast((*by_number, model.plus, model.room, model.total, model.distinct))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, unigram, emit, plus, room, total, distinct = sent.value
         for batch in batches:
-            m = known.value
-            cls = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8).copy()
-            tokens = batch.column("n_tokens").to_numpy()
+            i = numbers(batch)
+            cls = of[i].astype(np.uint8)
+            stop = np.flatnonzero(i == head + TAILS) + 1
+            first = np.concatenate([[0], stop[:-1]]).astype(np.int64)
+            tokens = stop - first
+            over = lambda x: np.add.reduceat(x, first) if len(stop) else np.zeros(0, x.dtype)
+            known, base, score = over(((i < head) | (i == head + TAILS) & (n_train > 0)).astype(np.int64)), over(unigram[i]), over(emit[i])
             found = batch.column("x")
             size = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = found.flatten()
@@ -407,19 +463,18 @@ def classed(rows: DataFrame, model: Model, known_words: DataFrame, n_train: int)
             c, own = np.zeros((2, len(place)), np.int64)
             c[place], own[place] = field("c", 0), field("class", -1)
             # places of words beyond the head, by text, and their words
-            at = np.flatnonzero((cls >= n) & (cls < end_class))
+            at = np.flatnonzero((i >= head) & (i < head + TAILS))
             text = np.repeat(np.arange(len(tokens)), tokens)[at]
             word = start[text] + batch.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             cls[at] = np.where(own[word] < 0, cls[at], own[word])
-            add = lambda name, x: pa.array(batch.column(name).to_numpy() + np.bincount(text, x, len(tokens)).astype(x.dtype))
-            sums = [add("n_known", (c[word] > 0).astype(np.int64)), add("base_score", m.plain(c[word])), add("score", np.log10((c[word] + m.plus[cls[at]]) / m.room[cls[at]]))]
-            stop, raw = np.cumsum(tokens), cls.tobytes()
-            each = [raw[a:b] for a, b in zip((stop - tokens).tolist(), stop.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names[:4]), *sums, pa.array(each, pa.binary())], names)
+            add = lambda now, x: pa.array(now + np.bincount(text, x, len(tokens)).astype(now.dtype))
+            plain = np.log10((c[word] + 0.5) / (total + 0.5 * (distinct + 1)))
+            sums = [add(known, (c[word] > 0).astype(np.int64)), add(base, plain), add(score, np.log10((c[word] + plus[cls[at]]) / room[cls[at]]))]
+            raw = cls.tobytes()
+            each = [raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names[:3]), pa.array(tokens, pa.int64()), *sums, pa.array(each, pa.binary())], names)
 
     names = [x.split()[0] for x in TEXT.split(", ")]
-    texts = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(read, f"{TEXT}, words array<binary>, at array<int>")
-    texts = materialize(texts, "read")
     moved = texts.select("row", F.posexplode("words").alias("k", "word"))
     n_moved = texts.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     hot = crowded(moved.groupBy("word").agg(F.count("*").alias("n")), "word", n_moved)
@@ -469,12 +524,14 @@ def language_model(documents: DataFrame, folds: int = 5, held: int = 1, least: i
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = sums[0] + n_train, sums[1] + (n_train > 0)
     head = frequent(counts.where(F.col("c") >= (least or 1)), HEAD)
+    texts = materialize(numbered(rows.withColumn("row", F.monotonically_increasing_id()), [w for w, _ in head]), "read")
+    train = texts.where("not held_out")
     model = fit(train, counts, head, total, distinct)
     known_words = counts.select("word", "c", F.lit(None).cast("int").alias("class"))
     if least:
         known_words = materialize(beyond(train, model, least), "classes")
         model = refit(model, known_words, head)
-    texts = materialize(classed(rows, model, known_words, n_train), "classed")
+    texts = materialize(classed(texts, model, known_words, n_train), "classed")
     end = model.end_class
     step = transitions(bigrams(texts.where("not held_out"), len(model.g), end))
 
