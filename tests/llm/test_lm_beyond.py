@@ -4,6 +4,7 @@ import math
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
 from test_models import brute_base, odd_rows
 
@@ -135,3 +136,8 @@ def test_numbers(spark):
         at = iter(r["at"])
         assert [head[k] if k < len(head) else bytes(r.words[next(at)]) for k in i[:-1]] == want and i[-1] == len(head) + lm.TAILS
         assert len(set(r.words)) == len(r.words)
+
+
+def test_planes():
+    for x in ([], [0], [1, 255, 256, 70_000, 2**32 - 1]):
+        assert lm.from_planes(lm.planes(np.array(x, np.int64))).tolist() == x

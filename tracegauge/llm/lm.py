@@ -197,6 +197,15 @@ def pairs(documents: DataFrame, symbols: Symbols, head: list[bytes] | None = Non
     return out.reshape(size, size)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, their lowest bytes first, then the others, which are alike: they take little room when compressed."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def further(documents: DataFrame, head: list[bytes], done: int, classes: Symbols, g: np.ndarray) -> dict[bytes, int]:
     """The classes of the head's words from `done` on: of those below classes.n the one that gains most by the word's neighbours,
     as g counts the classes' bigrams. A word's counts are no more than twice the number of classes; those of WORDS words are moved together."""
@@ -208,7 +217,8 @@ def further(documents: DataFrame, head: list[bytes], done: int, classes: Symbols
         seen, held = np.zeros((n - done) * 2 * size, np.int32), []
 
         def add():
-            np.add(seen, np.bincount(np.concatenate(held), minlength=len(seen)), out=seen, casting="unsafe")
+            code, many = np.unique(np.concatenate(held), return_counts=True)
+            seen[code] += many.astype(np.int32)
             held.clear()
 
         for batch in batches:
@@ -226,7 +236,7 @@ def further(documents: DataFrame, head: list[bytes], done: int, classes: Symbols
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b:
                 k = code[a] // block
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(code[a:b] - k * block).astype("<u4").tobytes()], pa.binary()), pa.array([seen[code[a:b]].astype("<u4").tobytes()], pa.binary())], ["block", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([planes(code[a:b] - k * block)], pa.binary()), pa.array([planes(seen[code[a:b]])], pa.binary())], ["block", "code", "n"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, c = None, np.zeros(block)
@@ -243,7 +253,7 @@ def further(documents: DataFrame, head: list[bytes], done: int, classes: Symbols
                         yield done_with()
                     now = k
                     c[:] = 0
-                c[np.frombuffer(code, "<u4")] += np.frombuffer(many, "<u4")
+                c[from_planes(code)] += from_planes(many)
         if now is not None:
             yield done_with()
 
