@@ -40,3 +40,12 @@ def test_leaking_pairs_are_those_of_the_sql(spark, tmp_path):
     rows = [*enumerate(ODD), (20, "a ﬁnd οδος ii ﬁnd " + ITEM[:90]), (21, "a οδος iI ﬁnd " + ITEM[:90]), (None, ITEM)]
     got, want = both(spark, tmp_path, "prompt_leak_pairs", documents=(rows, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
     assert got == want and {(0, 2), (21, 1)} <= {r[:2] for r in want}
+
+
+def test_leaks_are_those_of_the_sql(spark, tmp_path):
+    numbered = " ".join(f"n{k}" for k in range(39))  # 32 8-grams: odd shares of them lie between two scores
+    items = [(0, ITEM), (1, ITEM.upper()), (2, numbered), (3, "nur ein kurzer Satz mit genau neun Wörtern steht hier")]
+    parts = [" ".join(f"n{k}" for k in range(n)) for n in (10, 11, 14, 26, 27, 30)]
+    rows = [*enumerate((*ODD, *parts, items[3][1]))]
+    got, want = both(spark, tmp_path, "prompt_leak", documents=(rows, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
+    assert got == want and 0.9063 in {r[2] for r in want}

@@ -23,7 +23,7 @@ from ..config import Settings
 from ..functions.detect import FINDING, found_in
 from ..functions.columns import let
 from ..functions.refusals import HEAD, refusal_language
-from ..functions.text import LEAK, apart, error_in, four_places, guarded, leak_of, normalized, staged, two_decimals
+from ..functions.text import LEAK, apart, error_in, four_places, guarded, leak_of, normalized, staged, two_decimals, words_in
 from ..schemas import EXEMPT, FAIL, INTERACTION_COLUMNS, PASS, RESULT
 from .deadlines import Workers
 from .extract import text_of
@@ -148,12 +148,15 @@ def refusal_result(settings: Settings) -> Column:
     )
 
 
-def leak_columns(df: DataFrame, settings: Settings, chosen: Column) -> DataFrame:
-    df = apart(df, "_outputs", F.when(chosen, texts("output_messages", "text", "tool_call")))
-    system = F.array_join(F.transform("system_instructions", lambda m: m["text"]), " \n ")
-    df = staged(df, "_leak", guarded(LEAK, leak_of(NGRAM)), F.when(F.col("_outputs").isNotNull(), F.struct(system.alias("system"), F.col("_outputs").alias("outputs"))))
-    df = df.withColumns({"_run": F.col("_leak.run"), "_coverage": F.col("_leak.coverage")})
-    return df.withColumns({"_coverage_text": two_decimals("_coverage"), "_coverage_4": four_places("_coverage"), "_leak_score": four_places(1.0 - F.col("_coverage"))})
+def leak_columns(words_of: Callable[[str], list[str]], rounded: Callable[[str], Column]) -> Callable[[DataFrame, Settings, Column], DataFrame]:
+    def prepare(df: DataFrame, settings: Settings, chosen: Column) -> DataFrame:
+        df = apart(df, "_outputs", F.when(chosen, texts("output_messages", "text", "tool_call")))
+        system = F.array_join(F.transform("system_instructions", lambda m: m["text"]), " \n ")
+        df = staged(df, "_leak", guarded(LEAK, leak_of(NGRAM, words_of)), F.when(F.col("_outputs").isNotNull(), F.struct(system.alias("system"), F.col("_outputs").alias("outputs"))))
+        df = df.withColumns({"_run": F.col("_leak.run"), "_coverage": F.col("_leak.coverage"), "_uncovered": 1.0 - F.col("_leak.coverage")})
+        return df.withColumns({"_coverage_text": two_decimals("_coverage"), "_coverage_4": rounded("_coverage"), "_leak_score": rounded("_uncovered")})
+
+    return prepare
 
 
 def leak_result(settings: Settings) -> Column:
@@ -162,6 +165,12 @@ def leak_result(settings: Settings) -> Column:
     return result(F.col("_leak_score"), F.when(leaked, FAIL).otherwise(PASS), says, {"prompt_leak.coverage": F.col("_coverage_4"), "prompt_leak.longest_run": F.col("_run")})
 
 
+def leak_evaluator(words_of: Callable[[str], list[str]] = words_in, rounded: Callable[[str], Column] = four_places) -> Evaluator:
+    """The evaluator of leaks, by words and rounding of one's own."""
+    applies = lambda: F.col("_leak_error").isNotNull() | (F.col("_leak.words") >= LEAST_SYSTEM_WORDS) & (F.size("_outputs") > 0)
+    return Evaluator("system_prompt_leak", "heuristic", 1.0, applies, leak_result, leak_columns(words_of, rounded), stages=("_leak",))
+
+
 def has_text_part(m: Column) -> Column:
     return (F.size(m["parts"]) == 0) | F.exists(m["parts"], lambda p: p["type"] == "text")
 
@@ -209,7 +218,7 @@ HEURISTICS = (
     Evaluator("pii_detection", "heuristic", 1.0, lambda: F.lit(True), lambda s: findings_result(F.col("_pii"), "pii.types"), pii_findings, needs=("findings",), stages=("_found",)),
     Evaluator("secret_detection", "heuristic", 1.0, lambda: F.lit(True), lambda s: findings_result(F.col("_secrets"), "secret.types"), lambda df, s, chosen: df.withColumn("_secrets", located(True)), needs=("findings",), stages=("_found",)),
     Evaluator("refusal", "heuristic", 1.0, lambda: (F.size("finish_reasons") > 0) | (F.size(texts("output_messages", "text")) > 0), refusal_result, refusal_columns, stages=("_heads",)),
-    Evaluator("system_prompt_leak", "heuristic", 1.0, lambda: F.col("_leak_error").isNotNull() | (F.col("_leak.words") >= LEAST_SYSTEM_WORDS) & (F.size("_outputs") > 0), leak_result, leak_columns, stages=("_leak",)),
+    leak_evaluator(),
     Evaluator("output_format", "heuristic", 1.0, lambda: F.coalesce(F.col("output_type") == "json", F.lit(False)) & F.exists("output_messages", has_text_part), format_result, format_columns, stages=("_errors",)),
 )
 
