@@ -3,8 +3,10 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 from test_evaluate import Scripted, talk
 from test_extract import request
 
@@ -142,3 +144,63 @@ def test_the_sessions_store_comes_back(spark, own):
     assert spark.conf.get(state.STORE, None) == (own or before)
     if before is None:
         spark.conf.unset(state.STORE)
+
+
+class Held:
+    """A state handle that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            def get(self):
+                handle.calls += 1
+                return handle.values.get(name)
+
+            def update(self, value):
+                handle.calls += 1
+                handle.values[name] = value
+
+            def clear(self):
+                handle.calls += 1
+                handle.values.pop(name, None)
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_health_takes_few_calls_for_many_intervals():
+    rows = [("k", None, minute * 60_000_000 + i, "", (minute + i) % 3 == 0, "ab"[i % 2]) for minute in range(100) for i in range(4)]
+    held, health = Held(), state.Health(2, 60_000_000)
+    health.init(held)
+    for part in (rows[200:], rows[:200]):  # the second batch has the earlier intervals
+        list(health.handleInputRows(("k",), iter([pd.DataFrame(part[:7]), pd.DataFrame(part[7:])]), TimerValues(-1, -1)))
+    assert held.calls <= 12 and held.timers == {60_000}
+    held.timers.clear()
+    got = pd.concat(health.handleExpiredTimer(("k",), TimerValues(-1, 3_000_000), None))
+    assert got["since"].tolist() == [m * 60_000_000 for m in range(50)] and set(got["summary"]) == {"a=2, b=2"} and held.timers == {51 * 60_000}
+    held.timers.clear()
+    assert len(pd.concat(health.handleExpiredTimer(("k",), TimerValues(-1, 6_000_000), None))) == 50 and not held.timers and "intervals" not in held.values
+
+
+def test_health_keeps_keys_as_they_are(spark, tmp_path):
+    keys = [(None, "x"), (2**53 + 1, None), (2**53, 'a"ü'), (None, None)]
+    rows = sorted(((*keys[i % 4], moment(i), i % 7 > 1) for i in range(200)), key=lambda r: r[2])
+    schema, at, out = "k long, name string, at timestamp, bad boolean", str(tmp_path / "in"), str(tmp_path / "out")
+    files_of(spark, rows, schema, at, 2)
+    changes = state.health(source(spark, schema, at), ["k", "name"], "at", F.lit(None), F.lit("x"), F.col("bad"), interval_s=None)
+    topology.written(changes, out, NOW).awaitTermination()
+    got = spark.read.parquet(out)
+    want = stateful.failing(spark.createDataFrame(rows, schema), ["k", "name"], ["at"], F.col("bad"))
+    assert sorted(map(tuple, state.runs(got, ["k", "name"]).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and want.count() > 8
+    assert {r.kind for r in got.select("kind").distinct().collect()} == {"failing", "recovered"}
